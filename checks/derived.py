@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.config import CleaningConfig
+from corpuskiln.sources.readers import scan_parquet
 
 OWNERS = {
     "org_a": ("src0", "src1", "src2", "src3", "src4"),
@@ -23,7 +24,7 @@ PROSE = CleaningConfig(line_max=3000, line_mean=600, alpha_frac=0.75, min_token_
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,6 @@ here can be recomputed outside Spark.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +17,6 @@ def hex_int(hexed: Column, digits: int) -> Column:
     return F.conv(F.substring(hexed, 1, digits), 16, 10).cast("bigint")
 
 
-def token_hash(token: str) -> int:
-    """28-bit hash of a token, the driver-side twin of the one used in tasks."""
-    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:7], 16)
-
-
 def order_hash(key: Column, seed: int) -> Column:
     """md5 of the id and the seed: a seeded random order over unique ids."""
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))

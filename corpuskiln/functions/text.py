@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 BREAK_CLASS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
 LINE_BREAK = rf"\r\n|[{BREAK_CLASS}]"
 SPACE_CLASS = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-SPACES = rf"[{SPACE_CLASS}]+"
-EDGE_SPACES = rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z"
+SPACE_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000"
 
 # The pieces a subword tokenizer starts from.
 PRE_TOKEN = (
@@ -23,7 +24,8 @@ PRE_TOKEN = (
     rf"| ?[^{SPACE_CLASS}\p{{L}}\p{{N}}]+"
     rf"|[{SPACE_CLASS}]+"
 )
-NON_WORD = "[^A-Za-z_0-9]"
+WORD = "[A-Za-z_0-9]+"
+WORD_BREAK = "[^A-Za-z_0-9]+"
 
 # Keyword lists of the file heuristics.
 GENERATED_KEYWORDS = ("auto-generated", "autogenerated", "automatically generated")
@@ -33,12 +35,12 @@ CODE_KEYWORDS = ("def ", "class ", "for ", "while ")
 
 def strip_spaces(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, EDGE_SPACES, "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def content_hash(text: Column) -> Column:
     """md5 of the text without any white space."""
-    return F.md5(F.regexp_replace(text, SPACES, ""))
+    return F.md5(F.translate(text, SPACE_CHARS, ""))
 
 
 def split_breaks(text: Column) -> Column:
@@ -107,8 +109,7 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def count_of(text: Column, word: str) -> Column:
     """Occurrences of ``word`` that do not overlap."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))
-    return (removed / F.lit(len(word))).cast("bigint")
+    return F.regexp_count(text, F.lit(rf"\Q{word}\E"))
 
 
 def head_of(pieces: Column, scan_width: int) -> Column:
@@ -144,7 +145,7 @@ def has_few_assignments(text: Column, minimum: int = 4) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Words in text order, duplicates kept."""
-    return F.filter(F.split(text, NON_WORD), lambda word: F.length(word) > 0)
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def token_set(text: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from corpuskiln import config
 from corpuskiln.functions import text as T
 from corpuskiln.operators.skew import HOT_ROWS, join_hot_keys
+from corpuskiln.scratch import write_scratch
 
 BLOCKS_PER_SET = 1000
 
@@ -29,20 +30,27 @@ def line_windows(
     Lines are stripped and blank ones left out; line numbers are those of the
     file. A file's windows come from its own row, so nothing is shuffled yet.
     """
+    side = F.lit("") if side_col is None else F.col(side_col)
+    # each array is a column of its own before a lambda reads it: inside a
+    # lambda an expression would be computed again for every line
+    split = df.select(side.alias("side"), F.col(file_col).alias("file_id"), T.split_breaks(F.col(text_col)).alias("_pieces"))
     numbered = F.transform(
-        T.lines(F.col(text_col)), lambda line, i: F.struct((i + 1).alias("no"), T.strip_spaces(line).alias("line"))
+        "_pieces", lambda piece, i: F.struct((i + 1).alias("no"), T.strip_spaces(piece).alias("line"))
     )
-    side = F.lit("") if side_col is None else F.col(side_col)
-    filled = df.select(
-        side.alias("side"), F.col(file_col).alias("file_id"), F.filter(numbered, lambda x: x["line"] != "").alias("_lines")
-    ).filter(F.size("_lines") >= threshold)
-    lines, numbers = F.col("_lines.line"), F.col("_lines.no")
-    starts = F.sequence(F.lit(1), F.size("_lines") - threshold + 1)
-    keyed = filled.select(
+    filled = split.select("side", "file_id", F.filter(numbered, lambda x: x["line"] != "").alias("_filled"))
+    columns = filled.select(
+        "side",
+        "file_id",
+        F.transform("_filled", lambda x: x["line"]).alias("_lines"),
+        F.transform("_filled", lambda x: x["no"]).alias("_no"),
+    )
+    # an empty start list for a file with too few lines
+    starts = F.slice(F.sequence(F.lit(1), F.size("_lines") + 1), F.lit(1), F.greatest(F.size("_lines") - (threshold - 1), F.lit(0)))
+    keyed = columns.select(
         "side",
         "file_id",
-        numbers.alias("_no"),
-        F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice(lines, i, threshold), "\n")))).alias("_keys"),
+        "_no",
+        F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice("_lines", i, threshold), "\n")))).alias("_keys"),
     )
     windows = F.transform(
         "_keys",
@@ -89,6 +97,7 @@ def line_clones(
         )
         .filter(repeated)
     )
+    per_window = write_scratch(per_window.drop("_low", "_high"), "repeated-windows")
     places = join_hot_keys(
         windows.drop("before", "has_before", "after", "has_after"),
         per_window.select("window", "one_after", "one_before"),

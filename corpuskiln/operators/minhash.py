@@ -13,9 +13,7 @@ from corpuskiln.config import NearDupConfig
 from corpuskiln.functions import text as T
 from corpuskiln.operators.ordering import id_chunk
 from corpuskiln.operators.skew import join_hot_keys
-
-MERSENNE = (1 << 31) - 1
-
+from corpuskiln.scratch import write_scratch
 
 def permutation_coefficients(num_perm: int) -> tuple[list[int], list[int]]:
     """Multipliers and offsets of the hash family (a*h + b) mod (2^31 - 1)."""
@@ -49,65 +47,70 @@ def band_layout(threshold: float, num_perm: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def signature_of(tokens: Column, num_perm: int) -> Column:
-    """Signature of an array of distinct tokens, as ``num_perm`` BIGINT slots.
+def signature_of(text: Column, num_perm: int, min_tokens: int) -> Column:
+    """Signature of the words of a text, as ``num_perm`` BIGINT slots; NULL below ``min_tokens`` words.
 
-    Runs on Arrow batches: each distinct token of a batch is hashed once, and
-    every slot is a segmented minimum over the tokens of all rows.
+    Runs on Arrow batches: words are cut by one vectorized call, each distinct
+    word of a batch is hashed once, and a slot is a segmented minimum over the
+    distinct words of all rows.
     """
     multipliers, offsets = permutation_coefficients(num_perm)
+    word_break = T.WORD_BREAK
 
     @F.arrow_udf("array<bigint>")
-    def sign(tokens):
+    def sign(texts):
         import hashlib
 
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        prime = np.int64(2147483647)
-
         def sign_rows(rows):
-            lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-            encoded = pc.list_flatten(rows).dictionary_encode()
+            pieces = pc.split_pattern_regex(rows, word_break)
+            words = pc.list_flatten(pieces)
+            owners = pc.list_parent_indices(pieces)
+            filled = pc.greater(pc.binary_length(words), 0)
+            owners = pc.filter(owners, filled).to_numpy(zero_copy_only=False)
+            coded = pc.filter(words, filled).dictionary_encode()
             hashed = np.array(
-                [int(hashlib.md5(token.encode()).hexdigest()[:7], 16) for token in encoded.dictionary.to_pylist()],
+                [int(hashlib.md5(word.encode()).hexdigest()[:7], 16) for word in coded.dictionary.to_pylist()],
                 dtype=np.int64,
             )
-            where = encoded.indices.to_numpy(zero_copy_only=False)
-            filled = lengths > 0
-            starts = np.concatenate(([0], np.cumsum(lengths[filled])[:-1])) if filled.any() else []
-            slots = np.zeros((int(filled.sum()), len(multipliers)), dtype=np.int64)
-            if len(slots):
+            counts = np.bincount(owners, minlength=len(rows))
+            signed = counts >= min_tokens
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            width = max(len(hashed), 1)
+            distinct = np.unique(owners[signed[owners]] * width + codes[signed[owners]])
+            where, owner = distinct % width, distinct // width
+            slots = np.zeros((int(signed.sum()), len(multipliers)), dtype=np.int64)
+            if len(distinct):
+                starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
                 for i, (a, b) in enumerate(zip(multipliers, offsets)):
-                    permuted = (hashed * a + b) % prime
+                    permuted = ((hashed * a + b) % 2147483647).astype(np.int32)
                     slots[:, i] = np.minimum.reduceat(permuted[where], starts)
-            widths = np.where(filled, len(multipliers), 0)
-            bounds = np.concatenate(([0], np.cumsum(widths))).astype(np.int32)
-            return pa.ListArray.from_arrays(bounds, slots.ravel())
-
-        # long files: keep the work arrays of one step small
-        step = 1000
-        parts = [sign_rows(tokens.slice(at, step)) for at in range(0, len(tokens), step)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+            bounds = np.concatenate(([0], np.cumsum(signed * len(multipliers)))).astype(np.int32)
+            return pa.ListArray.from_arrays(bounds, slots.ravel(), mask=pa.array(~signed))
 
-    return sign(tokens)
+        # files can be long: a step takes about 4 million characters
+        steps, start, taken = [], 0, 0
+        for at, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            taken += size
+            if taken >= 4_000_000:
+                steps.append(sign_rows(texts.slice(start, at + 1 - start)))
+                start, taken = at + 1, 0
+        steps.append(sign_rows(texts.slice(start)))
+        return pa.concat_arrays(steps)
 
-
-def eligible(words: Column, min_tokens: int) -> Column:
-    """Files with fewer words, repeats counted, get no signature."""
-    return F.size(words) >= min_tokens
+    # a filter on the signature must not be pushed below it: it would sign every text twice
+    return sign.asNondeterministic()(text)
 
 
 def minhash_signature(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "content", config: NearDupConfig = NearDupConfig()
 ) -> DataFrame:
-    """(id, signature) of every file with enough words."""
-    words = df.select(id_col, T.word_tokens(F.col(text_col)).alias("_words"))
-    sets = words.filter(eligible(F.col("_words"), config.min_tokens)).select(
-        id_col, F.array_distinct("_words").alias("_tokens")
-    )
-    return sets.select(id_col, signature_of(F.col("_tokens"), config.num_perm).alias("signature"))
+    """(id, signature) of every file with enough words, repeats counted."""
+    signature = signature_of(F.col(text_col), config.num_perm, config.min_tokens)
+    return df.select(id_col, signature.alias("signature")).filter(F.col("signature").isNotNull())
 
 
 def band_buckets(signatures: DataFrame, id_col: str, config: NearDupConfig = NearDupConfig()) -> DataFrame:
@@ -126,10 +129,11 @@ def shared_buckets(buckets: DataFrame, id_col: str, config: NearDupConfig = Near
 
     ``buckets`` is read twice, so pass a stored table.
     """
-    per_bucket = (
+    per_bucket = write_scratch(
         buckets.groupBy("bucket")
         .agg(F.min(id_col).alias("root"), F.count("*").alias("n"))
-        .filter(F.col("n") > 1)
+        .filter(F.col("n") > 1),
+        "repeated-buckets",
     )
     counts = per_bucket.select("bucket", "n")
     return join_hot_keys(buckets, per_bucket.drop("n"), ["bucket"], id_col, config.hot_rows, counts)
@@ -157,8 +161,6 @@ def stored_buckets(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "content", config: NearDupConfig = NearDupConfig()
 ) -> DataFrame:
     """The shared buckets of a corpus, written once for the steps that follow."""
-    from corpuskiln.scratch import write_scratch
-
     signatures = minhash_signature(df, id_col, text_col, config)
     buckets = write_scratch(band_buckets(signatures, id_col, config), "buckets")
     return write_scratch(shared_buckets(buckets, id_col, config), "shared-buckets")

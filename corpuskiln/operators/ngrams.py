@@ -12,16 +12,20 @@ from corpuskiln.scratch import write_scratch
 
 
 def ngram_rows(df: DataFrame, text_col: str, n: int, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per n-gram occurrence: its context words and its last word."""
-    words = df.select(*keep, T.word_tokens(F.col(text_col)).alias("_words")).filter(F.size("_words") >= n)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size("_words") - n + 1),
-        lambda i: F.struct(
-            F.array_join(F.slice("_words", i, n - 1), " ").alias("context"),
-            F.get("_words", i + (n - 2)).alias("word"),
-        ),
-    )
-    return words.select(*keep, F.inline(grams))
+    """One row per n-gram occurrence: its context words and its last word.
+
+    The contexts of bigrams are the words themselves, so two shifted arrays are
+    zipped; longer contexts are joined per position.
+    """
+    words = df.select(*keep, T.word_tokens(F.col(text_col)).alias("_words"))
+    size = F.greatest(F.size("_words") - (n - 1), F.lit(0))
+    last = F.slice("_words", F.lit(n), size)
+    if n == 2:
+        contexts = F.slice("_words", F.lit(1), size)
+    else:
+        places = F.slice(F.sequence(F.lit(1), F.size("_words") + 1), F.lit(1), size)
+        contexts = F.transform(places, lambda i: F.array_join(F.slice("_words", i, n - 1), " "))
+    return words.select(*keep, F.inline(F.arrays_zip(contexts, last)).alias("context", "word"))
 
 
 def ngram_train(df: DataFrame, text_col: str, n: int = 2) -> DataFrame:

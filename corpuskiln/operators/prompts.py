@@ -59,7 +59,8 @@ def functions_of(source: Column) -> Column:
 
         return pd.Series([describe(source) for source in sources])
 
-    return parse(source)
+    # keeps later filters and counts from parsing every file again
+    return parse.asNondeterministic()(source)
 
 
 def parsed_functions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Readers: CSV shards, JSON lines and XML clone reports."""
+"""Readers: Parquet tables, CSV shards, JSON lines and XML clone reports."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import types as Ty
 
 RAW_CODE = "repo_name string, path string, copies string, size string, content string, license string"
 
+# The piece of a Parquet file one task reads.
+ROW_GROUP_BYTES = 128 * 1024 * 1024
+
 CLONE_REPORT = Ty.StructType(
     [
         Ty.StructField("_fingerprint", Ty.StringType()),
@@ -28,6 +31,22 @@ CLONE_REPORT = Ty.StructType(
 )
 
 
+def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; a small one with few files is spread over all cores.
+
+    A file with one row group is one task, whatever its text costs to process.
+    Rows move only if the whole table is smaller than a row group per core, so
+    a large table is never shuffled here.
+    """
+    df = spark.read.parquet(path)
+    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+    if len(files) >= cores:
+        return df
+    listing = spark.read.format("binaryFile").load(files)
+    size = listing.agg(F.sum("length")).first()[0] or 0
+    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df
+
+
 def scan_csv_shards(spark: SparkSession, path: str, schema: str | Ty.StructType = RAW_CODE) -> DataFrame:
     """All CSV files of a folder; quoted fields may hold line breaks and quotes."""
     return (
