@@ -13,6 +13,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from checks.queries import QUERIES  # noqa: E402
 from corpuskiln.session import local_session  # noqa: E402
 
+RUNS = 2
+
 HEADLINE = (
     "collect_sources",
     "file_features",
@@ -50,8 +52,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus)
-    timed(spark, "content_hash", sf_dir)  # start the executors before the clock runs
-    seconds = {name: round(timed(spark, name, sf_dir), 3) for name in names}
+    # the first run of each query compiles its code and starts Python workers
+    seconds = {name: round(min(timed(spark, name, sf_dir) for _ in range(RUNS)), 3) for name in names}
     print(
         json.dumps(
             {

@@ -35,7 +35,7 @@ def connected_components(pairs: DataFrame, config: NearDupConfig = NearDupConfig
             nearest = F.min(F.struct(F.xxhash64("_near", F.lit(level)).alias("rank"), F.col("_near").alias("id")))
             own = F.struct(F.xxhash64("id", F.lit(level)).alias("rank"), F.col("id"))
             parent = F.least(own, nearest)["id"]
-        merged = write_scratch(ends.groupBy("id").agg(parent.alias("parent")), "merge")
+        merged = ends.groupBy("id").agg(parent.alias("parent"))
         merges.append(merged)
         left = merged.select(F.col("id").alias("id_a"), F.col("parent").alias("_a"))
         right = merged.select(F.col("id").alias("id_b"), F.col("parent").alias("_b"))

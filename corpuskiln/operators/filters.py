@@ -79,9 +79,13 @@ def heuristic_filter(
     """Rows that pass, with their feature columns.
 
     The rules look at one row each, so they run before the join and keep failing
-    rows out of the shuffle.
+    rows out of the shuffle. The row number holds the filter above the features:
+    pushed below them, it would compute each feature again.
     """
-    passing = file_features(df, text_col, config, token_count).filter(heuristic_reason(id_col, config).isNull())
+    judged = file_features(df, text_col, config, token_count).withColumns(
+        {"_reason": heuristic_reason(id_col, config), "_row": F.monotonically_increasing_id()}
+    )
+    passing = judged.filter(F.col("_reason").isNull() & (F.col("_row") >= 0)).drop("_reason", "_row")
     return passing.join(first_of_hash(df, id_col, text_col), id_col, "left_semi")
 
 

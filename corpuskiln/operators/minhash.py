@@ -116,12 +116,13 @@ def minhash_signature(
 def band_buckets(signatures: DataFrame, id_col: str, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """(bucket, id) rows: one 16-byte bucket per band of each signature."""
     bands, rows = band_layout(config.jaccard_threshold, config.num_perm)
-    slots = F.col("signature").cast("array<string>")
+    # all bands read the slots as text, so that is a column of its own
+    texts = signatures.select(id_col, F.col("signature").cast("array<string>").alias("_slots"))
     keys = [
-        F.unhex(F.md5(F.concat_ws(",", F.lit(str(band)), F.slice(slots, band * rows + 1, rows))))
+        F.unhex(F.md5(F.concat_ws(",", F.lit(str(band)), F.slice("_slots", band * rows + 1, rows))))
         for band in range(bands)
     ]
-    return signatures.select(F.explode(F.array(*keys)).alias("bucket"), id_col)
+    return texts.select(F.explode(F.array(*keys)).alias("bucket"), id_col)
 
 
 def shared_buckets(buckets: DataFrame, id_col: str, config: NearDupConfig = NearDupConfig()) -> DataFrame:
