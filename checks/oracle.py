@@ -227,14 +227,37 @@ shared_windows AS (
   FROM keyed GROUP BY window_key HAVING {repeated}),
 placed AS (SELECT keyed.*, one_after, one_before FROM keyed JOIN shared_windows USING (window_key)),
 marked AS (
-  SELECT *, CASE WHEN lag(place) OVER f = place - 1 AND lag(one_after) OVER f AND one_before THEN 0 ELSE 1 END AS starts
+  SELECT *, CASE WHEN lag(place) OVER f = place - 1 AND lag(one_after) OVER f AND one_before THEN 0 ELSE 1 END AS starts,
+         CASE WHEN lag(place) OVER f = place - 1 THEN 0 ELSE 1 END AS gap
   FROM placed WINDOW f AS (PARTITION BY side, file_id ORDER BY place)),
+numbered_runs AS (
+  SELECT *, sum(starts) OVER f AS run, sum(gap) OVER f AS island FROM marked
+  WINDOW f AS (PARTITION BY side, file_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
 runs AS (
-  SELECT *, sum(starts) OVER (PARTITION BY side, file_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+  SELECT side, file_id, island, run, min(place) AS first_place, max(place) AS last_place,
+         min(start_line) AS start_line, max(end_line) AS end_line, arg_min(window_key, place) AS unit
+  FROM numbered_runs GROUP BY ALL),
+around AS (
+  SELECT unit, coalesce(list(unit) OVER (i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), []) AS after,
+         coalesce(list_reverse(list(unit) OVER (i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS before
+  FROM runs WINDOW i AS (PARTITION BY side, file_id, island ORDER BY run)),
+extremes AS (
+  SELECT unit, min(after) AS a1, max(after) AS a2, min(before) AS b1, max(before) AS b2 FROM around GROUP BY unit),
+units AS (
+  SELECT unit,
+         a1[1:len(list_filter(range(1, len(a1) + 1), lambda n: a1[1:n] = a2[1:n]))] AS after,
+         b1[1:len(list_filter(range(1, len(b1) + 1), lambda n: b1[1:n] = b2[1:n]))] AS before
+  FROM extremes),
+grown AS (
+  SELECT DISTINCT side, file_id, island, run - len(before) AS run_from, run + len(after) AS run_to,
+         md5(array_to_string(list_concat(list_concat(list_reverse(before), [unit]), after), ',')) AS fingerprint
+  FROM runs JOIN units USING (unit)),
 blocks AS (
-  SELECT side, file_id, min(start_line) AS start_line, max(end_line) AS end_line,
-         CAST(count(*) + {threshold - 1} AS BIGINT) AS line_count, arg_min(window_key, place) AS fingerprint
-  FROM runs GROUP BY side, file_id, run),
+  SELECT g.side, g.file_id, x.start_line, y.end_line,
+         CAST(y.last_place - x.first_place + {threshold} AS BIGINT) AS line_count, g.fingerprint
+  FROM grown g
+  JOIN runs x ON x.side = g.side AND x.file_id = g.file_id AND x.run = g.run_from
+  JOIN runs y ON y.side = g.side AND y.file_id = g.file_id AND y.run = g.run_to),
 clone_set AS (
   SELECT fingerprint, line_count, count(*) AS n_blocks, count(DISTINCT side || '/' || file_id) AS n_files
   FROM blocks GROUP BY fingerprint, line_count)"""

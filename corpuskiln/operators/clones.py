@@ -1,16 +1,16 @@
 """Blocks of equal lines across files, and the report made of them.
 
 A clone is a block of ``threshold`` lines or more that occurs at two places or
-more. The block is grown as far as all its places agree: neighbouring line
-windows are joined when each of them only ever occurs next to the other. Every
-repeated window then belongs to exactly one clone set, all places of the set are
-listed, and no two places are ever paired, so a licence header found in a third
+more and cannot be extended: its places differ in the line before it and in the
+line after it. Each repeated window of ``threshold`` lines is grown to the
+largest block with the same places, and equal blocks form one clone set. The
+sets list places, never pairs of places, so a licence header found in a third
 of all files costs one row per file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,6 +68,92 @@ def line_windows(
     return keyed.select("side", "file_id", F.inline(windows))
 
 
+def _repeated_windows(windows: DataFrame, by_side: bool) -> DataFrame:
+    """Windows found twice (or in both corpora), and whether their neighbours never differ."""
+    # one comparison of extremes per window tells "always the same neighbour"
+    same_after = F.bool_and("has_after") & (F.min("after") == F.max("after"))
+    same_before = F.bool_and("has_before") & (F.min("before") == F.max("before"))
+    per_window = windows.groupBy("window").agg(
+        F.count("*").alias("n"),
+        F.min("side").alias("_low"),
+        F.max("side").alias("_high"),
+        same_after.alias("one_after"),
+        same_before.alias("one_before"),
+    )
+    repeated = F.col("_low") != F.col("_high") if by_side else F.col("n") > 1
+    return per_window.filter(repeated).drop("_low", "_high")
+
+
+def _window_runs(places: DataFrame) -> DataFrame:
+    """Neighbouring windows that only ever occur together, as one row per place.
+
+    ``unit`` names such a run; ``island`` numbers the stretches of a file without
+    a gap between repeated windows.
+    """
+    in_file = Window.partitionBy("side", "file_id").orderBy("place")
+    follows = F.coalesce(F.lag("place").over(in_file) == F.col("place") - 1, F.lit(False))
+    together = follows & F.coalesce(F.lag("one_after").over(in_file), F.lit(False)) & F.col("one_before")
+    marked = places.withColumns({"_gap": (~follows).cast("int"), "_starts": (~together).cast("int")})
+    numbered = marked.withColumns(
+        {"island": F.sum("_gap").over(in_file), "run": F.sum("_starts").over(in_file)}
+    )
+    return numbered.groupBy("side", "file_id", "island", "run").agg(
+        F.min("place").alias("first_place"),
+        F.max("place").alias("last_place"),
+        F.min("start_line").alias("start_line"),
+        F.max("end_line").alias("end_line"),
+        F.lower(F.hex(F.max(F.when(F.col("_starts") == 1, F.col("window"))))).alias("unit"),
+    )
+
+
+def _common_start(low: str, high: str) -> Column:
+    """The longest common start of all lists of a group, given their least and greatest."""
+    differs = F.array_position(F.zip_with(low, high, lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+    return F.slice(low, F.lit(1), F.when(differs == 0, F.size(low)).otherwise(differs - 1))
+
+
+def _unit_extensions(runs: DataFrame, step: int) -> DataFrame:
+    """(unit, n, before, after): the units found around every place of a unit, nearest first.
+
+    A round looks ``step`` units far; it is repeated further out only while some
+    unit agrees on all of them.
+    """
+    in_island = Window.partitionBy("side", "file_id", "island").orderBy("run")
+    offset, found = 0, None
+    while True:
+        after = F.collect_list("unit").over(in_island.rowsBetween(offset + 1, offset + step))
+        before = F.collect_list("unit").over(in_island.rowsBetween(-offset - step, -offset - 1))
+        around = runs.select("unit", after.alias("_after"), F.reverse(before).alias("_before"))
+        extremes = around.groupBy("unit").agg(
+            F.count("*").alias("n"),
+            F.min("_after").alias("_after_low"),
+            F.max("_after").alias("_after_high"),
+            F.min("_before").alias("_before_low"),
+            F.max("_before").alias("_before_high"),
+        )
+        seen = extremes.select(
+            "unit",
+            "n",
+            _common_start("_before_low", "_before_high").alias("before"),
+            _common_start("_after_low", "_after_high").alias("after"),
+        )
+        if found is not None:
+            # a side that ended in an earlier round stays as it is
+            earlier = found.select("unit", F.col("before").alias("_before"), F.col("after").alias("_after"))
+            seen = seen.join(earlier, "unit").select(
+                "unit",
+                "n",
+                *[
+                    F.when(F.size(f"_{name}") == offset, F.concat(f"_{name}", name)).otherwise(F.col(f"_{name}")).alias(name)
+                    for name in ("before", "after")
+                ],
+            )
+        found = write_scratch(seen, "unit-extensions")
+        offset += step
+        if found.filter((F.size("before") == offset) | (F.size("after") == offset)).isEmpty():
+            return found
+
+
 def line_clones(
     df: DataFrame,
     file_col: str = "doc_id",
@@ -75,6 +161,7 @@ def line_clones(
     threshold: int = config.CLONE_THRESHOLD_LINES,
     side_col: str | None = None,
     hot_rows: int = HOT_ROWS,
+    step: int = 16,
 ) -> DataFrame:
     """(side, file_id, start_line, end_line, line_count, fingerprint), one row per place of a clone.
 
@@ -82,46 +169,40 @@ def line_clones(
     and the training one; without it, at two places of any files.
     """
     windows = line_windows(df, file_col, text_col, threshold, side_col)
-    # one comparison of extremes per window tells "always the same neighbour"
-    same_after = F.bool_and("has_after") & (F.min("after") == F.max("after"))
-    same_before = F.bool_and("has_before") & (F.min("before") == F.max("before"))
-    repeated = F.col("n") > 1 if side_col is None else F.col("_low") != F.col("_high")
-    per_window = (
-        windows.groupBy("window")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("side").alias("_low"),
-            F.max("side").alias("_high"),
-            same_after.alias("one_after"),
-            same_before.alias("one_before"),
-        )
-        .filter(repeated)
-    )
-    per_window = write_scratch(per_window.drop("_low", "_high"), "repeated-windows")
+    per_window = write_scratch(_repeated_windows(windows, side_col is not None), "repeated-windows")
     places = join_hot_keys(
         windows.drop("before", "has_before", "after", "has_after"),
-        per_window.select("window", "one_after", "one_before"),
+        per_window.drop("n"),
         ["window"],
         "file_id",
         hot_rows,
         per_window.select("window", "n"),
     )
-    in_file = Window.partitionBy("side", "file_id").orderBy("place")
-    goes_on = (
-        (F.lag("place").over(in_file) == F.col("place") - 1) & F.lag("one_after").over(in_file) & F.col("one_before")
-    )
-    runs = places.withColumn("_starts", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn(
-        "_run", F.sum("_starts").over(in_file)
+    runs = write_scratch(_window_runs(places), "window-runs")
+    units = _unit_extensions(runs, step)
+    whole = F.concat(F.reverse("before"), F.array("unit"), "after")
+    named = units.select(
+        "unit",
+        F.size("before").alias("_back"),
+        F.size("after").alias("_on"),
+        F.md5(F.array_join(whole, ",")).alias("fingerprint"),
     )
+    grown = join_hot_keys(
+        runs.select("side", "file_id", "island", "run", "unit"),
+        named,
+        ["unit"],
+        "file_id",
+        hot_rows,
+        units.select("unit", "n"),
+    ).select("side", "file_id", "island", (F.col("run") - F.col("_back")).alias("_from"), (F.col("run") + F.col("_on")).alias("_to"), "fingerprint")
+    firsts = runs.select("side", "file_id", "island", F.col("run").alias("_from"), "start_line", "first_place")
+    lasts = runs.select("side", "file_id", "island", F.col("run").alias("_to"), "end_line", "last_place")
+    line_count = F.col("last_place") - F.col("first_place") + threshold
     return (
-        runs.groupBy("side", "file_id", "_run")
-        .agg(
-            F.min("start_line").alias("start_line"),
-            F.max("end_line").alias("end_line"),
-            (F.count("*") + threshold - 1).alias("line_count"),
-            F.max(F.when(F.col("_starts") == 1, F.col("window"))).alias("_first"),
-        )
-        .select("side", "file_id", "start_line", "end_line", "line_count", F.lower(F.hex("_first")).alias("fingerprint"))
+        grown.distinct()
+        .join(firsts, ["side", "file_id", "island", "_from"])
+        .join(lasts, ["side", "file_id", "island", "_to"])
+        .select("side", "file_id", "start_line", "end_line", line_count.cast("bigint").alias("line_count"), "fingerprint")
     )
 
 

@@ -79,3 +79,8 @@ def stream_ngram_train(rows: DataFrame, text_col: str, out: str, checkpoint: str
     return (
         rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def latest_model(spark: SparkSession, out: str, query: StreamingQuery) -> DataFrame:
+    """The model after the last batch of a finished ``stream_ngram_train``."""
+    return spark.read.parquet(f"{out}/batch={query.lastProgress['batchId']}")
