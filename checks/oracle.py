@@ -113,14 +113,13 @@ banded AS (
   FROM slots WHERE i < 247 GROUP BY doc_id, i // 19),
 shared AS (
   SELECT * FROM (
-    SELECT bucket, doc_id, min(doc_id) OVER (PARTITION BY bucket) AS root, count(*) OVER (PARTITION BY bucket) AS n,
-           min(doc_id) OVER (PARTITION BY bucket, doc_id // 65536) AS centre
+    SELECT bucket, doc_id, min(doc_id) OVER (PARTITION BY bucket) AS root, count(*) OVER (PARTITION BY bucket) AS n
     FROM banded) WHERE n > 1)"""
 
 PAIRS = f"""{SHARED},
 pairs AS (
   SELECT DISTINCT id_a, id_b FROM (
-    SELECT centre AS id_a, doc_id AS id_b FROM shared UNION ALL SELECT root, centre FROM shared)
+    SELECT root AS id_a, doc_id AS id_b FROM shared)
   WHERE id_a < id_b)"""
 
 COMPONENTS = f"""{PAIRS},

@@ -115,8 +115,8 @@ def _common_start(low: str, high: str) -> Column:
 def _unit_extensions(runs: DataFrame, step: int) -> DataFrame:
     """(unit, n, before, after): the units found around every place of a unit, nearest first.
 
-    A round looks ``step`` units far; it is repeated further out only while some
-    unit agrees on all of them.
+    A round looks ``step`` units far; twice as many follow while some unit
+    agrees on all of them.
     """
     in_island = Window.partitionBy("side", "file_id", "island").orderBy("run")
     offset, found = 0, None
@@ -152,6 +152,7 @@ def _unit_extensions(runs: DataFrame, step: int) -> DataFrame:
         offset += step
         if found.filter((F.size("before") == offset) | (F.size("after") == offset)).isEmpty():
             return found
+        step *= 2
 
 
 def line_clones(

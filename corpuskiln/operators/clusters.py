@@ -14,6 +14,10 @@ from corpuskiln.operators.skew import join_hot_keys
 from corpuskiln.scratch import write_scratch
 
 
+# parts in which the members of one cluster are ranked
+RANK_PARTS = 4096
+
+
 def connected_components(pairs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """(cluster_id, id) of every vertex of ``pairs``; the cluster id is its smallest member.
 
@@ -121,10 +125,10 @@ def duplicate_clusters(
 
 
 def _first_undecided(undecided: DataFrame, config: NearDupConfig) -> DataFrame:
-    """The first few ids of each cluster, ranked within id ranges before clusters."""
-    places = undecided.select("cluster_id", "id", id_chunk(F.col("id"), config.chunk).alias("_chunk"))
-    per_chunk = Window.partitionBy("cluster_id", "_chunk").orderBy("id")
-    few = places.withColumn("_place", F.row_number().over(per_chunk)).filter(F.col("_place") <= config.pivots)
+    """The first few ids of each cluster, ranked within parts of a cluster first."""
+    places = undecided.select("cluster_id", "id", F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS)).alias("_part"))
+    per_part = Window.partitionBy("cluster_id", "_part").orderBy("id")
+    few = places.withColumn("_place", F.row_number().over(per_part)).filter(F.col("_place") <= config.pivots)
     per_cluster = Window.partitionBy("cluster_id").orderBy("id")
     first = few.withColumn("_place", F.row_number().over(per_cluster)).filter(F.col("_place") <= config.pivots)
     return first.select("cluster_id", "id")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from corpuskiln.config import NearDupConfig
 from corpuskiln.functions import text as T
-from corpuskiln.operators.ordering import id_chunk
 from corpuskiln.operators.skew import join_hot_keys
 from corpuskiln.scratch import write_scratch
 
@@ -126,7 +125,7 @@ def band_buckets(signatures: DataFrame, id_col: str, config: NearDupConfig = Nea
 
 
 def shared_buckets(buckets: DataFrame, id_col: str, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """(bucket, id, root) of buckets with two files or more; ``root`` is the smallest id.
+    """(bucket, id, root, n) of buckets with two files or more; ``root`` is the smallest id.
 
     ``buckets`` is read twice, so pass a stored table.
     """
@@ -137,22 +136,22 @@ def shared_buckets(buckets: DataFrame, id_col: str, config: NearDupConfig = Near
         "repeated-buckets",
     )
     counts = per_bucket.select("bucket", "n")
-    return join_hot_keys(buckets, per_bucket.drop("n"), ["bucket"], id_col, config.hot_rows, counts)
+    return join_hot_keys(buckets, per_bucket, ["bucket"], id_col, config.hot_rows, counts)
 
 
 def star_pairs(shared: DataFrame, id_col: str, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """Pairs (id_a < id_b) that connect the files of each bucket.
 
-    Files link to the smallest id of their bucket within a range of ids, and
-    these link to the smallest id of the bucket: n - 1 pairs instead of n^2, with
-    the same connected components and no vertex above ``chunk`` links per bucket.
+    Files link to the smallest id of their part of the bucket, and these link to
+    the smallest id of the bucket: n - 1 pairs instead of n^2, with the same
+    connected components. A part has about ``chunk`` files, which bounds the
+    links of a vertex.
     """
-    chunked = shared.withColumn("_chunk", id_chunk(F.col(id_col), config.chunk))
-    centres = chunked.groupBy("bucket", "_chunk").agg(F.min(id_col).alias("_centre"), F.min("root").alias("root"))
-    members = (
-        chunked.drop("root")
-        .join(centres.drop("root"), ["bucket", "_chunk"])
-        .select(F.col("_centre").alias("id_a"), F.col(id_col).alias("id_b"))
+    parts = F.ceil(F.col("n") / F.lit(config.chunk)).cast("int")
+    chunked = shared.withColumn("_part", F.pmod(F.xxhash64(id_col), parts))
+    centres = chunked.groupBy("bucket", "_part").agg(F.min(id_col).alias("_centre"), F.min("root").alias("root"))
+    members = chunked.join(centres.drop("root"), ["bucket", "_part"]).select(
+        F.col("_centre").alias("id_a"), F.col(id_col).alias("id_b")
     )
     roots = centres.select(F.col("root").alias("id_a"), F.col("_centre").alias("id_b"))
     return members.unionByName(roots).filter(F.col("id_a") < F.col("id_b")).distinct()

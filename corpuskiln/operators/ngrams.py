@@ -62,17 +62,18 @@ def ngram_perplexity(model: DataFrame, valid: DataFrame, text_col: str, n: int =
 def ngram_federated(df: DataFrame, text_col: str, org_col: str, n: int = 2) -> DataFrame:
     """(context, word, probability): relative frequencies per organisation, averaged by examples.
 
-    An organisation without the n-gram adds a zero. There is one row per
-    organisation in the totals, and organisations are a fixed list, so the totals
-    are broadcast.
+    An organisation without the n-gram adds a zero. The totals, one row per
+    organisation, are stored, so the join knows their size.
     """
     counts = ngram_rows(df, text_col, n, [org_col]).groupBy(org_col, "context", "word").agg(F.count("*").alias("n"))
     tokens = F.sum(F.greatest(F.size(T.word_tokens(F.col(text_col))) - n + 1, F.lit(0)))
-    per_org = df.groupBy(org_col).agg(F.count("*").alias("_examples"), tokens.alias("_grams"))
-    examples = df.agg(F.count("*").alias("n")).scalar()
+    per_org = write_scratch(
+        df.groupBy(org_col).agg(F.count("*").alias("_examples"), tokens.alias("_grams")), "examples"
+    )
+    examples = per_org.agg(F.sum("_examples").alias("n")).scalar()
     share = F.sum(F.col("_examples") * F.col("n") / F.col("_grams"))
     return (
-        counts.join(F.broadcast(per_org), org_col)
+        counts.join(per_org, org_col)
         .groupBy("context", "word")
         .agg(share.alias("_share"))
         .select("context", "word", (F.col("_share") / examples).alias("probability"))

@@ -1,8 +1,9 @@
 """Global positions, seeded shuffles and exact splits without a one-task sort.
 
 A position is the row's place inside its chunk plus the rows of all earlier
-chunks. Chunks are ranges of the sort key: windows run per chunk, and only one
-row per chunk takes part in the running total over chunks.
+chunks. Chunks are ranges of the sort key, and ranges of chunks are added up the
+same way, so no window sees more than ``CHUNK_IDS`` rows, however the keys are
+spread over the 64-bit integers.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 from pyspark.sql.window import Window
 
 from corpuskiln import config
 from corpuskiln.functions.hashing import order_hash, uniform_draw
 
 CHUNK_IDS = 65_536
+# ranges of ranges: 2^16 keys, 2^32 keys, 2^48 keys
+CHUNK_LEVELS = 2
 HASH_PREFIX = 4
 
 
@@ -25,16 +29,34 @@ def id_chunk(key: Column, size: int = CHUNK_IDS) -> Column:
     return F.floor(key / F.lit(size)).cast("bigint")
 
 
+def _before(aggregate, value: str, order: Sequence, by: Sequence[str]) -> Column:
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return aggregate(value).over(window)
+
+
+def _chunk_starts(chunks: DataFrame, aggregate, merge, by: list[str], levels: int) -> DataFrame:
+    """(by, _chunk, _start): what all earlier chunks add up to."""
+    if levels == 0:
+        return chunks.select(*by, "_chunk", _before(aggregate, "_all", ["_chunk"], by).alias("_start"))
+    ranged = chunks.withColumn("_range", id_chunk(F.col("_chunk")))
+    ranges = ranged.groupBy(*by, F.col("_range").alias("_chunk")).agg(aggregate("_all").alias("_all"))
+    upper = _chunk_starts(ranges, aggregate, merge, by, levels - 1).select(
+        *by, F.col("_chunk").alias("_range"), F.col("_start").alias("_upper")
+    )
+    inside = ranged.withColumn("_lower", _before(aggregate, "_all", ["_chunk"], [*by, "_range"]))
+    return inside.join(upper, [*by, "_range"]).select(
+        *by, "_chunk", merge(F.col("_upper"), F.col("_lower")).alias("_start")
+    )
+
+
 def _running(df, value, aggregate, merge, order, chunk, out, by) -> DataFrame:
+    by = list(by)
     keyed = df.withColumns({"_chunk": chunk, "_value": value})
-    chunk_order = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        keyed.groupBy(*by, "_chunk")
-        .agg(aggregate("_value").alias("_all"))
-        .select(*by, "_chunk", aggregate("_all").over(chunk_order).alias("_start"))
-    )
-    row_order = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_inside", aggregate("_value").over(row_order))
+    chunks = keyed.groupBy(*by, "_chunk").agg(aggregate("_value").alias("_all"))
+    # chunks of a hash are few and not numbers
+    levels = CHUNK_LEVELS if chunks.schema["_chunk"].dataType == Ty.LongType() else 0
+    starts = _chunk_starts(chunks, aggregate, merge, by, levels)
+    placed = keyed.withColumn("_inside", _before(aggregate, "_value", order, [*by, "_chunk"]))
     return (
         placed.join(starts, [*by, "_chunk"])
         .withColumn(out, merge(F.col("_start"), F.col("_inside")))

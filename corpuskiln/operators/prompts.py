@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuskiln.config import GenerationConfig
 from corpuskiln.functions import text as T
 from corpuskiln.operators.ordering import CHUNK_IDS, id_chunk, number_rows, running_total
+from corpuskiln.scratch import write_scratch
 
 FUNCTION_TYPE = "array<struct<position:int,function_name:string,signature_with_docstring:string>>"
 
@@ -95,13 +96,15 @@ def function_counts(
     extracted = F.filter(
         "functions", lambda f: T.pre_token_count(f["signature_with_docstring"]) <= limit
     )
-    counted = parsed_functions(df, id_col, text_col).select(
-        id_col, F.size("functions").alias("n_functions"), F.size(extracted).alias("n_docstrings")
+    # the totals read the counts several times; stored, each file is parsed once
+    counted = write_scratch(
+        parsed_functions(df, id_col, text_col).select(
+            id_col, F.size("functions").alias("n_functions"), F.size(extracted).alias("n_docstrings")
+        ),
+        "function-counts",
     )
     order, part = [F.col(id_col)], id_chunk(F.col(id_col), chunk)
-    both = F.struct("n_functions", "n_docstrings")
-    packed = counted.withColumn("_both", both)
-    totals = running_total(packed, F.col("n_functions"), order, part, "_functions")
+    totals = running_total(counted, F.col("n_functions"), order, part, "_functions")
     totals = running_total(totals, F.col("n_docstrings"), order, part, "_docstrings")
     return totals.select(
         id_col,

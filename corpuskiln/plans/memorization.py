@@ -18,6 +18,8 @@ from corpuskiln.operators.prompts import (
     truncate_at_stop,
 )
 
+from corpuskiln.scratch import write_scratch
+
 
 @dataclass
 class MemorizationReport:
@@ -29,8 +31,13 @@ class MemorizationReport:
 def build_prompts(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "content", config: GenerationConfig = GenerationConfig()
 ) -> DataFrame:
-    """(function_id, function_name, signature_with_docstring) of a Python corpus."""
-    short = prompt_token_limit(extract_functions(df, id_col, text_col), limit=config.prompt_tokens)
+    """(function_id, function_name, signature_with_docstring) of a Python corpus.
+
+    Numbering reads the functions twice, so they are stored first.
+    """
+    short = write_scratch(
+        prompt_token_limit(extract_functions(df, id_col, text_col), limit=config.prompt_tokens), "functions"
+    )
     return running_function_id(short, id_col, "position").select(
         "function_id", "function_name", "signature_with_docstring"
     )

@@ -44,11 +44,18 @@ def stream_org_route(
 def first_of_stream(rows: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
     """The first row seen of each content hash.
 
-    Only the hash and the kept columns enter the state shuffle. The state keeps one
-    entry per distinct hash for good, so a long stream wants a state store on disk.
+    Only the hash and the kept columns enter the state shuffle, and copies within
+    one Arrow batch leave before it, so a hash shared by a third of all rows sends
+    one row per batch. The state keeps one entry per distinct hash for good, so a
+    long stream wants a state store on disk.
     """
     hashed = rows.select(*keep, content_hash(F.col(text_col)).alias("hash"))
-    return hashed.dropDuplicates(["hash"])
+
+    def first_in_batch(batches):
+        for batch in batches:
+            yield batch.drop_duplicates("hash")
+
+    return hashed.mapInPandas(first_in_batch, hashed.schema).dropDuplicates(["hash"])
 
 
 def stream_exact_dedup(

@@ -6,7 +6,7 @@ from corpuskiln.operators import clones
 from corpuskiln.sources import readers, writers
 
 REPORT = """<?xml version="1.0"?>
-<simian version="4">
+<report version="1">
  <check threshold="6">
   <set lineCount="8" fingerprint="f1">
    <block sourceFile="a.py" startLineNumber="1" endLineNumber="8"/>
@@ -19,7 +19,7 @@ REPORT = """<?xml version="1.0"?>
   <set lineCount="6" fingerprint="f2"><block sourceFile="c.py" startLineNumber="1" endLineNumber="6"/></set>
   <summary duplicateFileCount="2" duplicateLineCount="30"/>
  </check>
-</simian>
+</report>
 """
 
 TRICKY = ['plain', 'quote " and, comma', "line\nbreak", "  spaces  ", "tab\t", "\\back\\", '""', "trail\n", "é中", '"\n"']
