@@ -1,9 +1,9 @@
 """Global positions, seeded shuffles and exact splits without a one-task sort.
 
 A position is the row's place inside its chunk plus the rows of all earlier
-chunks. Chunks are ranges of the sort key, and ranges of chunks are added up the
-same way, so no window sees more than ``CHUNK_IDS`` rows, however the keys are
-spread over the 64-bit integers.
+chunks. Chunks are ranges of the sort key. Many chunks are added up the same way, by
+ranges of chunks, so no window sees more than ``CHUNK_IDS`` rows, however the
+keys are spread over the 64-bit integers.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from corpuskiln import config
 from corpuskiln.functions.hashing import order_hash, uniform_draw
+from corpuskiln.scratch import write_scratch
 
 CHUNK_IDS = 65_536
 # ranges of ranges: 2^16 keys, 2^32 keys, 2^48 keys
@@ -52,9 +53,10 @@ def _chunk_starts(chunks: DataFrame, aggregate, merge, by: list[str], levels: in
 def _running(df, value, aggregate, merge, order, chunk, out, by) -> DataFrame:
     by = list(by)
     keyed = df.withColumns({"_chunk": chunk, "_value": value})
-    chunks = keyed.groupBy(*by, "_chunk").agg(aggregate("_value").alias("_all"))
-    # chunks of a hash are few and not numbers
-    levels = CHUNK_LEVELS if chunks.schema["_chunk"].dataType == Ty.LongType() else 0
+    # stored, since every level reads it; each level would scan the input again
+    chunks = write_scratch(keyed.groupBy(*by, "_chunk").agg(aggregate("_value").alias("_all")), "chunks")
+    numbered = chunks.schema["_chunk"].dataType == Ty.LongType()
+    levels = CHUNK_LEVELS if numbered and chunks.count() > CHUNK_IDS else 0
     starts = _chunk_starts(chunks, aggregate, merge, by, levels)
     placed = keyed.withColumn("_inside", _before(aggregate, "_value", order, [*by, "_chunk"]))
     return (

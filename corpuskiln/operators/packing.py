@@ -8,36 +8,21 @@ from pyspark.sql import functions as F
 from corpuskiln.config import PackingConfig
 from corpuskiln.functions import text as T
 from corpuskiln.operators.ordering import CHUNK_IDS, id_chunk, running_total
+from corpuskiln.scratch import write_scratch
 
 
-def pretokenized_pack(
-    df: DataFrame,
-    tokens_col: str,
-    position_col: str,
-    separator: Column,
-    seq_length: int = 1024,
-    max_doc_tokens: int | None = None,
-    shard_col: str | None = None,
-    chunk: int = CHUNK_IDS,
-) -> DataFrame:
-    """(seq_id, tokens): documents joined in order, a separator after each, cut into equal blocks.
+def _offsets(sizes: DataFrame, by: list[str], chunk: int) -> DataFrame:
+    """(by, _position, _offset): tokens before each document, from the document sizes alone.
 
-    The short tail is dropped once, or once per shard. A document knows its
-    offset in the whole stream and is cut at block borders, so what moves are
-    slices of its token array, not single tokens; a block gathers at most
-    ``seq_length`` tokens.
+    The sizes are stored, so the tokens are counted once.
     """
-    by = [shard_col] if shard_col else []
-    tokens = F.col(tokens_col)
-    if max_doc_tokens is not None:
-        tokens = F.slice(tokens, 1, max_doc_tokens)
-    ended = df.select(
-        *by, F.col(position_col).alias("_position"), F.concat(tokens, F.array(separator)).alias("_tokens")
-    )
-    order = [F.col("_position")]
-    placed = running_total(
-        ended, F.size("_tokens"), order, id_chunk(F.col("_position"), chunk), "_offset", by
-    )
+    sizes, position = write_scratch(sizes, "sizes"), F.col("_position")
+    placed = running_total(sizes, F.col("_size"), [position], id_chunk(position, chunk), "_offset", by)
+    return placed.drop("_size")
+
+
+def _blocks(placed: DataFrame, by: list[str], seq_length: int) -> DataFrame:
+    """Cut documents (_tokens, _offset) at block borders and join the pieces of each block."""
     offset, size = F.col("_offset"), F.size("_tokens")
     length = F.lit(seq_length).cast("bigint")
 
@@ -52,8 +37,46 @@ def pretokenized_pack(
         *by, "_cut.seq_id", F.struct("_cut.at", "_cut.piece").alias("_part")
     )
     blocks = pieces.groupBy(*by, "seq_id").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
-    joined = F.flatten(F.transform("_parts", lambda part: part["piece"]))
-    return blocks.select(*by, "seq_id", joined.alias("tokens")).filter(F.size("tokens") == seq_length)
+    # only the block at the end of the stream is short
+    full = F.aggregate("_parts", F.lit(0), lambda n, part: n + F.size(part["piece"])) == seq_length
+    joined = F.flatten(F.col("_parts.piece"))
+    return blocks.filter(full).select(*by, "seq_id", joined.alias("tokens"))
+
+
+def _ended(tokens: Column, separator: Column, max_doc_tokens: int | None) -> Column:
+    if max_doc_tokens is not None:
+        tokens = F.slice(tokens, 1, max_doc_tokens)
+    return F.concat(tokens, F.array(separator))
+
+
+def _ended_size(count: Column, max_doc_tokens: int | None) -> Column:
+    if max_doc_tokens is not None:
+        count = F.least(count, F.lit(max_doc_tokens))
+    return (count + 1).cast("bigint")
+
+
+def pretokenized_pack(
+    df: DataFrame,
+    tokens_col: str,
+    position_col: str,
+    separator: Column,
+    seq_length: int = 1024,
+    max_doc_tokens: int | None = None,
+    shard_col: str | None = None,
+    chunk: int = CHUNK_IDS,
+) -> DataFrame:
+    """(seq_id, tokens): documents joined in order, a separator after each, cut into equal blocks.
+
+    The short tail is dropped once, or once per shard. Offsets come from the
+    document sizes; a document then knows the blocks it falls into and is cut at
+    their borders, so what moves are slices of its token array, not single
+    tokens. A block gathers at most ``seq_length`` tokens.
+    """
+    by = [shard_col] if shard_col else []
+    rows = df.select(*by, F.col(position_col).alias("_position"), F.col(tokens_col).alias("_ids"))
+    sizes = rows.select(*by, "_position", _ended_size(F.size("_ids"), max_doc_tokens).alias("_size"))
+    placed = rows.join(_offsets(sizes, by, chunk), [*by, "_position"])
+    return _blocks(placed.withColumn("_tokens", _ended(F.col("_ids"), separator, max_doc_tokens)), by, seq_length)
 
 
 def pack_sequences(
@@ -64,18 +87,18 @@ def pack_sequences(
     shard_col: str | None = None,
     chunk: int = CHUNK_IDS,
 ) -> DataFrame:
-    """Tokenize a text column and pack it, see ``pretokenized_pack``."""
-    tokenized = df.withColumn("_text_tokens", T.pre_tokens(F.col(text_col)))
-    return pretokenized_pack(
-        tokenized,
-        "_text_tokens",
-        position_col,
-        F.lit(config.separator),
-        config.seq_length,
-        config.max_doc_tokens,
-        shard_col,
-        chunk,
-    )
+    """Tokenize a text column and pack it, see ``pretokenized_pack``.
+
+    The join with the offsets moves the text, which is several times smaller
+    than its token array; tokens are cut after it.
+    """
+    by = [shard_col] if shard_col else []
+    rows = df.select(*by, F.col(position_col).alias("_position"), F.col(text_col).alias("_text"))
+    count = T.pre_token_count(F.col("_text"))
+    sizes = rows.select(*by, "_position", _ended_size(count, config.max_doc_tokens).alias("_size"))
+    placed = rows.join(_offsets(sizes, by, chunk), [*by, "_position"])
+    tokens = _ended(T.pre_tokens(F.col("_text")), F.lit(config.separator), config.max_doc_tokens)
+    return _blocks(placed.select(*by, "_offset", tokens.alias("_tokens")), by, config.seq_length)
 
 
 def sequence_batches(sequences: DataFrame, batch_size: int, seq_col: str = "seq_id") -> DataFrame:

@@ -57,6 +57,14 @@ def test_running_values_by_group(spark, chunk):
         assert row.low == min((v for i, k, v in rows if k == row.key and i < row.id), default=None)
 
 
+def test_ids_spread_over_all_integers(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CHUNK_IDS", 8)
+    rows = [(hash_id, i) for i, hash_id in enumerate(sorted({(x * 2654435761 * 97531) % 2**60 - 2**59 for x in range(300)}))]
+    df = spark.createDataFrame(rows, "id long, want long").repartition(4)
+    got = ordering.number_rows(df, [F.col("id")], ordering.id_chunk(F.col("id"), 2), "got")
+    assert got.filter("got <> want").count() == 0 and got.count() == len(rows)
+
+
 def test_running_function_ids(spark):
     df = spark.createDataFrame([(f, p) for f in (5, 2, 300) for p in (2, 1)], "file long, place int")
     got = ordering.running_function_id(df, "file", "place", chunk=4).orderBy("function_id").collect()
