@@ -552,5 +552,6 @@ def stream_exact_dedup(spark, sf_dir):
 @query
 def stream_ngram_train(spark, sf_dir):
     out = scratch_path(spark, "stream-ngrams")
-    streams.stream_ngram_train(_stream(spark, sf_dir), "text", out, scratch_path(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(f"{out}/batch=0").select("context", "word", "n")
+    run = streams.stream_ngram_train(_stream(spark, sf_dir), "text", out, scratch_path(spark, "stream-state"))
+    run.awaitTermination()
+    return streams.latest_model(spark, out, run).select("context", "word", "n")

@@ -44,11 +44,11 @@ def test_functions_in_breadth_first_order(sources):
     rows = prompts.extract_functions(sources).orderBy("doc_id", "position").collect()
     assert [(r.doc_id, r.position, r.function_name) for r in rows] == [
         (1, 1, "outer"),
-        (1, 4, "method"),
-        (1, 5, "inner"),
+        (1, 4, "inner"),
+        (1, 5, "method"),
         (4, 1, "f"),
         (5, 1, "g"),
-    ] or [(r.doc_id, r.function_name) for r in rows] == [(1, "outer"), (1, "inner"), (1, "method"), (4, "f"), (5, "g")]
+    ]
     texts = {r.function_name: r.signature_with_docstring for r in rows}
     assert texts["outer"] == 'def outer(a,\n          b):\n    """Outer doc.\n\n    More."""'
     assert texts["inner"] == '    def inner():\n        "Inner doc"'
