@@ -11,6 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from checks.queries import QUERIES  # noqa: E402
+from corpuskiln.scratch import use_local_scratch  # noqa: E402
 from corpuskiln.session import local_session  # noqa: E402
 
 RUNS = 2
@@ -52,6 +53,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus)
+    use_local_scratch(spark)
     # the first run of each query compiles its code and starts Python workers
     seconds = {name: round(min(timed(spark, name, sf_dir) for _ in range(RUNS)), 3) for name in names}
     print(

@@ -10,6 +10,7 @@ import pandas as pd
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from corpuskiln.scratch import use_local_scratch
 from corpuskiln.session import local_session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -48,6 +49,7 @@ def main() -> int:
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     names = args[1:] or list(QUERIES)
     spark = local_session(8)
+    use_local_scratch(spark)
     con = database(sf_dir)
     bad = 0
     for name in names:

@@ -8,19 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# for sessions whose entry point has named a folder, by application
+_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the cluster names it.
+    """The shared folder for intermediate tables, as the cluster names it in spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _ROOTS.get(spark.sparkContext.applicationId)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root.rstrip("/")
 
-    Only a local session without that setting gets a folder on this machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
+
+def use_local_scratch(spark: SparkSession) -> None:
+    """For tests, benchmarks and checks on one machine: a new folder, only where none is set."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.applicationId in _ROOTS:
+        return
     if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _ROOTS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -5,9 +5,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from corpuskiln.scratch import use_local_scratch  # noqa: E402
 from corpuskiln.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8)
+    session = local_session(8)
+    use_local_scratch(session)
+    return session
