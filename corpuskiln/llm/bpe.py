@@ -2,7 +2,8 @@
 
 A pre-token's symbols form a doubly linked list. A heap holds the merge rank of
 every neighbouring pair; an entry whose symbols have changed since it was pushed
-is stale and skipped. Decoding joins the vocabulary strings of the ids by one
+is stale and skipped. Normal form and pre-tokens, which depend on a version of
+Unicode, are those of the library that reads the same file. Decoding joins the vocabulary strings of the ids by one
 space, as the library does for a file that names no decoder.
 
 Long pre-tokens cost n log n. Ids of short chunks are cached per Python worker,
@@ -24,19 +25,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from corpuskiln.llm.wordbpe import ANY_SPECIAL, ChunkCache, pre_tokens, text_ids
+from corpuskiln.llm.wordbpe import ANY_SPECIAL, ChunkCache, text_ids
 
 ID_TYPE = "<u4"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: printable bytes for themselves, the rest from 256 on."""
-    printable = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-
-
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -50,16 +45,16 @@ class WordBpe:
             self.strings[i] = string
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        symbols = byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + end] for s in symbols]
+        self.inner = {s: i for s, i in vocab.items() if len(s) == 1}
+        self.last = {s: vocab[s + end] for s in self.inner if s + end in vocab}
+        library = Tokenizer.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.words = ChunkCache(self.encode_word)
         self.chunks = ChunkCache(self.encode_chunk)
 
     def encode_word(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        data = word.encode("utf-8")
-        ids = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
+        """Ids of one pre-token, given as the symbols of its bytes."""
+        ids = [self.inner[s] for s in word[:-1]] + [self.last[word[-1]]]
         return np.asarray(self.merge(ids), ID_TYPE).tobytes()
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -95,7 +90,7 @@ class WordBpe:
             if piece in self.special:
                 out.append(np.asarray([self.special[piece]], ID_TYPE).tobytes())
             else:
-                out += map(self.words.__getitem__, pre_tokens(piece))
+                out += [self.words[word] for word, _ in self.split(self.normalize(piece))]
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:

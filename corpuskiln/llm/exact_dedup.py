@@ -53,9 +53,9 @@ def merge_runs(rows: DataFrame, largest: bool = True, leaves: int = LEAVES, fan_
         F.struct("doc_id", "row_id").alias("keep"),
         F.lit(1).cast("bigint").alias("n"),
     )
-    nodes = leaves
-    while nodes > 1:
-        nodes = -(-nodes // fan_in)
+    nodes, merged = leaves, False
+    while nodes > 1 or not merged:
+        nodes, merged = -(-nodes // fan_in), True
         parent = [F.floor(F.col("node") / fan_in).alias("node")] if nodes > 1 else []
         runs = runs.groupBy(*parent, *KEY).agg(best("keep").alias("keep"), F.sum("n").alias("n"))
     return runs.withColumnRenamed("n", "group_size")

@@ -1,4 +1,4 @@
-"""The parts of a word-level BPE tokenizer file that split a text before any merge.
+"""How a text falls into chunks whose ids do not depend on each other, for a word-level BPE tokenizer file.
 
 White space separates: no pre-token crosses it and Unicode composition does not
 either, so a text's ids are the ids of its white-space-delimited chunks in order.
@@ -8,15 +8,11 @@ A bounded cache of chunks per Python worker therefore gives the ids of whole tex
 from __future__ import annotations
 
 import re
-import unicodedata
-
-import regex
 
 # Fixed values of the tokenizer file: white space of its patterns (without the
-# separators 1C to 1F that str.split() also takes), special tokens, pre-tokens.
-WHITE = "\t-\r \x85\xa0  -     　"
+# separators 1C to 1F that str.split() also takes) and special tokens.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
 CHUNKS = re.compile(f"[^{WHITE}]+")
@@ -29,15 +25,6 @@ def chunks(text: str) -> list[str]:
     return CHUNKS.findall(text) if SEPARATORS.search(text) else text.split()
 
 
-def lower(text: str) -> str:
-    """Lower case character by character: no rule for a final sigma."""
-    return text.replace("Σ", "σ").lower()
-
-
-def pre_tokens(piece: str) -> list[str]:
-    return PRE_TOKENS.findall(lower(unicodedata.normalize("NFC", piece)))
-
-
 class ChunkCache(dict):
     """chunk -> value of ``encode(chunk)``; emptied by ``trim`` when it is full."""
 
