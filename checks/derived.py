@@ -23,8 +23,28 @@ STOPS = ("\nThe", "\nAnd", "\nOf")
 PROSE = CleaningConfig(line_max=3000, line_mean=600, alpha_frac=0.75, min_token_ratio=2.5, min_assignments=-1)
 
 
+# The piece of a Parquet file one task reads.
+ROW_GROUP_BYTES = 128 * 1024 * 1024
+
+
+def spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; a small one with few files is spread over all cores.
+
+    A file with one row group is one task, whatever its text costs to process.
+    Rows move only if the whole table is smaller than a row group per core, so
+    a large table is never shuffled here.
+    """
+    df = scan_parquet(spark, path)
+    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+    if len(files) >= cores:
+        return df
+    listing = spark.read.format("binaryFile").load(files)
+    size = listing.agg(F.sum("length")).first()[0] or 0
+    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return scan_parquet(spark, f"{sf_dir}/{name}.parquet")
+    return spread(spark, f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,8 +174,10 @@ ANNOTATED = """copied AS (
   SELECT id, max(copies) AS copies
   FROM (SELECT cluster_id, extreme_id AS id, count(*) AS copies FROM outcome GROUP BY ALL) GROUP BY id),
 annotated AS (
-  SELECT o.cluster_id, o.id, c.copies IS NOT NULL AS is_extreme, c.copies
-  FROM outcome o LEFT JOIN copied c USING (id))"""
+  SELECT o.cluster_id, o.id, d.source || '/' || d.lang AS repo_name,
+         'd' || d.doc_id || CASE WHEN d.lang = 'fr' THEN '.md' ELSE '.py' END AS path,
+         c.copies IS NOT NULL AS is_extreme, c.copies
+  FROM outcome o JOIN documents d ON d.doc_id = o.id LEFT JOIN copied c USING (id))"""
 
 FUNCTIONS = f"""functions AS (
   SELECT doc_id, CAST(2 AS BIGINT) AS position, 'method_' || doc_id AS function_name,
@@ -248,12 +250,13 @@ units AS (
          b1[1:len(list_filter(range(1, len(b1) + 1), lambda n: b1[1:n] = b2[1:n]))] AS before
   FROM extremes),
 grown AS (
-  SELECT DISTINCT side, file_id, island, run - len(before) AS run_from, run + len(after) AS run_to,
-         md5(array_to_string(list_concat(list_concat(list_reverse(before), [unit]), after), ',')) AS fingerprint
+  SELECT DISTINCT side, file_id, island, run - len(before) AS run_from, run + len(after) AS run_to
   FROM runs JOIN units USING (unit)),
 blocks AS (
   SELECT g.side, g.file_id, x.start_line, y.end_line,
-         CAST(y.last_place - x.first_place + {threshold} AS BIGINT) AS line_count, g.fingerprint
+         CAST(y.last_place - x.first_place + {threshold} AS BIGINT) AS line_count,
+         (SELECT md5(string_agg(f.line, chr(10) ORDER BY f.no)) FROM filled f
+          WHERE f.side = g.side AND f.file_id = g.file_id AND f.no BETWEEN x.start_line AND y.end_line) AS fingerprint
   FROM grown g
   JOIN runs x ON x.side = g.side AND x.file_id = g.file_id AND x.run = g.run_from
   JOIN runs y ON y.side = g.side AND y.file_id = g.file_id AND y.run = g.run_to),
@@ -309,6 +312,21 @@ ID_TOKENS = (
     "FROM documents"
 )
 
+
+
+def shuffled_tokens(split: str, seed: int) -> str:
+    """The documents of one part of the split, numbered in their seeded order."""
+    return (
+        f"SELECT row_number() OVER (ORDER BY {order_hash('doc_id', seed)}) - 1 AS doc_id, "
+        f"list_append({tokens('text')}, '<|endoftext|>') AS tokens "
+        f"FROM documents JOIN split USING (doc_id) WHERE split.split = '{split}'"
+    )
+
+
+BATCHES = """SELECT CAST(seq_id // 2 AS BIGINT) AS batch_id, count(*) AS n_sequences,
+               string_agg(tokens, '|' ORDER BY seq_id) AS tokens
+        FROM {table} GROUP BY seq_id // 2"""
+
 ORACLE: dict[str, str] = {
     "collect_sources": f"""WITH {RAW},
         files AS (SELECT md5(content) AS id, repo_name, path FROM raw),
@@ -333,7 +351,8 @@ ORACLE: dict[str, str] = {
     "sink_org_csv": f"WITH {ROUTED} SELECT doc_id, repo_name, path, copies, size, content, org FROM routed",
     "sink_jsonl_gz": "SELECT doc_id, text AS content FROM documents",
     "sink_duplicate_clusters": f"""WITH RECURSIVE {OUTCOME}, {ANNOTATED}
-        SELECT cluster_id, id, is_extreme, coalesce(copies, 0) AS copies FROM annotated""",
+        SELECT cluster_id, id, repo_name, path, is_extreme, coalesce(copies, 0) AS copies,
+               count(*) OVER (PARTITION BY cluster_id) AS n_members FROM annotated""",
     "sink_csv_tables": f"""WITH {FUNCTIONS}
         SELECT function_id AS "function id", function_name AS "function name",
                signature_with_docstring AS "signature with docstring" FROM numbered""",
@@ -353,6 +372,8 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, hash, line_mean, alpha_frac, ratio FROM judged WHERE drop_reason IS NULL""",
     "cleaning_outcome": f"""WITH {REASONS}
         SELECT doc_id, drop_reason IS NULL AS kept, coalesce(drop_reason, 'kept') AS drop_reason FROM judged""",
+    "cleaning_outcome_counted": f"""WITH {REASONS.replace(f"len({tokens('text')}) AS ratio", f"len({words('text')}) AS ratio")}
+        SELECT doc_id, drop_reason IS NULL AS kept, coalesce(drop_reason, 'kept') AS drop_reason FROM judged""",
     "probabilistic_thin": f"""WITH {FEATURES}
         SELECT doc_id, has_no_keywords AS flag FROM features
         WHERE NOT (has_no_keywords AND {draw('doc_id', 'has_no_keywords', 1)} <= CAST(0.7 AS DOUBLE))""",
@@ -387,7 +408,7 @@ ORACLE: dict[str, str] = {
     "near_dedup_greedy": f"""WITH RECURSIVE {OUTCOME_GREEDY}, {REMOVED}
         SELECT doc_id, text AS content FROM documents WHERE doc_id NOT IN (SELECT id FROM removed)""",
     "annotate_clusters": f"""WITH RECURSIVE {OUTCOME}, {ANNOTATED}
-        SELECT cluster_id, id, is_extreme, coalesce(copies, 0) AS copies FROM annotated""",
+        SELECT cluster_id, id, repo_name, path, is_extreme, coalesce(copies, 0) AS copies FROM annotated""",
     "near_dedup_stats": f"""WITH RECURSIVE {OUTCOME}, {REMOVED}
         SELECT (SELECT count(*) FROM documents) AS original_rows,
                count(DISTINCT cluster_id) AS n_clusters, count(DISTINCT id) AS files_in_clusters,
@@ -427,14 +448,31 @@ ORACLE: dict[str, str] = {
         SELECT CAST(seq_id // 3 AS BIGINT) AS batch_id, count(*) AS n_sequences,
                string_agg(tokens, '|' ORDER BY seq_id) AS tokens
         FROM packed GROUP BY seq_id // 3""",
+    "training_batches": f"""WITH {SPLIT.format(key='doc_id', table='documents')}, {packed(shuffled_tokens('train', 1), 512)},
+        moved AS (
+          SELECT tokens, row_number() OVER (
+            ORDER BY CAST(seq_id AS DOUBLE) + {draw('seq_id', 'buffer', 1)} * CAST(1000 AS DOUBLE), seq_id) - 1 AS seq_id
+          FROM packed)
+        {BATCHES.format(table='moved')}""",
+    "evaluation_batches": f"""WITH {SPLIT.format(key='doc_id', table='documents')}, {packed(shuffled_tokens('test', 42), 512)}
+        {BATCHES.format(table='packed')}""",
     "running_function_id": f"WITH {FUNCTIONS} SELECT function_id, doc_id, function_name FROM numbered",
     "extract_functions": f"""WITH {FUNCTIONS}
         SELECT doc_id, position, function_name, signature_with_docstring FROM functions""",
     "prompt_token_limit": f"""
         SELECT doc_id, text AS content FROM documents WHERE len({tokens('text')}) <= 512""",
+    "prompt_token_limit_counted": f"""
+        SELECT doc_id, text AS content FROM documents WHERE len({words('text')}) <= 300""",
     "prompt_expand": f"""WITH {GENERATIONS}
         SELECT conv_id * 1000 + turn AS function_id, copy_id, sample_id, '<|endoftext|>' || {strip('prompt')} AS prompt
         FROM generations CROSS JOIN range(1, 3) AS c(copy_id) CROSS JOIN range(1, 6) AS s(sample_id)""",
+    "prompt_expand_first": f"""WITH {GENERATIONS},
+        numbered AS (
+          SELECT conv_id * 1000 + turn AS function_id, prompt, row_number() OVER (ORDER BY conv_id, turn) AS place
+          FROM generations)
+        SELECT function_id, copy_id, sample_id, '<|endoftext|>' || {strip('prompt')} AS prompt
+        FROM numbered CROSS JOIN range(1, 2) AS c(copy_id) CROSS JOIN range(1, 6) AS s(sample_id)
+        WHERE place <= 25""",
     "strip_prompt": f"""WITH {GENERATIONS}
         SELECT conv_id, turn, substr(generation, length(prompt) + 1) AS body FROM generations""",
     "truncate_at_stop": f"SELECT conv_id, turn, {truncated('text')} AS body FROM conversations",
@@ -443,6 +481,12 @@ ORACLE: dict[str, str] = {
         SELECT conv_id AS function_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS generation_id,
                {truncated('body')} AS generated_content
         FROM stripped""",
+    "scan_generations": f"""WITH {GENERATIONS},
+        stripped AS (SELECT conv_id, turn, substr(generation, length(prompt) + 1) AS body FROM generations)
+        SELECT conv_id AS function_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS generation_id,
+               coalesce({truncated('body')}, '') AS generated_content
+        FROM stripped""",
+    "scan_prompts": f"WITH {FUNCTIONS} SELECT function_id, function_name, signature_with_docstring FROM numbered",
     "line_clones": f"""WITH {OWN_BLOCKS}
         SELECT file_id, start_line, end_line, line_count, fingerprint FROM blocks""",
     "clone_sets": f"WITH {OWN_BLOCKS} SELECT fingerprint, line_count, n_blocks, n_files FROM clone_set",
@@ -480,7 +524,8 @@ ORACLE: dict[str, str] = {
         GROUP BY label, position""",
     "stream_org_route": f"WITH {ROUTED} SELECT doc_id, repo_name, org FROM routed",
     "stream_exact_dedup": f"""
-        SELECT DISTINCT md5(regexp_replace(text, '[{SPACE}]+', '', 'g')) AS hash FROM documents""",
+        SELECT md5(regexp_replace(text, '[{SPACE}]+', '', 'g')) AS hash, CAST(1 AS BIGINT) AS n_first
+        FROM documents GROUP BY 1""",
     "stream_ngram_train": f"""
         SELECT words[i] AS context, words[i + 1] AS word, count(*) AS n
         FROM (SELECT words, unnest(range(1, len(words))) AS i FROM (SELECT {words('text')} AS words FROM documents))

@@ -15,7 +15,7 @@ from corpuskiln.operators import clones, clusters, collection, dedup, features,
 from corpuskiln.operators import ordering, packing, prompts
 from corpuskiln.plans import cleaning
 from corpuskiln.plans import collection as collecting
-from corpuskiln.plans import memorization
+from corpuskiln.plans import memorization, training
 from corpuskiln.scratch import scratch_path, write_scratch
 from corpuskiln.sources import readers, writers
 from corpuskiln.streaming import streams
@@ -94,6 +94,11 @@ def scan_clone_summary(spark, sf_dir):
     return readers.scan_clone_summary(spark, path)
 
 
+def _annotated(spark, sf_dir):
+    outcome = clusters.near_duplicates(_texts(spark, sf_dir))
+    return clusters.annotate_clusters(outcome, D.raw_code(spark, sf_dir)).fillna(0, ["copies"])
+
+
 def _routed(spark, sf_dir):
     return collecting.route_rows(D.raw_code(spark, sf_dir), D.OWNERS)
 
@@ -117,10 +122,10 @@ def sink_jsonl_gz(spark, sf_dir):
 @query
 def sink_duplicate_clusters(spark, sf_dir):
     path = scratch_path(spark, "clusters")
-    annotated = clusters.annotate_clusters(clusters.near_duplicates(_texts(spark, sf_dir)))
-    nested = clusters.nested_clusters(annotated.fillna(0, ["copies"]))
+    nested = clusters.nested_clusters(_annotated(spark, sf_dir))
     writers.sink_duplicate_clusters(nested, path)
-    return readers.scan_jsonl(spark, path, nested.schema).select("cluster_id", F.inline("members"))
+    stored = readers.scan_jsonl(spark, path, nested.schema)
+    return stored.select("cluster_id", F.size("members").cast("bigint").alias("n_members"), F.inline("members"))
 
 
 @query
@@ -311,7 +316,7 @@ def near_dedup_greedy(spark, sf_dir):
 
 @query
 def annotate_clusters(spark, sf_dir):
-    return clusters.annotate_clusters(_outcome(spark, sf_dir)).fillna(0, ["copies"])
+    return _annotated(spark, sf_dir)
 
 
 @query
@@ -407,6 +412,59 @@ def sequence_batches(spark, sf_dir):
     )
 
 
+def _corpora(spark, sf_dir, split):
+    """One corpus a language, of one part of the split."""
+    rows = ordering.train_valid_split(D.documents(spark, sf_dir).withColumnRenamed("text", "content"), "doc_id")
+    return [rows.filter((F.col("split") == split) & (F.col("lang") == lang)) for lang in ("en", "de", "fr", "es")]
+
+
+def _batches(batches):
+    return batches.select(
+        "batch_id",
+        F.size("sequences").cast("bigint").alias("n_sequences"),
+        F.array_join(F.flatten(F.col("sequences.tokens")), "|").alias("tokens"),
+    )
+
+
+@query
+def training_batches(spark, sf_dir):
+    return _batches(training.training_batches(_corpora(spark, sf_dir, "train"), packing=PackingConfig(seq_length=512)))
+
+
+@query
+def evaluation_batches(spark, sf_dir):
+    return _batches(training.evaluation_batches(_corpora(spark, sf_dir, "test"), packing=PackingConfig(seq_length=512)))
+
+
+@query
+def scan_generations(spark, sf_dir):
+    """Generations written with their published headers and read back by them."""
+    path = scratch_path(spark, "generations")
+    table = number_generations(spark, sf_dir)
+    writers.sink_csv_tables(table.fillna("", ["generated_content"]), path, writers.GENERATION_HEADERS)
+    return readers.scan_generations(spark, path).fillna("", ["generated_content"])
+
+
+@query
+def scan_prompts(spark, sf_dir):
+    path = scratch_path(spark, "prompts")
+    writers.sink_csv_tables(memorization.build_prompts(D.python_sources(spark, sf_dir)), path, writers.PROMPT_HEADERS)
+    return readers.scan_prompts(spark, path)
+
+
+@query
+def cleaning_outcome_counted(spark, sf_dir):
+    """Cleaning with the token counts of the caller: here words, in a column of their own."""
+    rows = _texts(spark, sf_dir).withColumn("n_tokens", F.size(T.word_tokens(_content())))
+    return cleaning.cleaning_outcome(rows, config=D.PROSE, token_count=F.col("n_tokens"))
+
+
+@query
+def prompt_token_limit_counted(spark, sf_dir):
+    """The limit by words instead of pieces."""
+    return prompts.prompt_token_limit(_texts(spark, sf_dir), "content", 300, lambda text: F.size(T.word_tokens(text)))
+
+
 @query
 def running_function_id(spark, sf_dir):
     short = prompts.prompt_token_limit(prompts.extract_functions(D.python_sources(spark, sf_dir)))
@@ -436,6 +494,16 @@ def prompt_expand(spark, sf_dir):
     return expanded.withColumns({name: F.col(name).cast("bigint") for name in ("copy_id", "sample_id")})
 
 
+@query
+def prompt_expand_first(spark, sf_dir):
+    """The first prompts of a table whose ids have gaps."""
+    table = D.generations(spark, sf_dir).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("function_id"), F.col("prompt").alias("signature_with_docstring")
+    )
+    expanded = prompts.prompt_expand(table, "<|endoftext|>", config=GenerationConfig(num_tasks=25))
+    return expanded.withColumns({name: F.col(name).cast("bigint") for name in ("copy_id", "sample_id")})
+
+
 @query
 def strip_prompt(spark, sf_dir):
     rows = D.generations(spark, sf_dir)
@@ -546,12 +614,16 @@ def stream_org_route(spark, sf_dir):
 def stream_exact_dedup(spark, sf_dir):
     out = scratch_path(spark, "stream-dedup")
     streams.stream_exact_dedup(_stream(spark, sf_dir), out, scratch_path(spark, "stream-state"), "text").awaitTermination()
-    return spark.read.schema("doc_id bigint, hash string").parquet(out).select("hash")
+    first = spark.read.schema("doc_id bigint, hash string").parquet(out)
+    hashed = D.documents(spark, sf_dir).select("doc_id", T.content_hash(F.col("text")).alias("_own"))
+    # which copy comes first depends on the files; it has to be one of the hash's own documents
+    own = first.join(hashed, "doc_id").filter("hash = _own")
+    return own.groupBy("hash").agg(F.count("doc_id").alias("n_first"))
 
 
 @query
 def stream_ngram_train(spark, sf_dir):
     out = scratch_path(spark, "stream-ngrams")
-    run = streams.stream_ngram_train(_stream(spark, sf_dir), "text", out, scratch_path(spark, "stream-state"))
-    run.awaitTermination()
-    return streams.latest_model(spark, out, run).select("context", "word", "n")
+    state = scratch_path(spark, "stream-state")
+    streams.stream_ngram_train(_stream(spark, sf_dir), "text", out, state).awaitTermination()
+    return streams.latest_model(spark, out).select("context", "word", "n")

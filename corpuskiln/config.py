@@ -5,17 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
-@dataclass(frozen=True)
-class Columns:
-    """Names of the columns an input table uses for id, text and origin."""
-
-    id: str = "doc_id"
-    text: str = "content"
-    repo: str = "repo_name"
-    path: str = "path"
-    size: str = "size"
-
-
 @dataclass(frozen=True)
 class CleaningConfig:
     """Thresholds of the heuristic filter."""
@@ -42,8 +31,9 @@ class NearDupConfig:
     hot_rows: int = 1_000_000
     # ids per star centre; bounds the degree of a vertex in the candidate graph
     chunk: int = 65_536
-    # undecided members of a cluster compared with each other per round
+    # undecided members of a cluster compared with each other in the first round, and at most in a later one
     pivots: int = 16
+    max_pivots: int = 1024
 
 
 @dataclass(frozen=True)

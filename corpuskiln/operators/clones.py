@@ -20,6 +20,7 @@ from corpuskiln.operators.skew import HOT_ROWS, join_hot_keys
 from corpuskiln.scratch import write_scratch
 
 BLOCKS_PER_SET = 1000
+GENERATED = "generated"
 
 
 def line_windows(
@@ -65,7 +66,22 @@ def line_windows(
             F.get("_no", i + (threshold - 1)).alias("end_line"),
         ),
     )
-    return keyed.select("side", "file_id", F.inline(windows))
+    is_generated = F.coalesce(F.col("side") == GENERATED, F.lit(False)).alias("is_generated")
+    return keyed.select("side", is_generated, "file_id", F.inline(windows))
+
+
+def _possible_windows(windows: DataFrame) -> DataFrame:
+    """Windows of the smaller corpus, and those windows of the larger one that it holds too.
+
+    A clone has a place in both corpora. The distinct windows of the generated
+    corpus are few beside those of the training corpus, so most training
+    windows leave in this join, before anything is aggregated or shuffled again.
+    The planner measures the stored windows and sends them whole only if they are small.
+    """
+    generated = windows.filter(F.col("is_generated"))
+    wanted = write_scratch(generated.select("window").distinct(), "generated-windows")
+    training = windows.filter(~F.col("is_generated")).join(wanted, "window", "left_semi")
+    return training.unionByName(generated)
 
 
 def _repeated_windows(windows: DataFrame, by_side: bool) -> DataFrame:
@@ -75,13 +91,13 @@ def _repeated_windows(windows: DataFrame, by_side: bool) -> DataFrame:
     same_before = F.bool_and("has_before") & (F.min("before") == F.max("before"))
     per_window = windows.groupBy("window").agg(
         F.count("*").alias("n"),
-        F.min("side").alias("_low"),
-        F.max("side").alias("_high"),
+        F.bool_or("is_generated").alias("_some"),
+        F.bool_and("is_generated").alias("_all"),
         same_after.alias("one_after"),
         same_before.alias("one_before"),
     )
-    repeated = F.col("_low") != F.col("_high") if by_side else F.col("n") > 1
-    return per_window.filter(repeated).drop("_low", "_high")
+    repeated = F.col("_some") & ~F.col("_all") if by_side else F.col("n") > 1
+    return per_window.filter(repeated).drop("_some", "_all")
 
 
 def _window_runs(places: DataFrame) -> DataFrame:
@@ -155,6 +171,24 @@ def _unit_extensions(runs: DataFrame, step: int) -> DataFrame:
         step *= 2
 
 
+def _fingerprints(df: DataFrame, clones: DataFrame, file_col: str, text_col: str, side_col: str | None) -> DataFrame:
+    """(clone, fingerprint): md5 of the lines of each clone, read at its first place.
+
+    All places have the same lines, so the fingerprint depends on the clone alone,
+    whatever else the corpus holds.
+    """
+    place = F.struct("side", "file_id", "start_line", "end_line")
+    first = clones.groupBy("clone").agg(F.min(place).alias("_at")).select("clone", "_at.*")
+    side = F.lit("") if side_col is None else F.col(side_col)
+    texts = df.select(side.alias("side"), F.col(file_col).alias("file_id"), F.col(text_col).alias("_text"))
+    spans = first.groupBy("side", "file_id").agg(F.collect_list(F.struct("clone", "start_line", "end_line")).alias("_spans"))
+    pieces = texts.join(spans, ["side", "file_id"]).select("_spans", T.split_breaks(F.col("_text")).alias("_pieces"))
+    stripped = pieces.select(F.inline("_spans"), F.transform("_pieces", T.strip_spaces).alias("_lines"))
+    own = F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    filled = F.filter(own, lambda line: line != "")
+    return stripped.select("clone", F.md5(F.array_join(filled, "\n")).alias("fingerprint"))
+
+
 def line_clones(
     df: DataFrame,
     file_col: str = "doc_id",
@@ -166,13 +200,15 @@ def line_clones(
 ) -> DataFrame:
     """(side, file_id, start_line, end_line, line_count, fingerprint), one row per place of a clone.
 
-    With ``side_col`` a clone must occur in two corpora, such as the generated
-    and the training one; without it, at two places of any files.
+    With ``side_col`` a clone must occur in two corpora, the one whose side is
+    ``GENERATED`` and another; without it, at two places of any files. The fingerprint is the md5 of its lines.
     """
     windows = line_windows(df, file_col, text_col, threshold, side_col)
+    if side_col is not None:
+        windows = write_scratch(_possible_windows(windows), "windows")
     per_window = write_scratch(_repeated_windows(windows, side_col is not None), "repeated-windows")
     places = join_hot_keys(
-        windows.drop("before", "has_before", "after", "has_after"),
+        windows.drop("before", "has_before", "after", "has_after", "is_generated"),
         per_window.drop("n"),
         ["window"],
         "file_id",
@@ -186,7 +222,7 @@ def line_clones(
         "unit",
         F.size("before").alias("_back"),
         F.size("after").alias("_on"),
-        F.md5(F.array_join(whole, ",")).alias("fingerprint"),
+        F.md5(F.array_join(whole, ",")).alias("clone"),
     )
     grown = join_hot_keys(
         runs.select("side", "file_id", "island", "run", "unit"),
@@ -195,16 +231,19 @@ def line_clones(
         "file_id",
         hot_rows,
         units.select("unit", "n"),
-    ).select("side", "file_id", "island", (F.col("run") - F.col("_back")).alias("_from"), (F.col("run") + F.col("_on")).alias("_to"), "fingerprint")
+    ).select("side", "file_id", "island", (F.col("run") - F.col("_back")).alias("_from"), (F.col("run") + F.col("_on")).alias("_to"), "clone")
     firsts = runs.select("side", "file_id", "island", F.col("run").alias("_from"), "start_line", "first_place")
     lasts = runs.select("side", "file_id", "island", F.col("run").alias("_to"), "end_line", "last_place")
     line_count = F.col("last_place") - F.col("first_place") + threshold
-    return (
+    placed = write_scratch(
         grown.distinct()
         .join(firsts, ["side", "file_id", "island", "_from"])
         .join(lasts, ["side", "file_id", "island", "_to"])
-        .select("side", "file_id", "start_line", "end_line", line_count.cast("bigint").alias("line_count"), "fingerprint")
+        .select("side", "file_id", "start_line", "end_line", line_count.cast("bigint").alias("line_count"), "clone"),
+        "placed-clones",
     )
+    named = write_scratch(_fingerprints(df, placed, file_col, text_col, side_col), "fingerprints")
+    return join_hot_keys(placed, named, ["clone"], "file_id", hot_rows).drop("clone")
 
 
 def clone_sets(clones: DataFrame) -> DataFrame:

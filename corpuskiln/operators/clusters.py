@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +41,7 @@ def connected_components(pairs: DataFrame, config: NearDupConfig = NearDupConfig
             nearest = F.min(F.struct(F.xxhash64("_near", F.lit(level)).alias("rank"), F.col("_near").alias("id")))
             own = F.struct(F.xxhash64("id", F.lit(level)).alias("rank"), F.col("id"))
             parent = F.least(own, nearest)["id"]
-        merged = ends.groupBy("id").agg(parent.alias("parent"))
+        merged = write_scratch(ends.groupBy("id").agg(parent.alias("parent")), "merged")
         merges.append(merged)
         left = merged.select(F.col("id").alias("id_a"), F.col("parent").alias("_a"))
         right = merged.select(F.col("id").alias("id_b"), F.col("parent").alias("_b"))
@@ -124,19 +126,25 @@ def duplicate_clusters(
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _first_undecided(undecided: DataFrame, config: NearDupConfig) -> DataFrame:
+def _first_undecided(undecided: DataFrame, pivots: int) -> DataFrame:
     """The first few ids of each cluster, ranked within parts of a cluster first."""
     places = undecided.select("cluster_id", "id", F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS)).alias("_part"))
     per_part = Window.partitionBy("cluster_id", "_part").orderBy("id")
-    few = places.withColumn("_place", F.row_number().over(per_part)).filter(F.col("_place") <= config.pivots)
+    few = places.withColumn("_place", F.row_number().over(per_part)).filter(F.col("_place") <= pivots)
     per_cluster = Window.partitionBy("cluster_id").orderBy("id")
-    first = few.withColumn("_place", F.row_number().over(per_cluster)).filter(F.col("_place") <= config.pivots)
+    first = few.withColumn("_place", F.row_number().over(per_cluster)).filter(F.col("_place") <= pivots)
     return first.select("cluster_id", "id")
 
 
-def _new_extremes(undecided: DataFrame, config: NearDupConfig) -> DataFrame:
+def _similar(a: Column, b: Column, threshold: float) -> Column:
+    """Jaccard similarity of two token arrays is at least ``threshold``; sizes that rule it out are compared first."""
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    return (small >= large * F.lit(threshold) - 1e-6) & (T.jaccard(a, b) >= threshold)
+
+
+def _new_extremes(undecided: DataFrame, config: NearDupConfig, pivots: int) -> DataFrame:
     """Per cluster, those of its first undecided sets that no earlier one covers."""
-    first = undecided.join(_first_undecided(undecided, config), ["cluster_id", "id"])
+    first = undecided.join(_first_undecided(undecided, pivots), ["cluster_id", "id"])
     ordered = first.groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(F.struct("id", "tokens"))).alias("_sets")
     )
@@ -144,7 +152,7 @@ def _new_extremes(undecided: DataFrame, config: NearDupConfig) -> DataFrame:
 
     def keep(extremes, candidate):
         covered = F.exists(
-            extremes, lambda other: T.jaccard(other["tokens"], candidate["tokens"]) >= config.jaccard_threshold
+            extremes, lambda other: _similar(other["tokens"], candidate["tokens"], config.jaccard_threshold)
         )
         return F.when(covered, extremes).otherwise(F.array_append(extremes, candidate))
 
@@ -162,15 +170,23 @@ def cluster_extremes(
 
     Members are taken in id order, with exact Jaccard similarity. Equal token
     sets share one outcome, so each distinct set of a cluster is judged once. A
-    round settles the first few undecided sets of every cluster and all sets
-    they cover; a member meets extremes only, never all other members.
+    round settles the first undecided sets of every cluster and all sets
+    they cover; a member meets extremes only, never all other members. Each round
+    takes twice as many sets as the one before, up to ``max_pivots``, so the rounds
+    grow with the logarithm of the extremes of a cluster, and beyond that bound with their number over
+    it. The tokens travel as 64-bit hashes, and only undecided sets enter a round.
     """
     words = T.token_set(F.col(text_col))
     texts = df.select(F.col(id_col).alias("id"), text_col)
     sets = write_scratch(
         members.join(texts, "id")
-        .select("cluster_id", "id", words.alias("tokens"))
-        .withColumn("_set", F.unhex(F.md5(F.concat_ws(" ", F.array_sort("tokens"))))),
+        .select("cluster_id", "id", words.alias("_words"))
+        .select(
+            "cluster_id",
+            "id",
+            F.transform("_words", lambda word: F.xxhash64(word)).alias("tokens"),
+            F.unhex(F.md5(F.concat_ws(" ", F.array_sort("_words")))).alias("_set"),
+        ),
         "cluster-sets",
     )
     distinct_sets = write_scratch(
@@ -179,12 +195,13 @@ def cluster_extremes(
     undecided = sets.drop("_set").join(distinct_sets.select("cluster_id", "id"), ["cluster_id", "id"], "left_semi")
     rounds: list[DataFrame] = []
     while True:
-        extremes = _new_extremes(undecided, config)
+        pivots = min(config.pivots << len(rounds), max(config.pivots, config.max_pivots))
+        extremes = _new_extremes(undecided, config, pivots)
         judged = join_hot_keys(undecided, extremes, ["cluster_id"], "id", config.hot_rows)
         matches = F.filter(
             "_extremes",
             lambda extreme: (extreme["id"] == F.col("id"))
-            | (T.jaccard(extreme["tokens"], F.col("tokens")) >= config.jaccard_threshold),
+            | _similar(extreme["tokens"], F.col("tokens"), config.jaccard_threshold),
         )
         judged = write_scratch(
             judged.withColumn("extreme_id", F.get(matches, F.lit(0))["id"]).drop("_extremes"), "judged"
@@ -241,27 +258,30 @@ def near_dedup(
     return without_copies(df, near_duplicates(df, id_col, text_col, config, mode), id_col)
 
 
-def annotate_clusters(outcome: DataFrame) -> DataFrame:
+def annotate_clusters(
+    outcome: DataFrame, files: DataFrame | None = None, id_col: str = "doc_id", about: Sequence[str] = ("repo_name", "path")
+) -> DataFrame:
     """(cluster_id, id, is_extreme, copies): ``copies`` of extremes counts them and what they cover.
 
-    A file that is an extreme of any cluster counts as one everywhere.
+    A file that is an extreme of any cluster counts as one everywhere. ``files`` adds the columns ``about`` of each file.
     """
     copies = outcome.groupBy("cluster_id", F.col("extreme_id").alias("id")).agg(F.count("*").alias("_copies"))
     per_file = copies.groupBy("id").agg(F.max("_copies").alias("copies"))
-    return (
-        outcome.select("cluster_id", "id")
-        .join(per_file, "id", "left")
-        .select("cluster_id", "id", F.col("copies").isNotNull().alias("is_extreme"), "copies")
-    )
+    named = outcome.select("cluster_id", "id").join(per_file, "id", "left")
+    if files is not None:
+        named = named.join(files.select(F.col(id_col).alias("id"), *about), "id", "left")
+    described = [] if files is None else list(about)
+    return named.select("cluster_id", "id", *described, F.col("copies").isNotNull().alias("is_extreme"), "copies")
 
 
 def nested_clusters(annotated: DataFrame, chunk: int = NearDupConfig().chunk) -> DataFrame:
-    """Clusters as rows with a member array; a large cluster takes one row per range of ids."""
+    """Clusters as rows (cluster_id, part, members): one row, or several of about ``chunk`` members for a larger cluster."""
     member = F.struct(*[F.col(name) for name in annotated.columns if name != "cluster_id"])
-    return (
-        annotated.groupBy("cluster_id", id_chunk(F.col("id"), chunk).alias("part"))
-        .agg(F.array_sort(F.collect_list(member)).alias("members"))
-    )
+    sizes = annotated.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    parts = sizes.select("cluster_id", F.ceil(F.col("n") / chunk).cast("int").alias("_parts"))
+    spread = join_hot_keys(annotated, parts, ["cluster_id"], "id", counts=sizes)
+    part = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("part")
+    return spread.groupBy("cluster_id", part).agg(F.array_sort(F.collect_list(member)).alias("members"))
 
 
 def near_dedup_stats(df: DataFrame, outcome: DataFrame) -> DataFrame:

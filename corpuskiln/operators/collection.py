@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.operators.skew import HOT_ROWS, join_hot_keys
+from corpuskiln.scratch import write_scratch
 
 # Repository owners of each organisation. An owner is matched
 # with its exact case.
@@ -28,9 +29,6 @@ ORG_OWNERS: dict[str, tuple[str, ...]] = {
     "facebook": ("facebook", "facebookresearch", "facebookincubator", "facebookexperimental", "fbsamples"),
 }
 
-# Upper bound of an owner list that is broadcast.
-MAX_OWNERS = 10_000
-
 
 def collect_sources(
     files: DataFrame, contents: DataFrame, licenses: DataFrame, suffix: str = ".py", hot_rows: int = HOT_ROWS
@@ -40,12 +38,14 @@ def collect_sources(
     Both filters and the pruned columns reach the scans. A repository with
     several licence rows repeats its files once per row. Content is shared by
     its copies, so one content id may name a third of all files; both joins
-    spread such keys. Licences join first: they are narrow, and the content then
-    moves once.
+    spread such keys. Licences join first: they are narrow, are stored for the count of hot
+    contents, and the content then moves once.
     """
     named = files.filter(F.col("path").endswith(suffix)).select("id", "repo_name", "path")
     textual = contents.filter(~F.col("binary")).select("id", "copies", "size", "content")
-    licensed = join_hot_keys(named, licenses.select("repo_name", "license"), ["repo_name"], "path", hot_rows)
+    licensed = write_scratch(
+        join_hot_keys(named, licenses.select("repo_name", "license"), ["repo_name"], "path", hot_rows), "licensed"
+    )
     return join_hot_keys(licensed, textual, ["id"], "path", hot_rows).select(
         "repo_name", "path", "copies", "size", "content", "license"
     )
@@ -56,18 +56,20 @@ def owner_map(spark: SparkSession, owners: dict[str, tuple[str, ...]] = ORG_OWNE
     rows = [(owner, org) for org, names in owners.items() for owner in names]
     if len({owner for owner, _ in rows}) != len(rows):
         raise ValueError("an owner may belong to one organisation only")
-    if len(rows) > MAX_OWNERS:
-        raise ValueError("too many owners for a broadcast; join a table of owners instead")
     return spark.createDataFrame(rows, "owner string, org string")
 
 
 def org_route(
-    df: DataFrame, owners: dict[str, tuple[str, ...]] = ORG_OWNERS, repo_col: str = "repo_name"
+    df: DataFrame, owners: dict[str, tuple[str, ...]] | DataFrame = ORG_OWNERS, repo_col: str = "repo_name"
 ) -> DataFrame:
-    """Add ``org``, the organisation that owns the repository; other rows are dropped."""
+    """Add ``org``, the organisation that owns the repository; other rows are dropped.
+
+    ``owners`` is a list in the program or a table (owner, org) with each owner
+    once. The planner knows the size of either and broadcasts it only if it is small.
+    """
+    table = owners if isinstance(owners, DataFrame) else owner_map(df.sparkSession, owners)
     owner = F.split_part(F.col(repo_col), F.lit("/"), F.lit(1))
-    routed = df.withColumn("owner", owner).join(F.broadcast(owner_map(df.sparkSession, owners)), "owner")
-    return routed.drop("owner")
+    return df.withColumn("_owner", owner).join(table.withColumnRenamed("owner", "_owner"), "_owner").drop("_owner")
 
 
 def org_summary(routed: DataFrame, size_col: str = "size") -> DataFrame:

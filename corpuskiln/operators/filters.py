@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.config import CleaningConfig
 from corpuskiln.functions.hashing import uniform_draw
-from corpuskiln.operators.dedup import first_of_hash
+from corpuskiln.operators.dedup import later_copies
 from corpuskiln.operators.features import file_features
 
 
@@ -61,12 +61,14 @@ def drop_reasons(
     A later copy is a duplicate even when the first copy fails a rule, because
     the first copy uses up the hash. The text takes no part in the join.
     """
-    judged = file_features(df.select(id_col, text_col), text_col, config, token_count).select(
+    counted = [] if token_count is None else [token_count.alias("_token_count")]
+    given = None if token_count is None else F.col("_token_count")
+    judged = file_features(df.select(id_col, text_col, *counted), text_col, config, given).select(
         id_col, heuristic_reason(id_col, config).alias("_reason")
     )
-    first = first_of_hash(df, id_col, text_col).withColumn("_first", F.lit(True))
-    reason = F.when(F.col("_first").isNull(), F.lit("duplicate")).otherwise(F.col("_reason"))
-    return judged.join(first, id_col, "left").select(id_col, reason.alias("drop_reason"))
+    later = later_copies(df, id_col, text_col).withColumn("_later", F.lit(True))
+    reason = F.when(F.col("_later"), F.lit("duplicate")).otherwise(F.col("_reason"))
+    return judged.join(later, id_col, "left").select(id_col, reason.alias("drop_reason"))
 
 
 def heuristic_filter(
@@ -86,7 +88,7 @@ def heuristic_filter(
         {"_reason": heuristic_reason(id_col, config), "_row": F.monotonically_increasing_id()}
     )
     passing = judged.filter(F.col("_reason").isNull() & (F.col("_row") >= 0)).drop("_reason", "_row")
-    return passing.join(first_of_hash(df, id_col, text_col), id_col, "left_semi")
+    return passing.join(later_copies(df, id_col, text_col), id_col, "left_anti")
 
 
 def filter_report(reasons: DataFrame) -> DataFrame:

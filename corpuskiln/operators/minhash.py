@@ -140,7 +140,7 @@ def shared_buckets(buckets: DataFrame, id_col: str, config: NearDupConfig = Near
 
 
 def star_pairs(shared: DataFrame, id_col: str, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """Pairs (id_a < id_b) that connect the files of each bucket.
+    """Pairs (id_a < id_b) that connect the files of each bucket, for ``connected_components``.
 
     Files link to the smallest id of their part of the bucket, and these link to
     the smallest id of the bucket: n - 1 pairs instead of n^2, with the same
@@ -166,8 +166,14 @@ def stored_buckets(
     return write_scratch(shared_buckets(buckets, id_col, config), "shared-buckets")
 
 
+def bucket_links(shared: DataFrame, id_col: str) -> DataFrame:
+    """Pairs (id_a < id_b): the smallest file of a bucket and each other file in it."""
+    pairs = shared.filter(F.col(id_col) > F.col("root"))
+    return pairs.select(F.col("root").alias("id_a"), F.col(id_col).alias("id_b")).distinct()
+
+
 def lsh_candidates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "content", config: NearDupConfig = NearDupConfig()
 ) -> DataFrame:
-    """Candidate pairs of a corpus in star form, see ``star_pairs``."""
-    return star_pairs(stored_buckets(df, id_col, text_col, config), id_col, config)
+    """Candidate pairs of a corpus in star form: n - 1 pairs connect the n files of a bucket."""
+    return bucket_links(stored_buckets(df, id_col, text_col, config), id_col)

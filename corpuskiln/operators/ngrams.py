@@ -39,9 +39,12 @@ def ngram_perplexity(model: DataFrame, valid: DataFrame, text_col: str, n: int =
     log p = ln(count(context, word) + 1) - ln(count(context) + V) is summed in
     two parts, each joined on a key that is unique on both sides, so a frequent
     context does not gather its words in one task. V counts the words of the
-    model and one for unknown words.
+    model and one for unknown words. Both count tables are stored, since each
+    part reads them.
     """
-    seen = ngram_rows(valid, text_col, n).groupBy("context", "word").agg(F.count("*").alias("_seen"))
+    model = write_scratch(model, "model")
+    counted = ngram_rows(valid, text_col, n).groupBy("context", "word").agg(F.count("*").alias("_seen"))
+    seen = write_scratch(counted, "seen")
     vocabulary = model.select("word").distinct().agg((F.count("*") + 1).alias("v")).scalar()
     pairs = (
         seen.join(model, ["context", "word"], "left")
@@ -93,8 +96,21 @@ def ngram_update(state: DataFrame | None, corpus: DataFrame, text_col: str, step
 
 
 def ngram_incremental(df: DataFrame, text_col: str, org_col: str, order: Sequence[str], n: int = 2) -> DataFrame:
-    """The model after all organisations of ``order``, one after another; each step starts from the stored state."""
-    state = None
+    """The model after all organisations of ``order``, one after another.
+
+    Counts are added and steps compared, so one pass over the text with the step of each
+    organisation gives what the updates give one by one.
+    """
+    steps: dict[str, list[int]] = {}
     for step, org in enumerate(order, start=1):
-        state = write_scratch(ngram_update(state, df.filter(F.col(org_col) == org), text_col, step, n), "ngrams")
-    return state
+        steps.setdefault(org, []).append(step)
+    of_org = F.create_map(*[F.lit(x) for org, own in steps.items() for x in (org, own)])
+    counts = (
+        ngram_rows(df.filter(F.col(org_col).isin(*steps)), text_col, n, [org_col])
+        .groupBy(org_col, "context", "word")
+        .agg(F.count("*").alias("n"))
+    )
+    stepped = counts.select("context", "word", "n", F.explode(of_org[F.col(org_col)]).alias("_step"))
+    return stepped.groupBy("context", "word").agg(
+        F.sum("n").alias("n"), F.min("_step").alias("first_step"), F.max("_step").alias("last_step")
+    )

@@ -16,7 +16,7 @@ from pyspark.sql import types as Ty
 from pyspark.sql.window import Window
 
 from corpuskiln import config
-from corpuskiln.functions.hashing import order_hash, uniform_draw
+from corpuskiln.functions.hashing import hex_int, order_hash, uniform_draw
 from corpuskiln.scratch import write_scratch
 
 CHUNK_IDS = 65_536
@@ -108,7 +108,7 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int, out: str = "position",
     """Position of each row in a full shuffle; the hash prefix forms the chunks."""
     hashed = df.withColumn("_order", order_hash(F.col(id_col), seed))
     key = F.col("_order")
-    return number_rows(hashed, [key], F.substring(key, 1, prefix), out).drop("_order")
+    return number_rows(hashed, [key], hex_int(key, prefix), out).drop("_order")
 
 
 def buffer_shuffle(

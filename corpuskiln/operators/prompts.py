@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,9 @@ from corpuskiln.functions import text as T
 from corpuskiln.operators.ordering import CHUNK_IDS, id_chunk, number_rows, running_total
 from corpuskiln.scratch import write_scratch
 
+# tokens of a text column, for tokenizers other than the built-in pieces
+TokenCount = Callable[[Column], Column]
+
 FUNCTION_TYPE = "array<struct<position:int,function_name:string,signature_with_docstring:string>>"
 
 
@@ -79,10 +82,13 @@ def extract_functions(df: DataFrame, id_col: str = "doc_id", text_col: str = "co
 
 
 def prompt_token_limit(
-    df: DataFrame, text_col: str = "signature_with_docstring", limit: int = GenerationConfig.prompt_tokens
+    df: DataFrame,
+    text_col: str = "signature_with_docstring",
+    limit: int = GenerationConfig.prompt_tokens,
+    count_tokens: TokenCount = T.pre_token_count,
 ) -> DataFrame:
-    """Rows whose text has at most ``limit`` tokens."""
-    return df.filter(T.pre_token_count(F.col(text_col)) <= limit)
+    """Rows whose text has at most ``limit`` tokens, as ``count_tokens`` counts the text column's."""
+    return df.filter(count_tokens(F.col(text_col)) <= limit)
 
 
 def function_counts(
@@ -91,10 +97,14 @@ def function_counts(
     text_col: str = "content",
     limit: int = GenerationConfig.prompt_tokens,
     chunk: int = CHUNK_IDS,
+    count_tokens: TokenCount = T.pre_token_count,
 ) -> DataFrame:
-    """Functions and extracted functions per file, with totals up to and including the file."""
+    """Functions and extracted functions per file, with totals up to and including the file.
+
+    ``count_tokens`` is used inside an array function, so it has to be made of built-in expressions.
+    """
     extracted = F.filter(
-        "functions", lambda f: T.pre_token_count(f["signature_with_docstring"]) <= limit
+        "functions", lambda f: count_tokens(f["signature_with_docstring"]) <= limit
     )
     # the totals read the counts several times; stored, each file is parsed once
     counted = write_scratch(
@@ -125,10 +135,12 @@ def prompt_expand(
     """One row per requested generation: (function_id, copy_id, sample_id, prompt).
 
     A prompt is repeated ``n_samples // batch_size`` times and each copy asks
-    for ``batch_size`` generations. ``num_tasks`` keeps the first prompts only.
+    for ``batch_size`` generations. ``num_tasks`` keeps that many first prompts,
+    in id order, whatever the ids are.
     """
     if config.num_tasks is not None:
-        prompts = prompts.filter(F.col(id_col) <= config.num_tasks)
+        numbered = number_rows(prompts, [F.col(id_col)], id_chunk(F.col(id_col)), "_number", start=1)
+        prompts = numbered.filter(F.col("_number") <= config.num_tasks).drop("_number")
     copies = config.n_samples // config.batch_size
     requests = F.flatten(
         F.array(

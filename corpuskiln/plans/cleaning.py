@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.config import CleaningConfig, NearDupConfig
@@ -29,12 +29,14 @@ def clean_corpus(
     config: CleaningConfig = CleaningConfig(),
     near: NearDupConfig | None = None,
     mode: str = "components",
+    token_count: Column | None = None,
 ) -> CleanCorpus:
     """Heuristic filter and, with ``near``, removal of near duplicates.
 
+    ``token_count`` is a column of ``df`` with the counts of the caller's tokenizer.
     Near-dedup reads the filtered rows several times, so they are stored first.
     """
-    filtered = heuristic_filter(df, id_col, text_col, config)
+    filtered = heuristic_filter(df, id_col, text_col, config, token_count)
     if near is None:
         return CleanCorpus(filtered)
     filtered = write_scratch(filtered, "filtered")
@@ -43,10 +45,14 @@ def clean_corpus(
 
 
 def cleaning_outcome(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "content", config: CleaningConfig = CleaningConfig()
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "content",
+    config: CleaningConfig = CleaningConfig(),
+    token_count: Column | None = None,
 ) -> DataFrame:
     """Which rows stay and why the others go: (id, kept, drop_reason)."""
-    return drop_reasons(df, id_col, text_col, config).select(
+    return drop_reasons(df, id_col, text_col, config, token_count).select(
         id_col,
         F.col("drop_reason").isNull().alias("kept"),
         F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason"),

@@ -4,17 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from corpuskiln.operators.collection import ORG_OWNERS, collect_sources, org_route, org_summary
+from corpuskiln.operators.collection import ORG_OWNERS, org_route, org_summary
 from corpuskiln.operators.features import cast_size
 from corpuskiln.sources.writers import sink_org_csv
 
 
-def collect_and_route(
-    files: DataFrame, contents: DataFrame, licenses: DataFrame, owners: dict[str, tuple[str, ...]] = ORG_OWNERS
-) -> DataFrame:
-    return route_rows(collect_sources(files, contents, licenses), owners)
-
-
 def route_rows(raw: DataFrame, owners: dict[str, tuple[str, ...]] = ORG_OWNERS) -> DataFrame:
     return cast_size(org_route(raw, owners))
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.config import CLONE_THRESHOLD_LINES, GenerationConfig
-from corpuskiln.operators.clones import clone_report_totals, clone_sets, cross_file_sets, line_clones
+from corpuskiln.operators.clones import GENERATED, clone_report_totals, clone_sets, cross_file_sets, line_clones
 from corpuskiln.operators.ordering import running_function_id
+from corpuskiln.functions.text import pre_token_count
 from corpuskiln.operators.prompts import (
+    TokenCount,
     extract_functions,
     number_generations,
     prompt_token_limit,
@@ -29,14 +31,19 @@ class MemorizationReport:
 
 
 def build_prompts(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "content", config: GenerationConfig = GenerationConfig()
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "content",
+    config: GenerationConfig = GenerationConfig(),
+    count_tokens: TokenCount = pre_token_count,
 ) -> DataFrame:
     """(function_id, function_name, signature_with_docstring) of a Python corpus.
 
     Numbering reads the functions twice, so they are stored first.
     """
     short = write_scratch(
-        prompt_token_limit(extract_functions(df, id_col, text_col), limit=config.prompt_tokens), "functions"
+        prompt_token_limit(extract_functions(df, id_col, text_col), limit=config.prompt_tokens, count_tokens=count_tokens),
+        "functions",
     )
     return running_function_id(short, id_col, "position").select(
         "function_id", "function_name", "signature_with_docstring"
@@ -62,9 +69,9 @@ def postprocess_generations(
 
 
 def two_sides(training: DataFrame, generated: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Both corpora in one table, with a ``side`` column."""
+    """Both corpora in one table, with a ``side`` column; see ``GENERATED`` of the clones."""
     return training.select(F.lit("training").alias("side"), id_col, text_col).unionByName(
-        generated.select(F.lit("generated").alias("side"), id_col, text_col)
+        generated.select(F.lit(GENERATED).alias("side"), id_col, text_col)
     )
 
 

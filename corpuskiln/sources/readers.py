@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from corpuskiln.sources.writers import GENERATION_HEADERS, PROMPT_HEADERS
+
 RAW_CODE = "repo_name string, path string, copies string, size string, content string, license string"
 
-# The piece of a Parquet file one task reads.
-ROW_GROUP_BYTES = 128 * 1024 * 1024
+
+# a ``set`` element without blocks, or one up to its end tag
+EMPTY_SET = r"""<set\b(?:[^>"']|"[^"]*"|'[^']*')*/>"""
+SET_ELEMENT = rf"(?s){EMPTY_SET}|<set\b.*"
 
 CLONE_REPORT = Ty.StructType(
     [
@@ -32,19 +36,8 @@ CLONE_REPORT = Ty.StructType(
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; a small one with few files is spread over all cores.
-
-    A file with one row group is one task, whatever its text costs to process.
-    Rows move only if the whole table is smaller than a row group per core, so
-    a large table is never shuffled here.
-    """
-    df = spark.read.parquet(path)
-    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
-    if len(files) >= cores:
-        return df
-    listing = spark.read.format("binaryFile").load(files)
-    size = listing.agg(F.sum("length")).first()[0] or 0
-    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df
+    """A Parquet table."""
+    return spark.read.parquet(path)
 
 
 def scan_csv_shards(spark: SparkSession, path: str, schema: str | Ty.StructType = RAW_CODE) -> DataFrame:
@@ -68,14 +61,19 @@ def scan_jsonl(spark: SparkSession, paths: str | list[str], schema: str | Ty.Str
 def scan_clone_report(spark: SparkSession, path: str) -> DataFrame:
     """(ord, fingerprint, line_count, block): one row per ``set`` element.
 
-    ``ord`` follows the document: file, offset of the piece read, place in it.
+    A large file is read in pieces that begin and end at ``set`` elements. ``ord`` follows the document: file, offset of the piece read, place in it.
     """
-    sets = spark.read.format("xml").option("rowTag", "set").schema(CLONE_REPORT).load(path)
+    # the text reader splits a file at the end tags; each piece holds one set and those without blocks before it
+    pieces = spark.read.option("lineSep", "</set>").text(path)
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row"),
     )
+    elements = pieces.select(place.alias("piece"), F.posexplode(F.regexp_extract_all("value", F.lit(SET_ELEMENT), F.lit(0))))
+    closed = F.when(F.col("col").rlike(f"^{EMPTY_SET}$"), F.col("col")).otherwise(F.concat("col", F.lit("</set>")))
+    parsed = elements.select(F.struct("piece", "pos").alias("ord"), F.from_xml(closed, CLONE_REPORT).alias("_set"))
+    sets = parsed.select("ord", "_set.*")
     block = F.transform(
         F.coalesce("block", F.array()),
         lambda b: F.struct(
@@ -85,7 +83,7 @@ def scan_clone_report(spark: SparkSession, path: str) -> DataFrame:
         ),
     )
     return sets.select(
-        place.alias("ord"),
+        "ord",
         F.col("_fingerprint").alias("fingerprint"),
         F.col("_lineCount").alias("line_count"),
         block.alias("block"),
@@ -103,3 +101,20 @@ def scan_clone_summary(spark: SparkSession, path: str) -> DataFrame:
     )
     first = summary.limit(1).select(F.inline(pairs))
     return first.filter(F.col("value").isNotNull())
+
+
+def scan_csv_table(spark: SparkSession, path: str, headers: dict[str, str], types: dict[str, str]) -> DataFrame:
+    """A published table (see ``sink_csv_tables``) with the names of its columns in place of its headers."""
+    schema = ", ".join(f"`{header}` {types.get(name, 'string')}" for name, header in headers.items())
+    rows = scan_csv_shards(spark, path, schema)
+    return rows.select(*[F.col(f"`{header}`").alias(name) for name, header in headers.items()])
+
+
+def scan_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """(function_id, function_name, signature_with_docstring) of a stored prompt table."""
+    return scan_csv_table(spark, path, PROMPT_HEADERS, {"function_id": "bigint"})
+
+
+def scan_generations(spark: SparkSession, path: str) -> DataFrame:
+    """(function_id, generation_id, generated_content) of a stored table of generations."""
+    return scan_csv_table(spark, path, GENERATION_HEADERS, {"function_id": "bigint", "generation_id": "bigint"})

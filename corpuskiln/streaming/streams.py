@@ -13,6 +13,11 @@ from corpuskiln.functions.text import content_hash
 from corpuskiln.operators.collection import ORG_OWNERS, org_route
 from corpuskiln.operators.ngrams import ngram_update
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COMPACT_EVERY = 20
+MODEL = "context string, word string, n bigint, first_step int, last_step int"
+
 
 def read_stream(
     spark: SparkSession, path: str, schema: Ty.StructType, file_glob: str = "*.parquet", files_per_trigger: int = 1000
@@ -46,8 +51,8 @@ def first_of_stream(rows: DataFrame, text_col: str, keep: Sequence[str]) -> Data
 
     Only the hash and the kept columns enter the state shuffle, and copies within
     one Arrow batch leave before it, so a hash shared by a third of all rows sends
-    one row per batch. The state keeps one entry per distinct hash for good, so a
-    long stream wants a state store on disk.
+    one row per batch. The state keeps one entry per distinct hash for good, in RocksDB
+    (see ``use_disk_state``).
     """
     hashed = rows.select(*keep, content_hash(F.col(text_col)).alias("hash"))
 
@@ -58,9 +63,16 @@ def first_of_stream(rows: DataFrame, text_col: str, keep: Sequence[str]) -> Data
     return hashed.mapInPandas(first_in_batch, hashed.schema).dropDuplicates(["hash"])
 
 
+def use_disk_state(spark: SparkSession) -> None:
+    """Keep stream state in RocksDB; the default provider holds all of it in executor memory."""
+    if not spark.conf.get(STATE_PROVIDER, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(STATE_PROVIDER, ROCKSDB)
+
+
 def stream_exact_dedup(
     rows: DataFrame, out: str, checkpoint: str, text_col: str = "content", keep: Sequence[str] = ("doc_id",)
 ) -> StreamingQuery:
+    use_disk_state(rows.sparkSession)
     return (
         first_of_stream(rows, text_col, keep)
         .writeStream.format("parquet")
@@ -71,23 +83,41 @@ def stream_exact_dedup(
     )
 
 
-def stream_ngram_train(rows: DataFrame, text_col: str, out: str, checkpoint: str, n: int = 2) -> StreamingQuery:
-    """Merge the counts of each batch into a model kept under ``out``.
+def stream_ngram_train(
+    rows: DataFrame, text_col: str, out: str, checkpoint: str, n: int = 2, compact_every: int = COMPACT_EVERY
+) -> StreamingQuery:
+    """Write the counts of each batch under ``out``, and now and then the counts of all batches so far.
 
-    A batch writes its own model folder from the one before, so a batch that is
-    run again after a failure gives the same result.
+    A batch writes folders of its own number, so a batch that is run again after a
+    failure replaces them by the same rows. Work per batch grows with the batch; the
+    whole model is rewritten once in ``compact_every`` batches.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(f"{out}/batch={batch_id - 1}") if batch_id > 0 else None
-        ngram_update(state, batch, text_col, batch_id + 1, n).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counts = ngram_update(None, batch, text_col, batch_id + 1, n)
+        counts.write.mode("overwrite").parquet(f"{out}/kind=counts/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            whole = latest_model(batch.sparkSession, out, upto=batch_id)
+            whole.write.mode("overwrite").parquet(f"{out}/kind=compacted/batch={batch_id}")
 
     return (
-        rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def latest_model(spark: SparkSession, out: str, query: StreamingQuery) -> DataFrame:
-    """The model after the last batch of a finished ``stream_ngram_train``."""
-    return spark.read.parquet(f"{out}/batch={query.lastProgress['batchId']}")
+def latest_model(spark: SparkSession, out: str, upto: int | None = None) -> DataFrame:
+    """The model that ``stream_ngram_train`` has left under ``out``, whichever query or driver wrote it.
+
+    The last compacted counts, if any, and those of the batches after them.
+    """
+    parts = spark.read.schema(f"{MODEL}, kind string, batch bigint").parquet(out)
+    if upto is not None:
+        earlier = (F.col("kind") == "counts") | (F.col("batch") < upto)
+        parts = parts.filter((F.col("batch") <= upto) & earlier)
+    last = F.coalesce(parts.filter("kind = 'compacted'").agg(F.max("batch")).scalar(), F.lit(-1))
+    wanted = F.when(F.col("kind") == "compacted", F.col("batch") == last).otherwise(F.col("batch") > last)
+    return (
+        parts.filter(wanted)
+        .groupBy("context", "word")
+        .agg(F.sum("n").alias("n"), F.min("first_step").alias("first_step"), F.max("last_step").alias("last_step"))
+    )

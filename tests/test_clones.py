@@ -1,5 +1,6 @@
 """Line clones against a direct count of all line blocks."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -129,3 +130,17 @@ def test_report_parts_keep_every_place(spark):
     numbered = clones.clone_report(found, blocks_per_set=4).withColumn("ord", F.monotonically_increasing_id())
     assert clones.clone_report_reduce(numbered, "ord").count() == 1
     assert clones.cross_file_sets(clones.clone_sets(found)).count() == 1
+
+
+def test_fingerprint_does_not_change_with_other_files(spark):
+    """The md5 of the clone's own lines, whatever else repeats parts of it."""
+    block = [f"shared {k}" for k in range(20)]
+    rows = [(1, "\n".join(["one", *block, "end of one"])), (2, "\n".join(["two", *block, "", "end of two"]))]
+    more = [*rows, (3, "\n".join(["x", *block[5:13], "y"])), (4, "\n".join(["z", *block[5:13], "w"]))]
+    want = hashlib.md5("\n".join(block).encode()).hexdigest()
+    for files_ in (rows, more):
+        found = clones.line_clones(spark.createDataFrame(files_, "doc_id long, content string")).collect()
+        of_block = {r.file_id: r.fingerprint for r in found if r.line_count == 20}
+        assert of_block == {1: want, 2: want}
+    parts = [r for r in found if r.line_count == 8]
+    assert {r.fingerprint for r in parts} == {hashlib.md5("\n".join(block[5:13]).encode()).hexdigest()}

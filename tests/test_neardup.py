@@ -185,5 +185,28 @@ def test_annotated_clusters_count_copies(spark):
     outcome = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 1)], "cluster_id long, id long, extreme_id long")
     annotated = clusters.annotate_clusters(outcome)
     assert {tuple(r) for r in annotated.collect()} == {(1, 1, True, 3), (1, 2, False, None), (1, 3, True, 1), (1, 4, False, None)}
-    nested = clusters.nested_clusters(annotated, chunk=2).orderBy("part").collect()
-    assert [[m.id for m in r.members] for r in nested] == [[1], [2, 3], [4]]
+    nested = clusters.nested_clusters(annotated, chunk=2).collect()
+    assert len(nested) == 2 and sorted(m.id for r in nested for m in r.members) == [1, 2, 3, 4]
+
+
+def test_a_small_cluster_is_one_row_whatever_its_ids(spark):
+    outcome = spark.createDataFrame([(1, 1, 1), (1, 5_000_000, 1)], "cluster_id long, id long, extreme_id long")
+    files = spark.createDataFrame([(1, "a/b", "x.py"), (5_000_000, "c/d", "y.py")], "doc_id long, repo_name string, path string")
+    (nested,) = clusters.nested_clusters(clusters.annotate_clusters(outcome, files)).collect()
+    assert [(m.id, m.repo_name, m.path) for m in nested.members] == [(1, "a/b", "x.py"), (5_000_000, "c/d", "y.py")]
+
+
+def test_candidates_do_not_depend_on_the_chunk(docs):
+    assert set(minhash.lsh_candidates(docs, config=replace(TINY, chunk=2)).collect()) == set(
+        minhash.lsh_candidates(docs, config=replace(TINY, chunk=65_536)).collect()
+    )
+
+
+def test_rounds_grow_slowly_with_the_members_of_a_cluster(spark, stored_plans):
+    rows = [(i, " ".join(f"own{i}word{k}" for k in range(12))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    members = spark.createDataFrame([(0, i) for i in range(600)], "cluster_id long, id long")
+    found = clusters.cluster_extremes(docs, members).collect()
+    assert {r.extreme_id for r in found} == set(range(600))
+    rounds = sum("extreme_id" in p and "_extremes" in p for p in stored_plans)
+    assert rounds <= 6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import derived
 from checks.queries import QUERIES
-from corpuskiln.operators import collection, dedup, filters, ngrams, ordering
+from corpuskiln.operators import clones, collection, dedup, filters, ngrams, ordering
 from corpuskiln.scratch import scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -43,7 +43,7 @@ def test_no_cross_joins(spark, explain, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_filters_and_columns_reach_the_scan(spark, explain):
+def test_filters_and_columns_reach_the_scan(spark, explain, stored_plans):
     tables = {
         "files": ("id string, repo_name string, path string, mode int", [("i", "r", "a.py", 1)]),
         "contents": ("id string, copies int, size int, content string, binary boolean, extra string", [("i", 1, 1, "x", False, "e")]),
@@ -54,15 +54,30 @@ def test_filters_and_columns_reach_the_scan(spark, explain):
         path = scratch_path(spark, name)
         spark.createDataFrame(rows, schema).write.parquet(path)
         stored.append(spark.read.parquet(path))
+    stored_plans.clear()
     plan = explain(collection.collect_sources(*stored), "formatted")
-    assert "StringEndsWith(path,.py)" in plan
+    assert any("StringEndsWith(path, .py)" in p or "StringEndsWith(path,.py)" in p for p in stored_plans)
     assert re.search(r"PushedFilters: \[[^\]]*(Not\(EqualTo\(binary,true\)\)|EqualTo\(binary,false\)|Not\(binary\))", plan)
-    assert not re.search(r"ReadSchema: struct<[^>]*(mode|extra|note)", plan)
+    assert not any(re.search(r"ReadSchema: struct<[^>]*(mode|extra|note)", p) for p in [plan, *stored_plans])
 
 
 def test_features_scan_reads_two_columns(docs, explain):
     plan = explain(filters.drop_reasons(docs), "formatted")
-    assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"doc_id:bigint,content:string"}
+    # the texts, and the stored hashes
+    read = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+    assert read == {"doc_id:bigint,content:string", "_hash:string", "doc_id:bigint,_hash:string"}
+
+
+def test_generated_windows_leave_training_windows_before_they_are_counted(spark, stored_plans):
+    rows = [("training", i, "\n".join(f"line {i} {k}" for k in range(9))) for i in range(5)]
+    rows.append(("generated", 0, rows[2][2]))
+    both = spark.createDataFrame(rows, "side string, doc_id long, content string")
+    found = clones.line_clones(both, side_col="side")
+    assert {(r.side, r.file_id) for r in found.collect()} == {("training", 2), ("generated", 0)}
+    reduced = next(p for p in stored_plans if "LeftSemi" in p.partition("== Physical Plan ==")[2])
+    assert "Aggregate" not in reduced.partition("== Physical Plan ==")[2]
+    counted = next(p for p in stored_plans if "bool_or" in p)
+    assert "SortAggregate" not in counted.partition("== Physical Plan ==")[2]
 
 
 def test_heuristics_compute_features_once(docs, explain):

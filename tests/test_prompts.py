@@ -103,3 +103,15 @@ def test_earliest_stop_wins(spark):
 def test_token_limit(spark):
     df = spark.createDataFrame([("a " * 512,), ("a" + " a" * 511,), ("a" + " a" * 512,)], "signature_with_docstring string")
     assert prompts.prompt_token_limit(df).count() == 1
+
+
+def test_num_tasks_counts_prompts_not_ids(spark):
+    rows = spark.createDataFrame([(1002, "a"), (1005, "b"), (2000, "c")], "function_id long, signature_with_docstring string")
+    found = prompts.prompt_expand(rows, "|", config=GenerationConfig(num_tasks=2)).collect()
+    assert {r.function_id for r in found} == {1002, 1005}
+
+
+def test_callers_token_counts(spark):
+    rows = spark.createDataFrame([("a b c",), ("abcdefghij",)], "signature_with_docstring string")
+    by_chars = prompts.prompt_token_limit(rows, limit=5, count_tokens=F.length)
+    assert [r[0] for r in by_chars.collect()] == ["a b c"]

@@ -2,7 +2,9 @@
 
 import pytest
 
+from checks import derived
 from corpuskiln.operators import clones
+from corpuskiln.scratch import scratch_path
 from corpuskiln.sources import readers, writers
 
 REPORT = """<?xml version="1.0"?>
@@ -90,10 +92,29 @@ def test_jsonl_gz_round_trip(spark, tmp_path):
 def test_small_table_is_spread_and_large_is_not(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).coalesce(1).write.parquet(path)
-    assert readers.scan_parquet(spark, path).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    limit = readers.ROW_GROUP_BYTES
-    readers.ROW_GROUP_BYTES = 1
+    assert derived.spread(spark, path).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    limit = derived.ROW_GROUP_BYTES
+    derived.ROW_GROUP_BYTES = 1
     try:
-        assert readers.scan_parquet(spark, path).rdd.getNumPartitions() == 1
+        assert derived.spread(spark, path).rdd.getNumPartitions() == 1
     finally:
-        readers.ROW_GROUP_BYTES = limit
+        derived.ROW_GROUP_BYTES = limit
+
+
+def test_large_report_is_read_in_pieces_in_order(spark):
+    path = scratch_path(spark, "large-report")
+    rows = [(f"f{i:05d}", i, 0, [(f"file{k}", k, k + 6) for k in range(12)]) for i in range(3000)]
+    report = spark.createDataFrame(
+        rows, "fingerprint string, line_count long, part int, block array<struct<source_file:string,start_line:long,end_line:long>>"
+    )
+    writers.sink_clone_report(report.coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        found = readers.scan_clone_report(spark, path)
+        assert found.rdd.getNumPartitions() > 4
+        got = found.orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.fingerprint, r.line_count) for r in got] == [(r[0], r[1]) for r in rows]
+    assert all(len(r.block) == 12 for r in got)

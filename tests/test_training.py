@@ -131,7 +131,12 @@ def test_streamed_counts_equal_batch(spark, arriving):
     path, df = arriving
     out = scratch_path(spark, "model")
     rows = streams.read_stream(spark, path, df.schema, files_per_trigger=2)
-    query = streams.stream_ngram_train(rows, "content", out, scratch_path(spark, "state"))
-    query.awaitTermination()
-    got = streams.latest_model(spark, out, query)
-    assert {(r.context, r.word): r.n for r in got.collect()} == as_dict(ngrams.ngram_train(df, "content"))
+    state = scratch_path(spark, "state")
+    counts = as_dict(ngrams.ngram_train(df, "content"))
+    for compact_every in (2, 2, 100):  # the second and third start find no new file
+        streams.stream_ngram_train(rows, "content", out, state, compact_every=compact_every).awaitTermination()
+        assert {(r.context, r.word): r.n for r in streams.latest_model(spark, out).collect()} == counts
+    df.write.mode("append").parquet(path)
+    streams.stream_ngram_train(rows, "content", out, state, compact_every=2).awaitTermination()
+    twice = {(r.context, r.word): r.n for r in streams.latest_model(spark, out).collect()}
+    assert twice == {key: 2 * n for key, n in counts.items()}
