@@ -122,53 +122,57 @@ def _window_runs(places: DataFrame) -> DataFrame:
     )
 
 
-def _common_start(low: str, high: str) -> Column:
-    """The longest common start of all lists of a group, given their least and greatest."""
-    differs = F.array_position(F.zip_with(low, high, lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
-    return F.slice(low, F.lit(1), F.when(differs == 0, F.size(low)).otherwise(differs - 1))
+PLACE = ("side", "file_id", "island")
 
 
-def _unit_extensions(runs: DataFrame, step: int) -> DataFrame:
-    """(unit, n, before, after): the units found around every place of a unit, nearest first.
+def _look_ahead(runs: DataFrame, sign: int) -> tuple[DataFrame, int]:
+    """Runs with hashes ``h0``, ``h1``, ... of the next 1, 2, 4, ... units in one direction, and how many there are.
 
-    A round looks ``step`` units far; twice as many follow while some unit
-    agrees on all of them.
+    A hash is NULL where the island ends first. Every round adds one column of eight bytes
+    a row, and the rounds end when no unit has all its places agree on a stretch that long.
     """
-    in_island = Window.partitionBy("side", "file_id", "island").orderBy("run")
-    offset, found = 0, None
+    in_island = Window.partitionBy(*PLACE).orderBy("run")
+
+    def ahead(name: str, n: int) -> Column:
+        return (F.lead if sign > 0 else F.lag)(name, n).over(in_island)
+
+    level, rows = 0, runs.select(*PLACE, "run", "unit", F.xxhash64("unit").alias("own"))
+    rows = rows.withColumn("h0", ahead("own", 1)).drop("own")
     while True:
-        after = F.collect_list("unit").over(in_island.rowsBetween(offset + 1, offset + step))
-        before = F.collect_list("unit").over(in_island.rowsBetween(-offset - step, -offset - 1))
-        around = runs.select("unit", after.alias("_after"), F.reverse(before).alias("_before"))
-        extremes = around.groupBy("unit").agg(
-            F.count("*").alias("n"),
-            F.min("_after").alias("_after_low"),
-            F.max("_after").alias("_after_high"),
-            F.min("_before").alias("_before_low"),
-            F.max("_before").alias("_before_high"),
-        )
-        seen = extremes.select(
-            "unit",
-            "n",
-            _common_start("_before_low", "_before_high").alias("before"),
-            _common_start("_after_low", "_after_high").alias("after"),
+        rows = write_scratch(rows, "ahead")
+        if _agreeing(rows.select("unit", F.col(f"h{level}").alias("h"))).isEmpty():
+            return rows, level
+        further = ahead(f"h{level}", 1 << level)
+        both = F.when(further.isNotNull(), F.xxhash64(F.col(f"h{level}"), further))
+        rows, level = rows.withColumn(f"h{level + 1}", both), level + 1
+
+
+def _agreeing(seen: DataFrame) -> DataFrame:
+    """Units all of whose places (unit, h) have the same hash."""
+    same = F.bool_and(F.col("h").isNotNull()) & (F.min("h") == F.max("h"))
+    return seen.groupBy("unit").agg(same.alias("_same")).filter("_same").select("unit")
+
+
+def _reach(runs: DataFrame, sign: int, out: str) -> DataFrame:
+    """(unit, out): how many units in one direction all places of a unit agree on; units without any are left out.
+
+    Binary lifting: from the longest stretch down, a unit goes on by 2^k if its places agree on
+    the 2^k units behind those it has. Only units that agree on the next one take part.
+    """
+    rows, levels = _look_ahead(runs, sign)
+    if not levels:
+        return rows.select("unit", F.lit(0).alias(out)).limit(0)
+    active = _agreeing(rows.select("unit", F.col("h0").alias("h"))).withColumn(out, F.lit(0))
+    table = rows.drop("unit")
+    for level in reversed(range(levels)):
+        places = rows.select(*PLACE, "run", "unit").join(active, "unit")
+        at = places.select(*PLACE, (F.col("run") + sign * F.col(out)).alias("run"), "unit")
+        seen = at.join(table.select(*PLACE, "run", F.col(f"h{level}").alias("h")), [*PLACE, "run"])
+        further = _agreeing(seen.select("unit", "h")).withColumn("_more", F.lit(1 << level))
+        active = write_scratch(
+            active.join(further, "unit", "left").select("unit", (F.col(out) + F.coalesce("_more", F.lit(0))).alias(out)), "reach"
         )
-        if found is not None:
-            # a side that ended in an earlier round stays as it is
-            earlier = found.select("unit", F.col("before").alias("_before"), F.col("after").alias("_after"))
-            seen = seen.join(earlier, "unit").select(
-                "unit",
-                "n",
-                *[
-                    F.when(F.size(f"_{name}") == offset, F.concat(f"_{name}", name)).otherwise(F.col(f"_{name}")).alias(name)
-                    for name in ("before", "after")
-                ],
-            )
-        found = write_scratch(seen, "unit-extensions")
-        offset += step
-        if found.filter((F.size("before") == offset) | (F.size("after") == offset)).isEmpty():
-            return found
-        step *= 2
+    return active
 
 
 def _fingerprints(df: DataFrame, clones: DataFrame, file_col: str, text_col: str, side_col: str | None) -> DataFrame:
@@ -196,7 +200,6 @@ def line_clones(
     threshold: int = config.CLONE_THRESHOLD_LINES,
     side_col: str | None = None,
     hot_rows: int = HOT_ROWS,
-    step: int = 16,
 ) -> DataFrame:
     """(side, file_id, start_line, end_line, line_count, fingerprint), one row per place of a clone.
 
@@ -216,22 +219,22 @@ def line_clones(
         per_window.select("window", "n"),
     )
     runs = write_scratch(_window_runs(places), "window-runs")
-    units = _unit_extensions(runs, step)
-    whole = F.concat(F.reverse("before"), F.array("unit"), "after")
-    named = units.select(
-        "unit",
-        F.size("before").alias("_back"),
-        F.size("after").alias("_on"),
-        F.md5(F.array_join(whole, ",")).alias("clone"),
+    sizes = runs.groupBy("unit").agg(F.count("*").alias("n"))
+    units = write_scratch(
+        sizes.join(_reach(runs, -1, "_back"), "unit", "left").join(_reach(runs, 1, "_on"), "unit", "left").fillna(0), "units"
     )
-    grown = join_hot_keys(
-        runs.select("side", "file_id", "island", "run", "unit"),
-        named,
-        ["unit"],
-        "file_id",
-        hot_rows,
-        units.select("unit", "n"),
-    ).select("side", "file_id", "island", (F.col("run") - F.col("_back")).alias("_from"), (F.col("run") + F.col("_on")).alias("_to"), "clone")
+    counts = units.select("unit", "n")
+    spread = runs.select(*PLACE, "run", "unit")
+    grown = write_scratch(
+        join_hot_keys(spread, units.drop("n"), ["unit"], "file_id", hot_rows, counts).select(
+            *PLACE, "unit", (F.col("run") - F.col("_back")).alias("_from"), (F.col("run") + F.col("_on")).alias("_to")
+        ),
+        "grown",
+    )
+    # units of one block have the same places, so the first of them names the block
+    block = F.struct(*PLACE, "_from", "_to")
+    first = grown.groupBy("unit").agg(F.min(block).alias("clone"))
+    grown = join_hot_keys(grown, first, ["unit"], "file_id", hot_rows, counts).drop("unit")
     firsts = runs.select("side", "file_id", "island", F.col("run").alias("_from"), "start_line", "first_place")
     lasts = runs.select("side", "file_id", "island", F.col("run").alias("_to"), "end_line", "last_place")
     line_count = F.col("last_place") - F.col("first_place") + threshold
