@@ -27,9 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuskiln.llm.wordbpe import ANY_SPECIAL, ChunkCache, text_ids
-
-ID_TYPE = "<u4"
+from corpuskiln.llm.wordbpe import ANY_SPECIAL, ID_TYPE, ChunkCache, text_ids
 
 
 class WordBpe:

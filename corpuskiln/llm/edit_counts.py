@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.wordbpe import WHITE, chunks, library_ids
+from corpuskiln.llm.wordbpe import WHITE, chunks, library
 
 LEAF_CHARS = 512
 EDIT_TYPE = "array<struct<seq:bigint,start:bigint,length:bigint,replacement:string>>"
@@ -125,7 +125,7 @@ class SegmentTree:
 
 
 def counter(path: str):
-    cache = library_ids(path)
+    cache = library(path).cache
 
     def count(text: str) -> int:
         cache.trim()

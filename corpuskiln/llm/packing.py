@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.wordbpe import library_ids, text_ids
+from corpuskiln.llm.wordbpe import batch_ids, slices
 from corpuskiln.scratch import write_scratch
 
 WINDOW = 4096
@@ -49,22 +50,26 @@ PIECE_NAMES = [part.split()[0] for part in PIECE_TYPE.split(", ")]
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Stored rows (doc_id, ids, n, near): unsigned 16-bit ids with the end id, their number, a MinHash of their set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, ranks = library_ids(path), np.random.default_rng(0).permutation(MAX_ID)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = np.random.default_rng(0).permutation(MAX_ID)
         for batch in batches:
-            packed, n, near = [], [], []
-            for text in batch["text"]:
-                ids = np.frombuffer(text_ids(cache, text or ""), "<u4")
+            doc_id, text = batch.column(0), batch.column(1)
+            for a, b in slices(text):
+                ids, n = batch_ids(path, text.slice(a, b - a))
                 if len(ids) and ids.max() >= MAX_ID:
                     raise ValueError("ids beyond 16 bits")
-                near.append(_near(ids, ranks))
-                ids = np.append(ids, end_id).astype("<u2")
-                packed.append(ids.tobytes())
-                n.append(len(ids))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": packed, "n": n, "near": near})
+                ends = n.cumsum()
+                near = [_near(ids[end - size : end], ranks) for end, size in zip(ends.tolist(), n.tolist(), strict=True)]
+                ended = np.insert(ids.astype("<u2"), ends, end_id)
+                offsets = np.concatenate(([0], (n + 1).cumsum() * 2)).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(
+                    pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ended.tobytes())]
+                )
+                columns = [doc_id.slice(a, b - a), packed, pa.array(n + 1, pa.int64()), pa.array(near, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n", "near"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return write_scratch(rows.mapInPandas(run, "doc_id bigint, ids binary, n bigint, near bigint"), "packing-ids")
+    return write_scratch(rows.mapInArrow(run, "doc_id bigint, ids binary, n bigint, near bigint"), "packing-ids")
 
 
 def _near(ids: np.ndarray, ranks: np.ndarray) -> int:
@@ -75,6 +80,13 @@ def _near(ids: np.ndarray, ranks: np.ndarray) -> int:
     return int((pairs ^ (pairs >> np.uint64(29))).min() >> np.uint64(1))
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different tokens of a document and their numbers; 16-bit ids are sorted by radix."""
+    ordered = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
+    return ordered[first], np.append(first[1:], len(ordered)) - first
+
+
 def document_frequencies(rows: DataFrame) -> np.ndarray:
     """Documents that hold each token, over all rows; the array has one place a token, whatever the corpus.
 
@@ -85,7 +97,7 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
         total = np.zeros(MAX_ID, np.int64)
         for batch in batches:
             for ids in batch["ids"]:
-                total[np.unique(np.frombuffer(ids, "<u2"))] += 1
+                total[distinct(np.frombuffer(ids, "<u2"))[0]] += 1
         at = np.flatnonzero(total)
         yield pd.DataFrame({"token": at, "n": total[at]})
 
@@ -102,7 +114,7 @@ class InvertedIndex:
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float):
         tokens, counts, owner, lengths = [], [], [], np.array([len(d) for d in documents], float)
         for i, ids in enumerate(documents):
-            token, n = np.unique(ids, return_counts=True)
+            token, n = distinct(ids)
             tokens.append(token)
             counts.append(n)
             owner.append(np.full(len(token), i, np.int64))
