@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuskiln.llm.wordbpe import ChunkCache
 from corpuskiln.operators.clusters import connected_components
 from corpuskiln.scratch import write_scratch
 
@@ -50,8 +49,8 @@ class ForestConfig:
     trees: int = 32
     depth: int = 8
     target_recall: float = 0.999
-    block_classes: int = 1024
-    block_shingles: int = 1 << 20
+    block_classes: int = 512
+    block_shingles: int = 1 << 19
     seed: int = 11
 
     def found(self, similarity: np.ndarray | float, depth: int) -> np.ndarray:
@@ -64,14 +63,10 @@ class ForestConfig:
         return next(reached, 1)
 
 
-_WORDS = ChunkCache(lambda word: xxhash.xxh64_intdigest(word))
-
-
 def shingles(text: str, n_words: int) -> np.ndarray:
     """The sorted set of 64-bit hashes of a text's shingles."""
-    _WORDS.trim()
     words = text.split()
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n, width = max(0, len(h) - n_words + 1), n_words
     if not n and len(h):
         n, width = 1, len(h)
