@@ -73,7 +73,9 @@ def exact_duplicates(
 
 
 def _decide(rows: DataFrame, largest: bool) -> DataFrame:
-    return rows.join(merge_runs(rows, largest), list(KEY)).select(
+    # stored, so that the join reads two tables and adaptive execution can split a hot digest in it
+    merged = write_scratch(merge_runs(rows, largest), "merged-runs")
+    return rows.join(merged, list(KEY)).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
