@@ -4,14 +4,16 @@ Every text gives the counts of the fixed rules and, from the same pass, ratios t
 do not depend on its length. Trees of random splits are grown over small samples
 of the ratios; a text that few splits set apart has short paths and is an anomaly.
 The score is the mean path length over the trees. Rows with a quality label say where
-anomaly begins: the threshold on the score that parts good from bad best, among those
-that reject at most ``max_good_loss`` of the good rows.
+anomaly begins. There is a forest for each family of statistics and one for all of them, and
+each has a threshold of its own: the one that parts good from bad best among those
+that reject at most its equal share of ``max_good_loss`` of the good rows. Where the labelled bad
+rows do not stand out in a family, it is the lowest such threshold. A row that reaches the threshold
+of any family is rejected, so every statistic has its say and all families
+together reject at most ``max_good_loss`` of the good rows.
 
 Sizes: the forest is fitted on at most ``fit_rows`` rows, those of the smallest hash
 of their id and counts (a documented bound, the same rows whatever the partitions); calibration
 counts all labelled rows in ``SCORE_BINS`` bins before anything reaches the driver.
-There is a forest for each family of statistics and one for all of them; calibration
-also takes the family whose scores part the labelled rows best.
 The statistics, scores and verdicts cover all rows and whole texts.
 
 Defined cases: a null text has no words. A text without words has ratios of 0 and
@@ -219,13 +221,11 @@ def scored(stats: DataFrame, forests: dict[str, IsolationForest]) -> DataFrame:
     return stats.withColumn("scores", score(F.struct(*RATIOS)))
 
 
-def calibrate(
-    rows: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()
-) -> tuple[str, float]:
-    """The family to go by and the score from which rows are rejected; ``labels`` has (doc_id, quality 0/1).
+def calibrate(rows: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> dict[str, float]:
+    """The score of each family from which rows are rejected; ``labels`` has (doc_id, quality 0/1).
 
     Labelled rows are counted by family and bin of the score, good and bad apart.
-    The threshold lies in the middle of the scores that part the labelled rows equally well.
+    A threshold lies in the middle of the scores that part the labelled rows equally well.
     """
     marked = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality")
     by_family = F.inline(F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"scores.{k}").alias("score")) for k in FAMILIES]))
@@ -237,7 +237,7 @@ def calibrate(
         .agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
         .toPandas()
     )
-    best = ("all", 2.0, 0.0)
+    thresholds = dict.fromkeys(FAMILIES, 2.0)
     for family in FAMILIES:
         own = binned[binned["family"] == family]
         good, bad = np.zeros(SCORE_BINS + 2), np.zeros(SCORE_BINS + 2)
@@ -246,11 +246,11 @@ def calibrate(
             continue
         # rows rejected if the threshold is the lower border of each bin
         lost, caught = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-        gain = np.where(lost <= config.max_good_loss * good.sum(), caught / bad.sum() - lost / good.sum(), -1.0)
-        at = np.flatnonzero(gain == gain.max())
-        if gain.max() > best[2]:
-            best = (family, (at[0] + at[-1]) / 2 / SCORE_BINS, gain.max())
-    return best[:2]
+        allowed = lost <= config.max_good_loss / len(FAMILIES) * good.sum()
+        gain = np.where(allowed, caught / bad.sum() - lost / good.sum(), -1.0)
+        at = np.flatnonzero(gain == gain.max() if gain.max() > 0 else allowed)
+        thresholds[family] = (at[0] + at[-1] if gain.max() > 0 else 2 * at[0]) / 2 / SCORE_BINS
+    return thresholds
 
 
 def judge(
@@ -262,13 +262,14 @@ def judge(
 ) -> DataFrame:
     """doc_id, the counts, base_failed, kept, score, ratios of every row of ``docs``.
 
+    ``score`` is the largest of the family scores over their thresholds; rows are rejected from 1 on.
     The statistics are stored once; the forest, the calibration and the verdicts read them.
     """
     stats = write_scratch(text_statistics(docs, id_col, text_col), "quality")
     rows = write_scratch(scored(stats, fit_forests(stats, config)), "scores")
-    family, threshold = calibrate(rows, labels, config)
-    score = F.col(f"scores.{family}")
-    kept = ~F.col("base_failed") & (score < F.lit(threshold))
+    thresholds = calibrate(rows, labels, config)
+    score = F.greatest(*[F.col(f"scores.{k}") / F.lit(v) for k, v in thresholds.items()])
+    kept = ~F.col("base_failed") & (score < 1)
     return rows.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), score.alias("score"), *RATIOS)
 
 

@@ -70,6 +70,19 @@ def test_unlabelled_rows_are_told_apart(spark):
     assert sum(verdict[i]["kept"] for i, _ in bad) <= 0.05 * len(bad)
 
 
+def test_every_family_has_its_say(spark):
+    """The labelled bad rows differ by symbols alone; capitals, long words and missing marks count all the same."""
+    rows, bad, labels = labelled(spark)
+    shout = [(2000 + i, ". ".join(words(7000 + i * 31 + k, 12).upper() for k in range(12))) for i in range(6)]
+    long = [(3000 + i, ". ".join(words(8000 + i * 31 + k, 12).replace(" ", " lengthened").capitalize() for k in range(12))) for i in range(6)]
+    marks = [(4000 + i, "!? ".join(words(6000 + i, 140).split())) for i in range(6)]
+    kept = {r["doc_id"]: r["kept"] for r in judge(documents(spark, [*rows, *bad, *shout, *long, *marks]), labels).collect()}
+    for odd in (shout, long, marks):
+        assert not any(kept[i] for i, _ in odd)
+    assert not any(kept[i] for i, _ in bad)
+    assert sum(kept[i] for i, _ in rows) >= 0.98 * len(rows)
+
+
 def test_stage_keeps_columns_and_empty_tables(spark):
     rows, bad, labels = labelled(spark)
     docs = documents(spark, [*rows, *bad, (None, "short")])
