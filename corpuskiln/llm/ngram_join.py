@@ -12,9 +12,8 @@
    is one unit of work that counts common shingles of all its pairs exactly. It
    returns a row a class (links, copies linked) and one edge a class to the smallest linked
    one, never the pairs.
-4. The depth starts at the full label. From the similarities of the links found, the
-   share that this depth finds is estimated; while it is below the target
-   recall, prefixes are shortened by one, down to the depth that reaches it for pairs at the threshold itself.
+4. The depth is the longest prefix at which a pair at the threshold itself is found with the
+   target recall, so what becomes of a pair does not depend on the other rows of the corpus.
 
 The result has one row a document: its class (documents connected by links), named by
 the largest doc_id in it, and its number of links. A hot group is spread by its sorted place, its copies
@@ -46,16 +45,16 @@ from corpuskiln.scratch import write_scratch
 class ForestConfig:
     words: int = 5
     similarity: tuple[int, int] = (4, 5)  # a fraction, so that the comparison is exact
-    trees: int = 32
+    trees: int = 64
     depth: int = 8
-    target_recall: float = 0.999
+    target_recall: float = 0.99999
     block_classes: int = 512
     block_shingles: int = 1 << 19
     seed: int = 11
 
-    def found(self, similarity: np.ndarray | float, depth: int) -> np.ndarray:
+    def found(self, similarity: float, depth: int) -> float:
         """The chance that two classes share a node of a depth in some tree."""
-        return 1 - (1 - np.asarray(similarity, float) ** depth) ** self.trees
+        return 1 - (1 - similarity**depth) ** self.trees
 
     def least_depth(self) -> int:
         threshold = self.similarity[0] / self.similarity[1]
@@ -233,8 +232,8 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return counts + counts.T
 
 
-def verify(unit: pd.DataFrame, config: ForestConfig, depth: int) -> pd.DataFrame:
-    """Rows a class of one pair of blocks: links, copies linked, an edge to the first class of its component, the estimate."""
+def verify(unit: pd.DataFrame, config: ForestConfig) -> pd.DataFrame:
+    """Rows a class of one pair of blocks: links, copies linked, an edge to the first class of its component."""
     unit = unit.sort_values("set_id", ignore_index=True)
     sets = [np.frombuffer(s, np.uint64) for s in unit["shingles"]]
     n, m = unit["n"].to_numpy(np.int64), len(unit)
@@ -245,7 +244,6 @@ def verify(unit: pd.DataFrame, config: ForestConfig, depth: int) -> pd.DataFrame
     block = unit["block"].to_numpy()
     if unit["block_a"].iat[0] != unit["block_b"].iat[0]:
         links &= block[:, None] != block[None, :]
-    expected = np.where(links, 1 / np.maximum(config.found(common / either, depth), 1e-9), 0.0).sum(1)
     root = np.full(m, -1)
     for i in range(m):
         if root[i] < 0:
@@ -260,12 +258,11 @@ def verify(unit: pd.DataFrame, config: ForestConfig, depth: int) -> pd.DataFrame
             "root": ids[root],
             "links": links.sum(1),
             "copies": links @ unit["copies"].to_numpy(np.int64),
-            "expected": expected,
         }
     )
 
 
-def verified(sets: DataFrame, config: ForestConfig, depth: int) -> DataFrame:
+def verified(sets: DataFrame, config: ForestConfig) -> DataFrame:
     """Stored rows of ``verify`` over all pairs of blocks."""
     key = ["group", "block_a", "block_b"]
 
@@ -281,17 +278,17 @@ def verified(sets: DataFrame, config: ForestConfig, depth: int) -> DataFrame:
             out = []
             for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
                 if a in cuts and held:
-                    out.append(verify(pd.concat(held, ignore_index=True), config, depth))
+                    out.append(verify(pd.concat(held, ignore_index=True), config))
                     held = []
                 if b > a:
                     held.append(batch.iloc[a:b])
             if out:
                 yield pd.concat(out, ignore_index=True)
         if held:
-            yield verify(pd.concat(held, ignore_index=True), config, depth)
+            yield verify(pd.concat(held, ignore_index=True), config)
 
     dealt = blocks(sets, config).repartition(*key).sortWithinPartitions(*key)
-    kinds = "set_id binary, root binary, links bigint, copies bigint, expected double"
+    kinds = "set_id binary, root binary, links bigint, copies bigint"
     return write_scratch(dealt.mapInPandas(run, kinds), "verified")
 
 
@@ -307,17 +304,10 @@ def similar_documents(
         "classes",
     )
     pairs = write_scratch(neighbours(classes, config), "pairs")
-    depth = config.depth
-    while True:
-        near = pairs.filter(F.col("shared") >= depth).select("id_a", "id_b").distinct()
-        grouped = connected_components(near)
-        groups = write_scratch(grouped.select(F.col("id").alias("set_id"), F.col("cluster_id").alias("group")), "groups")
-        sets = candidate_sets(docs, classes.drop("labels"), groups, config, id_col, text_col)
-        found = verified(sets, config, depth)
-        seen = found.agg(F.sum("links").alias("links"), F.sum("expected").alias("expected")).first()
-        if depth <= config.least_depth() or (seen["links"] or 0) >= config.target_recall * (seen["expected"] or 0):
-            break
-        depth -= 1
+    grouped = connected_components(pairs.select("id_a", "id_b").distinct())
+    groups = write_scratch(grouped.select(F.col("id").alias("set_id"), F.col("cluster_id").alias("group")), "groups")
+    sets = candidate_sets(docs, classes.drop("labels"), groups, config, id_col, text_col)
+    found = verified(sets, config)
     edges = found.filter("root != set_id").select(F.col("root").alias("id_a"), F.col("set_id").alias("id_b")).distinct()
     members = connected_components(edges).select(F.col("id").alias("set_id"), F.col("cluster_id").alias("root"))
     degrees = found.groupBy("set_id").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))

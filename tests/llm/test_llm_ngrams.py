@@ -1,7 +1,7 @@
 import numpy as np
 from llm_cases import ODD_TEXTS, changed, documents, words
 
-from corpuskiln.llm.ngram_join import ForestConfig, common_counts, drop_similar, shingles, similar_documents
+from corpuskiln.llm.ngram_join import ForestConfig, common_counts, drop_similar, labels, shingles, similar_documents
 
 
 def brute(rows):
@@ -67,6 +67,36 @@ def test_dense_group_of_different_texts(spark):
     assert found == brute(rows)
 
 
+def test_a_dense_group_does_not_change_other_links(spark):
+    """Lone pairs at the threshold itself are found whatever else the corpus holds."""
+    config = ForestConfig(trees=8, target_recall=0.99)
+    rows = []
+    for k in range(40):
+        pair = words(500 + k, 184).split()
+        rows.append((k, " ".join(pair)))
+        for at in (20, 60, 100, 140):  # 160 of 200 shingles stay common
+            pair[at] = f"other{k}at{at}"
+        rows.append((1000 + k, " ".join(pair)))
+    base = words(1, 600)
+    dense = [(5000 + k, changed(base, k, 1)) for k in range(120)]
+    alone = as_result(similar_documents(documents(spark, rows), config).collect())
+    among = as_result(similar_documents(documents(spark, [*rows, *dense]), config).collect())
+    assert all(alone[i] == among[i] == (1000 + i % 1000, 2, 1) for i, _ in rows)
+
+
+def test_labels_of_pairs_at_the_threshold_meet():
+    config = ForestConfig()
+    least = config.least_depth()
+    assert config.found(0.8, least) >= 0.99999
+    rnd = np.random.default_rng(5)
+    factors = np.random.default_rng(config.seed).integers(0, 1 << 32, config.trees * config.depth, dtype=np.uint32) | np.uint32(1)
+    for _ in range(2_000):
+        n = rnd.integers(1, 40)  # 8 parts of 10 are common
+        both = rnd.integers(0, 1 << 63, 10 * n).astype(np.uint64) << np.uint64(1)
+        a, b = (np.frombuffer(labels(np.unique(x), factors), np.uint8).reshape(-1, config.depth) for x in (both[n:], both[:-n]))
+        assert (a[:, :least] == b[:, :least]).all(1).any()
+
+
 def test_odd_texts_repeats_nulls_and_empty(spark):
     rows = [*enumerate(ODD_TEXTS), (4, "other text with this id"), (None, "a b c d e f"), (90, "a b c d e f"), (90, "a b c d e f")]
     found = similar_documents(documents(spark, rows)).collect()
