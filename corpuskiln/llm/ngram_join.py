@@ -20,8 +20,8 @@ the largest doc_id in it, and its number of links. A hot group is spread by its
 are one class, and its pairs are counted in blocks over many tasks.
 
 Defined cases: a text without words has no shingles, no links and a class of its own.
-A null text is empty. Null ids lose against others in naming a class. Rows that repeat
-an id are documents of their own. Other columns are not read.
+A null text is empty. Null ids lose against others in naming a class; among equal or null ids the
+larger digest of the text stays. Rows that repeat an id are documents of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuskiln.llm.quality import text_digest
 from corpuskiln.operators.clusters import connected_components
 from corpuskiln.scratch import write_scratch
 
@@ -86,7 +87,7 @@ def labels(own: np.ndarray, factors: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, config: ForestConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored rows (doc_id, set_id, n, labels); set_id is a 128-bit digest of the set, null without shingles."""
+    """Stored rows (doc_id, digest, set_id, n, labels); digest is that of the text, set_id a 128-bit one of the set, null without shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(config.seed)
@@ -97,14 +98,19 @@ def signatures(docs: DataFrame, config: ForestConfig, id_col: str = "doc_id", te
                 own = shingles(text or "", config.words)
                 rows.append((_set_id(own), len(own), labels(own, factors)) if len(own) else (None, 0, None))
             yield pd.concat(
-                [batch[["doc_id"]], pd.DataFrame(rows, columns=["set_id", "n", "labels"], index=batch.index)], axis=1
+                [batch[["doc_id", "digest"]], pd.DataFrame(rows, columns=["set_id", "n", "labels"], index=batch.index)], axis=1
             )
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    stored = rows.mapInPandas(run, "doc_id bigint, set_id binary, n bigint, labels binary")
+    rows = _texts(docs, id_col, text_col)
+    stored = rows.mapInPandas(run, "doc_id bigint, digest binary, set_id binary, n bigint, labels binary")
     return write_scratch(stored, "signatures")
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_digest(text).alias("digest"), text.alias("text"))
+
+
 def _set_id(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
@@ -168,17 +174,15 @@ def candidate_sets(
     docs: DataFrame, classes: DataFrame, groups: DataFrame, config: ForestConfig, id_col: str, text_col: str
 ) -> DataFrame:
     """Stored rows (set_id, group, n, copies, shingles) of the classes in candidate groups, from one document each."""
-    wanted = classes.join(groups, "set_id").select("set_id", "group", "copies", F.col("doc_id").alias("named"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["named"])).select("set_id", "group", "copies", "text")
+    wanted = classes.join(groups, "set_id").select("set_id", "group", "copies", "keep")
+    texts = _texts(docs, id_col, text_col)
+    same = texts["doc_id"].eqNullSafe(wanted["keep.doc_id"]) & (texts["digest"] == wanted["keep.digest"])
+    rows = texts.join(wanted, same).select("set_id", "group", "copies", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(x or "", config.words) for x in batch["text"]]
-            # an id that several texts share meets the classes of all of them
-            own = np.array([_set_id(s) == i for s, i in zip(sets, batch["set_id"], strict=True)], bool)
-            out = batch[["set_id", "group", "copies"]].assign(n=[len(s) for s in sets], shingles=[s.tobytes() for s in sets])
-            yield out[own]
+            yield batch[["set_id", "group", "copies"]].assign(n=[len(s) for s in sets], shingles=[s.tobytes() for s in sets])
 
     kinds = "set_id binary, group binary, copies bigint, n bigint, shingles binary"
     return write_scratch(rows.mapInPandas(run, kinds).dropDuplicates(["set_id"]), "candidate-sets")
@@ -296,11 +300,17 @@ def similar_documents(
     docs: DataFrame, config: ForestConfig = ForestConfig(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, class_id, class_size, n_links (documents similar to it), n_text_links (different sets similar to its own)."""
+    rows = _classified(docs, config, id_col, text_col)
+    return rows.select("doc_id", "class_id", "class_size", "n_links", "n_text_links")
+
+
+def _classified(docs: DataFrame, config: ForestConfig, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``similar_documents`` with the digest of the text and ``keep`` (doc_id, digest), the row of its class that stays."""
     rows = signatures(docs, config, id_col, text_col)
     classes = write_scratch(
         rows.filter("n > 0")
         .groupBy("set_id")
-        .agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("labels").alias("labels")),
+        .agg(F.max(F.struct("doc_id", "digest")).alias("keep"), F.count("*").alias("copies"), F.first("labels").alias("labels")),
         "classes",
     )
     pairs = write_scratch(neighbours(classes, config), "pairs")
@@ -318,21 +328,23 @@ def similar_documents(
         .withColumn("root", F.coalesce("root", "set_id"))
     )
     of_set = write_scratch(of_set, "sets")
-    named = of_set.groupBy("root").agg(F.max("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = of_set.groupBy("root").agg(F.max("keep").alias("keep"), F.sum("copies").alias("class_size"))
     known = of_set.join(named, "root").select(
         "set_id",
-        "class_id",
+        named["keep"],
         "class_size",
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("links", F.lit(0)).alias("n_text_links"),
     )
     without = F.col("set_id").isNull()
     return (
-        rows.select("doc_id", "set_id")
+        rows.select("doc_id", "digest", "set_id")
         .join(known, "set_id", "left")
         .select(
             "doc_id",
-            F.when(without, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            "digest",
+            F.when(without, F.struct("doc_id", "digest")).otherwise(F.col("keep")).alias("keep"),
+            F.when(without, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("class_id"),
             F.when(without, 1).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
             F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
             F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"),
@@ -341,11 +353,14 @@ def similar_documents(
 
 
 def drop_similar(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) whose id names their class, all columns; one of each class stays.
+    """The rows of ``docs`` (doc_id, text, ...) less those similar to one that stays, all columns; one of each class stays.
 
-    Ids that go are joined, not those that stay. Rows that repeat a kept id and its set of shingles stay together.
+    The row with the largest (doc_id, digest of the text) stays. The pairs that go are joined, not those that stay.
+    Rows that repeat a kept id and its text stay together.
     """
-    found = similar_documents(docs, config)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    found = _classified(docs, config, "doc_id", "text")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("digest") == F.col("keep.digest"))
+    gone = found.filter(~kept).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
     gone = write_scratch(gone, "similar")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (text_digest(docs["text"]) == gone["__digest"])
+    return docs.join(gone, same, "left_anti")

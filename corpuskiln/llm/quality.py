@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.scratch import write_scratch
@@ -113,17 +113,23 @@ def statistics(text: str) -> tuple:
     return (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, *ratios)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the whole text; a null text is empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, counts, ratios, base_failed) of every row."""
+    """(doc_id, digest of the text, counts, ratios, base_failed) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = pd.DataFrame([statistics(x or "") for x in batch["text"]], columns=[*COUNTS, *RATIOS], index=batch.index)
-            yield pd.concat([batch[["doc_id"]], found], axis=1)
+            yield pd.concat([batch[["doc_id", "digest"]], found], axis=1)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), text_digest(text).alias("digest"))
     kinds = [f"{c} bigint" for c in COUNTS] + [f"{c} double" for c in RATIOS]
-    stats = rows.mapInPandas(run, ", ".join(["doc_id bigint", *kinds]))
+    stats = rows.mapInPandas(run, ", ".join(["doc_id bigint", "digest binary", *kinds]))
     return stats.withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
@@ -260,7 +266,7 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, score, ratios of every row of ``docs``.
+    """doc_id, the digest, the counts, base_failed, kept, score, ratios of every row of ``docs``.
 
     ``score`` is the largest of the family scores over their thresholds; rows are rejected from 1 on.
     The statistics are stored once; the forest, the calibration and the verdicts read them.
@@ -270,13 +276,14 @@ def judge(
     thresholds = calibrate(rows, labels, config)
     score = F.greatest(*[F.col(f"scores.{k}") / F.lit(v) for k, v in thresholds.items()])
     kept = ~F.col("base_failed") & (score < 1)
-    return rows.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), score.alias("score"), *RATIOS)
+    return rows.select("doc_id", "digest", *COUNTS, "base_failed", kept.alias("kept"), score.alias("score"), *RATIOS)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) that are kept, all columns. Ids of rejected rows travel, not texts.
+    """The rows of ``docs`` (doc_id, text, ...) that are kept, all columns. Ids and digests of rejected rows travel, not texts.
 
-    If an id has several rows, one rejected text takes them all.
+    Rows of one id, or without an id, are judged and removed each by its own text.
     """
-    gone = judge(docs, labels, config).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    gone = judge(docs, labels, config).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (text_digest(docs["text"]) == F.col("__digest"))
+    return docs.join(gone.distinct(), same, "left_anti")

@@ -119,6 +119,18 @@ def test_stage_leaves_one_of_each_class(spark):
     assert {r["doc_id"] for r in kept.collect()} == classes
 
 
+def test_stage_removes_rows_not_ids(spark):
+    near = words(1, 150)
+    rows = [(None, changed(near, 2, 1)), (7, near), (None, words(3, 150)), (7, words(4, 150))]
+    nulls = words(5, 150)
+    rows += [(None, changed(nulls, k, 1)) for k in range(4)]
+    rows += [(8, words(6, 150)), (8, words(7, 150)), (9, words(6, 150))]
+    kept = [(r["doc_id"], r["text"]) for r in drop_similar(documents(spark, rows)).collect()]
+    assert len(kept) == len(set(kept)) == 6 and set(kept) <= set(rows)
+    assert {rows[1], rows[2], rows[3], rows[-2], rows[-1]} < set(kept)
+    assert sum(r in rows[4:8] for r in kept) == 1
+
+
 def test_common_counts_equal_sets():
     rnd = np.random.default_rng(0)
     sets = [np.unique(rnd.integers(0, 400, rnd.integers(1, 120)).astype(np.uint64)) for _ in range(70)]

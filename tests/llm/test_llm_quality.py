@@ -96,6 +96,15 @@ def test_stage_keeps_columns_and_empty_tables(spark):
     assert all(r["kept"] != r["base_failed"] for r in unlabelled)
 
 
+def test_stage_removes_rows_not_ids(spark):
+    rows, bad, labels = labelled(spark)
+    clean = [(None, ". ".join(words(90_000 + i * 31 + k, 12).capitalize() for k in range(12))) for i in range(10)]
+    docs = documents(spark, [*rows, *bad, *clean, (None, "short"), (None, None), (300, "short too")])
+    kept = [(r["doc_id"], r["text"]) for r in drop_low_quality(docs, labels).collect()]
+    assert sum(i is None for i, _ in kept) >= 9 and set(kept) <= {*rows, *bad, *clean}
+    assert rows[300] in kept
+
+
 def test_forest_paths_equal_a_walk():
     rnd = np.random.default_rng(2)
     rows = rnd.random((300, len(RATIOS)))
