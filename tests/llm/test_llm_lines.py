@@ -44,6 +44,14 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert drop_repeated_lines(documents(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_keep_their_own_lines(spark):
+    """Rows that share an id, or have none, lose only what stands in another row."""
+    texts = ["x\ny\nz", "q\nx\ny\nz", "1\n2\n3\n4", "5\n6\n7\n8"]
+    for doc_id in (None, 7):
+        found = [r["text"] for r in drop_repeated_lines(documents(spark, [(doc_id, t) for t in texts])).collect()]
+        assert sorted(found) in (sorted(["x\ny\nz", "q", *texts[2:]]), sorted(["", *texts[1:]]))
+
+
 def test_no_python_on_the_path(spark):
     plan = drop_repeated_lines(documents(spark, [(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
