@@ -2,8 +2,8 @@
 
 Every paragraph gives points for its length and commas to its ancestors, less the
 farther they are; an element's points are discounted by its link density. The
-best container and those siblings that score alike are kept, and their blocks are
-the text. Elements that are never part of an article (menus, headers, footers,
+best container, those siblings that score alike, and the paragraphs, lists and loose text beside it that are
+not links are kept, and their blocks are the text; nothing in them is left out for its links. Elements that are never part of an article (menus, headers, footers,
 side columns, notices, adverts, forms, scripts, styles, comments of readers) are
 cut off before the scoring, by tag, role or words of class and id.
 
@@ -34,6 +34,7 @@ INLINE = frozenset(
     "s samp small span strike strong sub sup time tt u var wbr".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
+PROSE = PARAGRAPHS | INLINE | frozenset("ul ol dl table".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
@@ -78,6 +79,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 MIN_PARAGRAPH = 25
 SIBLING_SHARE = 0.2
+LINK_DENSITY = 0.25
 
 
 class Node:
@@ -221,8 +223,8 @@ def score(order: list[Node]) -> None:
         node.points *= 1 - node.n_link / max(1, node.n_text)
 
 
-def containers(order: list[Node]) -> list[Node]:
-    """The best container and its siblings that score alike, or the whole of an enclosing article."""
+def containers(order: list[Node]) -> list[Node | str]:
+    """The best container and its siblings that score alike or are prose, or the whole of an enclosing article."""
     candidates = [n for n in order if n.tag not in INLINE and n.tag not in PARAGRAPHS]
     best = max(candidates, key=lambda n: n.points, default=None)
     if best is None or best.points <= 0:
@@ -234,19 +236,24 @@ def containers(order: list[Node]) -> list[Node]:
     if best.parent is None:
         return [best]
     least = max(1.0, best.points * SIBLING_SHARE)
-    kept = []
+    beside = best.tag not in ("article", "main")
+    kept: list[Node | str] = []
     for node in best.parent.children:
-        if isinstance(node, str) or node.dropped:
+        if isinstance(node, str):
+            if beside:
+                kept.append(node)
+            continue
+        if node.dropped:
             continue
         density = node.n_link / max(1, node.n_text)
         heading = node.tag in ("h1", "h2") and best.parent.tag != "body"
-        prose = node.tag in PARAGRAPHS and node.n_text >= 80 and density < 0.25
-        if node is best or node.points >= least or heading or (prose and best.tag not in ("article", "main")):
+        prose = beside and (node.tag in VOID or (node.tag in PROSE and node.n_text and density < LINK_DENSITY))
+        if node is best or node.points >= least or heading or prose:
             kept.append(node)
     return kept
 
 
-def text_of(tops: list[Node]) -> str:
+def text_of(tops: list[Node | str]) -> str:
     """Blocks of the kept elements in page order, white space folded, joined by one space."""
     out: list[str] = []
     stack: list[Node | str] = list(reversed(tops))
@@ -257,8 +264,6 @@ def text_of(tops: list[Node]) -> str:
         elif item.tag == "br" or item.tag == "hr":
             out.append(" ")
         elif not item.dropped:
-            if item.tag in ("ul", "ol", "div", "section") and item.n_text and item.n_link > 0.66 * item.n_text:
-                continue  # a list of links inside the container
             if item.tag in INLINE:
                 stack += reversed(item.children)
             else:

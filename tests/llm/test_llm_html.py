@@ -29,6 +29,16 @@ def test_best_container_wins_over_link_lists_and_short_boxes():
     assert main_text(page(links + "<div class=text>{}</div>" + links)) == EXPECTED
 
 
+def test_lists_of_links_inside_the_article_stay():
+    sources = "<h2>Sources</h2><ul>" + "".join(f"<li><a href={i}>Source {i}</a></li>" for i in range(3)) + "</ul>"
+    assert main_text(page("<article>{}" + sources + "</article>")) == EXPECTED + " Sources Source 0 Source 1 Source 2"
+
+
+def test_short_text_beside_the_best_container_stays():
+    around = "<div id=content><p>Short lead.</p><div class=body>{}</div>Loose <b>bold</b> text.<br><p>Short end.</p><p><a href=x>no</a></p></div>"
+    assert main_text(page(around)) == f"Short lead. {EXPECTED} Loose bold text. Short end."
+
+
 def test_references_white_space_and_inline_markup():
     text = "<p>a &lt;b&gt; &amp;amp;  &#x41;&nbsp;\n<b>bo</b>ld<br>line &copy &bogus;</p>"
     assert main_text(f"<article>{text}</article>") == "a <b> &amp; A bold line © &bogus;"
