@@ -67,6 +67,12 @@ def test_first_copy_uses_up_the_hash(spark):
     assert [r.doc_id for r in dedup.exact_dedup(df).orderBy("doc_id").collect()] == [1, 3]
 
 
+def test_null_texts_are_copies(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "")], "doc_id bigint, content string")
+    assert sorted(r["doc_id"] for r in dedup.exact_dedup(df).collect()) == [1, 3, 4]
+    assert dedup.duplicate_fraction(df).first()["duplicate_fraction"] == 0.25
+
+
 def test_default_rules_in_order(spark):
     texts = {
         1: "",
