@@ -14,10 +14,13 @@ from corpuskiln.llm.edit_counts import count_with_edits
 from corpuskiln.llm.exact_dedup import exact_duplicates
 from corpuskiln.llm.html_extract import extract_pages
 from corpuskiln.llm.line_dedup import drop_repeated_lines
+from corpuskiln.llm.merkle import manifest, verify
 from corpuskiln.llm.ngram_join import similar_documents
 from corpuskiln.llm.packing import pack
 from corpuskiln.llm.quality import COUNTS, judge
 from corpuskiln.llm.tokenizer_files import tokenizer_path
+from corpuskiln.llm.toxicity import toxicity
+from corpuskiln.llm.whitening import whiten
 from corpuskiln.llm.zip_warc import locate_records, read_records, typed_pages, write_packages
 
 
@@ -95,6 +98,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify(manifest(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_chat_formatting,
         op10_warc,
+        op11_toxicity,
+        op12_embedding_whitening,
+        op13_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -158,4 +176,60 @@ SELECT conv_id, n_turns, turns_sha256, length(said) AS loss_chars, sha256(said)
 FROM whole JOIN loss USING (conv_id)
 """
 
-ORACLE: dict[str, str] = {"op3_exact_dedup": OP3, "op8_line_dedup": OP8, "op9_chat_formatting": OP9}
+# crc is the checksum of the decimal id, bit by bit: xor with a byte, then eight shifts by the reversed polynomial
+OP13 = """
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS src,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, replace(text, chr(10), '') AS cut,
+         list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+           lambda digit: [ascii(digit)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda crc, step: CASE WHEN step >= 0 THEN xor(crc, step) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY src) - 1 AS tree,
+         row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY src) AS n,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(CASE WHEN crc & 1 = 1 THEN cut ELSE text END) || ':'
+           || CASE WHEN crc & 1 = 1 THEN cut ELSE text END, '-')) AS shown
+  FROM rows_
+), nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, max(level) + 1, idx // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY tree, idx // 3
+), subroots AS (
+  SELECT tree, level AS height, digest AS subroot FROM nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 0 AS level, tree AS idx, count(*) OVER () AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT max(level) + 1, idx // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM upper_nodes WHERE n > 1 GROUP BY idx // 3
+), siblings AS (
+  SELECT tree, level, idx, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS r
+  FROM (SELECT tree, level, idx, n, digest FROM nodes UNION ALL SELECT -1, level, idx, n, digest FROM upper_nodes)
+  WHERE n > 1 WINDOW run AS (PARTITION BY tree, level, idx // 3 ORDER BY idx)
+), steps AS (
+  SELECT f.tree, f.idx, s.level AS step, s.l, s.r
+  FROM leaves f JOIN siblings s ON s.tree = f.tree AND s.idx = f.idx // (3 ** s.level)::BIGINT
+  UNION ALL
+  SELECT f.tree, f.idx, u.height + s.level, s.l, s.r
+  FROM leaves f JOIN subroots u ON u.tree = f.tree
+  JOIN siblings s ON s.tree = -1 AND s.idx = f.tree // (3 ** s.level)::BIGINT
+), proofs AS (
+  SELECT tree, idx, string_agg(l || r, '' ORDER BY step) AS proof FROM steps GROUP BY tree, idx
+), folded AS (
+  SELECT tree, idx, 0 AS step, shown AS h FROM leaves
+  UNION ALL
+  SELECT f.tree, f.idx, f.step + 1, sha256(s.l || f.h || s.r) FROM folded f JOIN steps s USING (tree, idx, step)
+), ends AS (
+  SELECT tree, idx, max_by(h, step) AS folded_root FROM folded GROUP BY tree, idx
+)
+SELECT doc_id, leaf, subroot, digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = digest AS verified
+FROM leaves JOIN subroots USING (tree) JOIN ends USING (tree, idx) LEFT JOIN proofs USING (tree, idx)
+JOIN upper_nodes u ON u.n = 1
+"""
+
+ORACLE: dict[str, str] = {"op3_exact_dedup": OP3, "op8_line_dedup": OP8, "op9_chat_formatting": OP9, "op13_merkle_manifest": OP13}
