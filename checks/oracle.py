@@ -306,6 +306,36 @@ packed AS (
   FROM placed_tokens GROUP BY {cols}spot // {length} HAVING count(*) = {length})"""
 
 
+def buffered(source: str, measure: str, bound: int, length: int, by: str = "") -> str:
+    """As ``packed``, a buffer at a time; ``measure`` is what fills a buffer up to ``bound``. Starts with a recursive table."""
+    cols = f"{by}, " if by else ""
+    same = f"spans.{by} = starts.{by} AND" if by else ""
+    of_by = f"PARTITION BY {by}" if by else ""
+    starts_by = f"starts.{by}, " if by else ""
+    return f"""source AS ({source}),
+spans AS (
+  SELECT {cols}doc_id, tokens, {measure} AS size, coalesce(sum({measure}) OVER (
+    {of_by} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot FROM source),
+starts AS (
+  SELECT DISTINCT {cols}0::BIGINT AS start FROM spans
+  UNION ALL
+  SELECT {starts_by}min(spot + size) FROM starts JOIN spans ON {same} spot + size >= start + {bound}
+  GROUP BY {f'starts.{by}' if by else 'start'}),
+grouped AS (
+  SELECT {f'spans.{by}, ' if by else ''}doc_id, any_value(tokens) AS tokens, max(start) AS buffer
+  FROM spans JOIN starts ON {same} start <= spot GROUP BY {f'spans.{by}, ' if by else ''}doc_id),
+offsets AS (
+  SELECT {cols}buffer, tokens, coalesce(sum(len(tokens)) OVER (
+    PARTITION BY {cols}buffer ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM grouped),
+placed_tokens AS (
+  SELECT {cols}buffer, start + generate_subscripts(tokens, 1) - 1 AS spot, unnest(tokens) AS token FROM offsets),
+blocks AS (
+  SELECT {cols}buffer, spot // {length} AS block, string_agg(CAST(token AS VARCHAR), '|' ORDER BY spot) AS tokens
+  FROM placed_tokens GROUP BY {cols}buffer, spot // {length} HAVING count(*) = {length}),
+packed AS (
+  SELECT {cols}row_number() OVER ({of_by} ORDER BY buffer, block) - 1 AS seq_id, tokens FROM blocks)"""
+
+
 TEXT_TOKENS = f"SELECT doc_id, list_append({tokens('text')}, '<|endoftext|>') AS tokens FROM documents"
 ID_TOKENS = (
     f"SELECT doc_id, lang, list_append(list_transform({words('text')}, lambda w: {hex_int('w', 7)}), 0) AS tokens "
@@ -444,6 +474,10 @@ ORACLE: dict[str, str] = {
         FROM documents""",
     "pack_sequences": f"WITH {packed(TEXT_TOKENS, 1024)} SELECT seq_id, tokens FROM packed",
     "pretokenized_pack": f"WITH {packed(ID_TOKENS, 256, 'lang')} SELECT lang, seq_id, tokens FROM packed",
+    "pack_sequences_buffered": f"""WITH RECURSIVE {buffered(
+        TEXT_TOKENS.replace(" FROM", ", text FROM"), "length(text)", 14746, 128)} SELECT seq_id, tokens FROM packed""",
+    "pretokenized_pack_buffered": f"""WITH RECURSIVE {buffered(ID_TOKENS, "(len(tokens) - 1)", 4096, 256, "lang")}
+        SELECT lang, seq_id, tokens FROM packed""",
     "sequence_batches": f"""WITH {packed(TEXT_TOKENS, 128)}
         SELECT CAST(seq_id // 3 AS BIGINT) AS batch_id, count(*) AS n_sequences,
                string_agg(tokens, '|' ORDER BY seq_id) AS tokens

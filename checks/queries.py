@@ -391,14 +391,36 @@ def pack_sequences(spark, sf_dir):
     return _joined(packing.pack_sequences(_texts(spark, sf_dir), "content", "doc_id"))
 
 
+def _tokenized(spark, sf_dir):
+    ids = F.transform(T.word_tokens(F.col("text")), lambda word: hex_int(F.md5(word), 7))
+    return D.documents(spark, sf_dir).select("doc_id", "lang", ids.alias("input_ids"))
+
+
+def _joined_ids(sequences, *keep):
+    return _joined(sequences.withColumn("tokens", F.col("tokens").cast("array<string>")), *keep)
+
+
 @query
 def pretokenized_pack(spark, sf_dir):
-    ids = F.transform(T.word_tokens(F.col("text")), lambda word: hex_int(F.md5(word), 7))
-    tokenized = D.documents(spark, sf_dir).select("doc_id", "lang", ids.alias("input_ids"))
     packed = packing.pretokenized_pack(
-        tokenized, "input_ids", "doc_id", F.lit(0).cast("bigint"), 256, shard_col="lang"
+        _tokenized(spark, sf_dir), "input_ids", "doc_id", F.lit(0).cast("bigint"), 256, shard_col="lang"
+    )
+    return _joined_ids(packed, "lang")
+
+
+@query
+def pack_sequences_buffered(spark, sf_dir):
+    config = PackingConfig(seq_length=128, buffer_sequences=32)
+    return _joined(packing.pack_sequences_buffered(_texts(spark, sf_dir), "content", "doc_id", config))
+
+
+@query
+def pretokenized_pack_buffered(spark, sf_dir):
+    config = PackingConfig(seq_length=256, buffer_sequences=16)
+    packed = packing.pretokenized_pack_buffered(
+        _tokenized(spark, sf_dir), "input_ids", "doc_id", F.lit(0).cast("bigint"), config, shard_col="lang"
     )
-    return packed.select("lang", "seq_id", F.array_join(F.col("tokens").cast("array<string>"), "|").alias("tokens"))
+    return _joined_ids(packed, "lang")
 
 
 @query

@@ -41,6 +41,9 @@ class PackingConfig:
     seq_length: int = 1024
     separator: str = "<|endoftext|>"
     max_doc_tokens: int | None = None
+    # a buffer takes documents until it holds the text of about so many sequences
+    buffer_sequences: int = 1024
+    chars_per_token: float = 3.6
 
 
 @dataclass(frozen=True)

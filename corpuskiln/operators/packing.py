@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.config import PackingConfig
 from corpuskiln.functions import text as T
 from corpuskiln.operators.ordering import CHUNK_IDS, id_chunk, running_total
+from corpuskiln.operators.restarts import in_groups, restarts
 from corpuskiln.scratch import write_scratch
 
 
@@ -101,6 +104,81 @@ def pack_sequences(
     return _blocks(placed.select(*by, "_offset", tokens.alias("_tokens")), by, config.seq_length)
 
 
+def _buffers(sizes: DataFrame, by: list[str], bound: int, seq_length: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(by, _position, _buffer, _offset) of each document and (by, _buffer, _first), the number of a buffer's first sequence.
+
+    ``sizes`` has (by, _position, _measure, _size). A buffer is closed by the document that fills it to ``bound`` by ``_measure``.
+    """
+    sizes, position = write_scratch(sizes, "sizes"), F.col("_position")
+    spans = running_total(sizes, F.col("_measure"), [position], id_chunk(position, chunk), "at", by)
+    spans = write_scratch(spans.withColumnRenamed("_measure", "size"), "spans")
+    grouped = write_scratch(in_groups(spans, restarts(spans, bound, by), bound, by, "_buffer").drop("at", "size"), "buffers")
+    inside = running_total(grouped, F.col("_size"), [position], id_chunk(position, chunk), "_offset", [*by, "_buffer"])
+    full = grouped.groupBy(*by, "_buffer").agg(F.floor(F.sum("_size") / seq_length).alias("_sequences"))
+    full = write_scratch(full, "buffer-sequences")
+    # at most two buffers begin in a stretch of the bound
+    start = F.col("_buffer")
+    first = running_total(full, F.col("_sequences"), [start], id_chunk(start, bound * chunk), "_first", by)
+    return inside.drop("_size"), first.drop("_sequences")
+
+
+def _numbered_blocks(placed: DataFrame, first: DataFrame, by: list[str], seq_length: int) -> DataFrame:
+    blocks = _blocks(placed, [*by, "_buffer"], seq_length).join(first, [*by, "_buffer"])
+    return blocks.select(*by, (F.col("_first") + F.col("seq_id")).alias("seq_id"), "tokens")
+
+
+def pretokenized_pack_buffered(
+    df: DataFrame,
+    tokens_col: str,
+    position_col: str,
+    separator: Column,
+    config: PackingConfig = PackingConfig(),
+    shard_col: str | None = None,
+    chunk: int = CHUNK_IDS,
+) -> DataFrame:
+    """(seq_id, tokens): as ``pretokenized_pack``, but packed a buffer at a time.
+
+    A buffer takes documents in order until they have ``seq_length * buffer_sequences`` tokens, separators not counted;
+    the document that passes this bound still belongs to it. Each buffer drops its own short tail. ``seq_id``
+    counts through all buffers of a shard, from 0. A null array is an empty document.
+    """
+    by = [shard_col] if shard_col else []
+    ids = F.coalesce(F.col(tokens_col), F.slice(F.array(separator), 1, 0))
+    rows = df.select(*by, F.col(position_col).alias("_position"), ids.alias("_ids"))
+    count = F.size("_ids").cast("bigint")
+    sizes = rows.select(*by, "_position", count.alias("_measure"), _ended_size(count, config.max_doc_tokens).alias("_size"))
+    offsets, first = _buffers(sizes, by, config.seq_length * config.buffer_sequences, config.seq_length, chunk)
+    placed = rows.join(offsets, [*by, "_position"])
+    tokens = _ended(F.col("_ids"), separator, config.max_doc_tokens)
+    return _numbered_blocks(placed.select(*by, "_buffer", "_offset", tokens.alias("_tokens")), first, by, config.seq_length)
+
+
+def pack_sequences_buffered(
+    df: DataFrame,
+    text_col: str,
+    position_col: str,
+    config: PackingConfig = PackingConfig(),
+    shard_col: str | None = None,
+    chunk: int = CHUNK_IDS,
+) -> DataFrame:
+    """Tokenize a text column and pack it a buffer at a time, see ``pretokenized_pack_buffered``.
+
+    Here a buffer is measured in characters: ``seq_length * chars_per_token * buffer_sequences`` of them fill it.
+    A null text is an empty document.
+    """
+    by = [shard_col] if shard_col else []
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(*by, F.col(position_col).alias("_position"), text.alias("_text"))
+    count = _ended_size(T.pre_token_count(F.col("_text")), config.max_doc_tokens)
+    measure = F.char_length("_text").cast("bigint")
+    bound = math.ceil(config.seq_length * config.chars_per_token * config.buffer_sequences)
+    sizes = rows.select(*by, "_position", measure.alias("_measure"), count.alias("_size"))
+    offsets, first = _buffers(sizes, by, bound, config.seq_length, chunk)
+    placed = rows.join(offsets, [*by, "_position"])
+    tokens = _ended(T.pre_tokens(F.col("_text")), F.lit(config.separator), config.max_doc_tokens)
+    return _numbered_blocks(placed.select(*by, "_buffer", "_offset", tokens.alias("_tokens")), first, by, config.seq_length)
+
+
 def sequence_batches(sequences: DataFrame, batch_size: int, seq_col: str = "seq_id") -> DataFrame:
     """(batch_id, sequences) in order; the last batch may be short."""
     ordered = F.array_sort(F.collect_list(F.struct(seq_col, "tokens")))
