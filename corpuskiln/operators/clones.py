@@ -10,16 +10,19 @@ of all files costs one row per file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuskiln import config
 from corpuskiln.functions import text as T
+from corpuskiln.operators.bloom import BLOCKS, bloom_filter, maybe_in
 from corpuskiln.operators.skew import HOT_ROWS, join_hot_keys
 from corpuskiln.scratch import write_scratch
 
 BLOCKS_PER_SET = 1000
+# stretches of units are named by this many parts each
+RADIX = 8
 GENERATED = "generated"
 
 
@@ -70,18 +73,18 @@ def line_windows(
     return keyed.select("side", is_generated, "file_id", F.inline(windows))
 
 
-def _possible_windows(windows: DataFrame) -> DataFrame:
+def _possible_windows(windows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """Windows of the smaller corpus, and those windows of the larger one that it holds too.
 
-    A clone has a place in both corpora. The distinct windows of the generated
-    corpus are few beside those of the training corpus, so most training
-    windows leave in this join, before anything is aggregated or shuffled again.
-    The planner measures the stored windows and sends them whole only if they are small.
+    A clone has a place in both corpora. A Bloom filter of the generated windows, of a fixed size, meets the
+    training windows in their scan, so what is shuffled for the exact join are the hits and a few
+    false ones, not the windows of the training corpus.
     """
     generated = windows.filter(F.col("is_generated"))
     wanted = write_scratch(generated.select("window").distinct(), "generated-windows")
-    training = windows.filter(~F.col("is_generated")).join(wanted, "window", "left_semi")
-    return training.unionByName(generated)
+    hits = maybe_in(windows.filter(~F.col("is_generated")), "window", bloom_filter(wanted, "window", blocks), blocks)
+    # each wanted window is one row; the planner would move a semi-join in front of the filter
+    return hits.join(wanted, "window").select(*generated.columns).unionByName(generated)
 
 
 def _repeated_windows(windows: DataFrame, by_side: bool) -> DataFrame:
@@ -125,54 +128,65 @@ def _window_runs(places: DataFrame) -> DataFrame:
 PLACE = ("side", "file_id", "island")
 
 
-def _look_ahead(runs: DataFrame, sign: int) -> tuple[DataFrame, int]:
-    """Runs with hashes ``h0``, ``h1``, ... of the next 1, 2, 4, ... units in one direction, and how many there are.
+def _ranks(runs: DataFrame, longest: int) -> tuple[DataFrame, int]:
+    """Runs with the names of the stretches behind and before them, and the number of levels.
 
-    A hash is NULL where the island ends first. Every round adds one column of eight bytes
-    a row, and the rounds end when no unit has all its places agree on a stretch that long.
+    As in a suffix array built by prefix doubling, a stretch of ``RADIX`` ^ j units is named by the names of its
+    ``RADIX`` parts; equal names mean equal stretches. ``on_j`` names the next units, ``back_j`` the ones before; NULL
+    where the island ends first. All levels share one sort of the islands and are written once, so the width of the table
+    is the logarithm of the longest island.
     """
     in_island = Window.partitionBy(*PLACE).orderBy("run")
-
-    def ahead(name: str, n: int) -> Column:
-        return (F.lead if sign > 0 else F.lag)(name, n).over(in_island)
-
-    level, rows = 0, runs.select(*PLACE, "run", "unit", F.xxhash64("unit").alias("own"))
-    rows = rows.withColumn("h0", ahead("own", 1)).drop("own")
-    while True:
-        rows = write_scratch(rows, "ahead")
-        if _agreeing(rows.select("unit", F.col(f"h{level}").alias("h"))).isEmpty():
-            return rows, level
-        further = ahead(f"h{level}", 1 << level)
-        both = F.when(further.isNotNull(), F.xxhash64(F.col(f"h{level}"), further))
-        rows, level = rows.withColumn(f"h{level + 1}", both), level + 1
-
-
-def _agreeing(seen: DataFrame) -> DataFrame:
-    """Units all of whose places (unit, h) have the same hash."""
-    same = F.bool_and(F.col("h").isNotNull()) & (F.min("h") == F.max("h"))
-    return seen.groupBy("unit").agg(same.alias("_same")).filter("_same").select("unit")
-
-
-def _reach(runs: DataFrame, sign: int, out: str) -> DataFrame:
-    """(unit, out): how many units in one direction all places of a unit agree on; units without any are left out.
-
-    Binary lifting: from the longest stretch down, a unit goes on by 2^k if its places agree on
-    the 2^k units behind those it has. Only units that agree on the next one take part.
+    levels = 1
+    while RADIX**levels <= longest:
+        levels += 1
+    rows = runs.select(*PLACE, "run", "unit", F.xxhash64("unit").alias("own"))
+    rows = rows.withColumns({"on_0": F.lead("own", 1).over(in_island), "back_0": F.lag("own", 1).over(in_island)}).drop("own")
+    for level in range(levels - 1):
+        names = {}
+        for column, shift in ((f"on_{level}", F.lead), (f"back_{level}", F.lag)):
+            parts = [F.col(column), *[shift(column, k * RADIX**level).over(in_island) for k in range(1, RADIX)]]
+            whole = parts[-1].isNotNull()
+            names[column.replace(str(level), str(level + 1))] = F.when(whole, F.xxhash64(*parts))
+        rows = rows.withColumns(names)
+    return write_scratch(rows, "ranks"), levels
+
+
+def _same(name: str) -> Column:
+    return F.bool_and(F.col(name).isNotNull()) & (F.min(name) == F.max(name))
+
+
+def _reach(ranks: DataFrame, levels: int) -> DataFrame:
+    """(unit, n, _back, _on): the places of each unit, and how many units before and behind it all of them agree on.
+
+    The longest common prefix of all places of a unit, digit by digit of ``RADIX``: from the longest stretch down, a unit goes
+    on by as many whole stretches as its places agree on behind those it has. A round looks up
+    ``RADIX`` - 1 names a place. Only units that agree on the nearest one take part.
     """
-    rows, levels = _look_ahead(runs, sign)
-    if not levels:
-        return rows.select("unit", F.lit(0).alias(out)).limit(0)
-    active = _agreeing(rows.select("unit", F.col("h0").alias("h"))).withColumn(out, F.lit(0))
-    table = rows.drop("unit")
+    first = write_scratch(
+        ranks.groupBy("unit").agg(F.count("*").alias("n"), _same("back_0").alias("_some_back"), _same("on_0").alias("_some_on")), "units"
+    )
+    sides = F.array(
+        F.when(F.col("_some_back"), F.struct(F.lit(-1).alias("side_of"), F.lit(0).alias("reach"))),
+        F.when(F.col("_some_on"), F.struct(F.lit(1).alias("side_of"), F.lit(0).alias("reach"))),
+    )
+    active = first.select("unit", F.explode(F.array_compact(sides)).alias("_side")).select("unit", "_side.*")
     for level in reversed(range(levels)):
-        places = rows.select(*PLACE, "run", "unit").join(active, "unit")
-        at = places.select(*PLACE, (F.col("run") + sign * F.col(out)).alias("run"), "unit")
-        seen = at.join(table.select(*PLACE, "run", F.col(f"h{level}").alias("h")), [*PLACE, "run"])
-        further = _agreeing(seen.select("unit", "h")).withColumn("_more", F.lit(1 << level))
-        active = write_scratch(
-            active.join(further, "unit", "left").select("unit", (F.col(out) + F.coalesce("_more", F.lit(0))).alias(out)), "reach"
+        step = RADIX**level
+        asked = ranks.select(*PLACE, "run", "unit").join(active, "unit").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(RADIX - 2))))
+        asked = asked.withColumn("run", F.col("run") + F.col("side_of") * (F.col("reach") + F.col("_k") * step))
+        named = ranks.select(*PLACE, "run", F.col(f"on_{level}").alias("_on"), F.col(f"back_{level}").alias("_back"))
+        seen = asked.join(named, [*PLACE, "run"], "left").withColumn("name", F.when(F.col("side_of") > 0, F.col("_on")).otherwise(F.col("_back")))
+        agreed = seen.groupBy("unit", "side_of", "reach", "_k").agg(_same("name").alias("_same"))
+        steps = F.coalesce(F.min(F.when(~F.coalesce("_same", F.lit(False)), F.col("_k"))), F.lit(RADIX - 1))
+        # read once, by the next round, so nothing is stored between the few rounds
+        active = agreed.groupBy("unit", "side_of", "reach").agg(steps.alias("_steps")).select(
+            "unit", "side_of", (F.col("reach") + F.col("_steps") * step).alias("reach")
         )
-    return active
+    reached = active.groupBy("unit").agg(
+        F.max(F.when(F.col("side_of") < 0, F.col("reach"))).alias("_back"), F.max(F.when(F.col("side_of") > 0, F.col("reach"))).alias("_on")
+    )
+    return first.select("unit", "n").join(reached, "unit", "left").fillna(0, ["_back", "_on"])
 
 
 def _fingerprints(df: DataFrame, clones: DataFrame, file_col: str, text_col: str, side_col: str | None) -> DataFrame:
@@ -218,11 +232,10 @@ def line_clones(
         hot_rows,
         per_window.select("window", "n"),
     )
-    runs = write_scratch(_window_runs(places), "window-runs")
-    sizes = runs.groupBy("unit").agg(F.count("*").alias("n"))
-    units = write_scratch(
-        sizes.join(_reach(runs, -1, "_back"), "unit", "left").join(_reach(runs, 1, "_on"), "unit", "left").fillna(0), "units"
-    )
+    longest = Observation("runs")
+    runs = _window_runs(places).observe(longest, F.max("run").alias("longest"))
+    runs = write_scratch(runs, "window-runs")
+    units = write_scratch(_reach(*_ranks(runs, longest.get["longest"] or 0)), "units-reach")
     counts = units.select("unit", "n")
     spread = runs.select(*PLACE, "run", "unit")
     grown = write_scratch(

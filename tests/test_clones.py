@@ -154,3 +154,20 @@ def test_long_common_stretch_of_many_units_takes_few_rounds(spark, stored_plans)
     found = clones.line_clones(spark.createDataFrame(rows, "doc_id long, content string")).collect()
     assert {(r.file_id, r.start_line) for r in found if r.line_count == 120} == {(1, 1), (2, 2)}
     assert sum("h0" in p for p in stored_plans) < 40
+
+
+def test_growth_over_many_units_takes_few_rounds(spark, stored_plans):
+    """A block of 600 lines whose every line also occurs alone elsewhere, so that no two windows form one run."""
+    rng = random.Random(8)
+    block = [f"line {rng.randrange(10**9)}" for _ in range(600)]
+    rows = [(0, "\n".join(["first", *block, "end"])), (1, "\n".join(["other", *block, "last"]))]
+    rows += [(2 + i, "\n".join([f"own {i}", *block[i : i + 2], f"own {i} too"])) for i in range(0, 598, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, content string")
+    found = clones.line_clones(df, threshold=2).collect()
+    longest = [r for r in found if r["line_count"] == 600]
+    assert {(r["file_id"], r["start_line"]) for r in longest} == {(0, 2), (1, 2)}
+    assert len({r["fingerprint"] for r in longest}) == 1
+    assert len(found) == 2 + 299 * 3
+    # names of 1, 8, 64 and 512 units, written once
+    ranks = [p for p in stored_plans if "on_3" in p.partition("== Physical Plan ==")[2] and "lead" in p]
+    assert len(ranks) == 1 and len(stored_plans) <= 10
