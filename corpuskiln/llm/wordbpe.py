@@ -59,7 +59,7 @@ class ChunkCache(dict):
             self.clear()
 
 
-class _Pending(ChunkCache):
+class PendingCache(ChunkCache):
     """A cache that hands out empty values for new chunks and fills all of them at once."""
 
     def __init__(self, encode_many):
@@ -92,7 +92,7 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache = ChunkCache(self.encode)
-        self.words, self.rest = _Pending(self._encode_words), _Pending(self._encode_rest)
+        self.words, self.rest = PendingCache(self._encode_words), PendingCache(self._encode_rest)
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(1 + max(vocab.values()), bool)
         self.ends_word[[i for string, i in vocab.items() if string.endswith(END_OF_WORD)]] = True
@@ -129,13 +129,17 @@ def text_ids(cache: ChunkCache, text: str) -> bytes:
 
 
 def batch_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts of an Arrow batch in a row, and how many each text has.
+    """The ids of all texts of an Arrow batch in a row, and how many each text has, by the library."""
+    return numbered_ids(library(path), texts)
+
+
+def numbered_ids(known, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same by any encoder ``known`` whose ``words`` and ``rest`` give the ids of different chunks.
 
     Arrow splits the texts at ASCII white space, makes ASCII letters small (the tokenizer would), parts
     plain words from the marks behind them and numbers what is left, so Python sees each different
     word once. Chunks that are no plain word with marks go to the library whole.
     """
-    known = library(path)
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
     raw = split.flatten()
     chunk = pc.ascii_lower(raw)

@@ -2,12 +2,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import ODD_TEXTS, documents
 from tokenizers import Tokenizer
 
-from corpuskiln.llm.bpe import decode_ids, encode_texts, loaded, round_trip_digests
+from corpuskiln.llm.bpe import WordBpe, decode_ids, encode_texts, loaded, round_trip_digests
 from corpuskiln.llm.edit_counts import (
     SegmentTree,
     apply_edits,
@@ -35,6 +36,25 @@ def test_ids_and_text_equal_the_library(text):
     assert bpe.decode(bpe.encode(text)) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_batches_equal_the_library():
+    rnd, bpe = random.Random(9), loaded(PATH)
+    parts = ["the ", "word", "s. ", "Éa", "é", "'s", "\x1c", "²", "İ", "<|endoftext|>", "<|x", "\n", "-_", "ß", "K", "\0"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(1500)] + ODD_TEXTS
+    flat, n = bpe.encode_batch(pa.array([*texts, None], pa.string()))
+    assert n.sum() == len(flat) and n[-1] == 0
+    for text, ids in zip(texts, np.split(flat, n.cumsum()[:-1]), strict=False):
+        wanted = library(text or "")
+        assert ids.tolist() == wanted, text
+        assert bpe.decode_bytes(ids).decode() == LIBRARY.decode(wanted, skip_special_tokens=False)
+
+
+def test_different_words_are_merged_once(monkeypatch):
+    bpe, merged = WordBpe(PATH), []
+    monkeypatch.setattr(bpe, "merge", lambda ids: merged.append(1) or list(ids))
+    bpe.encode_batch(pa.array(["one two, two three. " * 50] * 20))
+    assert len(merged) <= 5  # three words and two marks
+
+
 def test_digests_of_odd_texts(spark):
     docs = documents(spark, list(enumerate(ODD_TEXTS)))
     for row in round_trip_digests(docs, PATH).collect():
