@@ -212,7 +212,9 @@ def paths(leaves: DataFrame, inner: DataFrame, total_height: int) -> DataFrame:
 def manifest(docs: DataFrame) -> DataFrame:
     """One row a document with (all digests binary) leaf, subroot, root, and ``segment``: its siblings left and right
     of it, level by level up to the root. ``shown`` is the leaf as the verifier gets it, null where it is the same."""
-    numbered = number_in_groups(leaf_rows(docs), ["src"], ["doc_id", "leaf", "row_id"], "leaves")
+    # stored before they are sorted: finding the ranges would read and hash the texts a second time
+    hashed = write_scratch(leaf_rows(docs), "leaf-digests")
+    numbered = number_in_groups(hashed, ["src"], ["doc_id", "leaf", "row_id"], "leaves")
     sources = number_in_groups(numbered.spans.select("src", "n").distinct(), [], ["src"], "sources")
     sources = write_scratch(
         sources.positions([], sources.spans.withColumnRenamed("n", "n_sources")).select(
