@@ -431,6 +431,14 @@ ORACLE: dict[str, str] = {
     "jaccard_similarity": f"""WITH {PAIRS}
         SELECT id_a, id_b, {JACCARD.format(a='x.tokens', b='y.tokens')} AS jaccard
         FROM pairs JOIN sets x ON x.doc_id = id_a JOIN sets y ON y.doc_id = id_b""",
+    "similar_pairs": f"""WITH {TOKEN_SETS}, different AS (
+          SELECT min(doc_id) AS id, any_value(tokens) AS tokens FROM sets GROUP BY list_sort(tokens))
+        SELECT x.id AS id_a, y.id AS id_b, {JACCARD.format(a='x.tokens', b='y.tokens')} AS jaccard
+        FROM different x JOIN different y ON x.id < y.id AND len(x.tokens) > 0 AND len(y.tokens) > 0
+          AND least(len(x.tokens), len(y.tokens)) >= 0.84 * greatest(len(x.tokens), len(y.tokens))
+        WHERE {JACCARD.format(a='x.tokens', b='y.tokens')} >= CAST(0.85 AS DOUBLE)""",
+    "similar_pairs_members": f"""WITH {TOKEN_SETS}
+        SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY list_sort(tokens)) AS representative FROM sets""",
     "cluster_extremes": f"WITH RECURSIVE {OUTCOME} SELECT cluster_id, id, extreme_id FROM outcome",
     "cluster_extremes_greedy": f"WITH RECURSIVE {OUTCOME_GREEDY} SELECT cluster_id, id, extreme_id FROM outcome",
     "near_dedup": f"""WITH RECURSIVE {OUTCOME}, {REMOVED}

@@ -12,7 +12,7 @@ from corpuskiln.config import GenerationConfig, NearDupConfig, PackingConfig
 from corpuskiln.functions import text as T
 from corpuskiln.functions.hashing import hex_int
 from corpuskiln.operators import clones, clusters, collection, dedup, features, filters, metrics, minhash, ngrams
-from corpuskiln.operators import ordering, packing, prompts
+from corpuskiln.operators import ordering, packing, prompts, setjoin
 from corpuskiln.plans import cleaning
 from corpuskiln.plans import collection as collecting
 from corpuskiln.plans import memorization, training
@@ -290,6 +290,20 @@ def jaccard_similarity(spark, sf_dir):
     return both.select("id_a", "id_b", T.jaccard(F.col("left"), F.col("right")).alias("jaccard"))
 
 
+def _similar_sets(spark, sf_dir):
+    return setjoin.similar_sets(_feature(spark, sf_dir, tokens=T.token_set(_content())), "doc_id", "tokens", 0.85)
+
+
+@query
+def similar_pairs(spark, sf_dir):
+    return _similar_sets(spark, sf_dir).pairs
+
+
+@query
+def similar_pairs_members(spark, sf_dir):
+    return _similar_sets(spark, sf_dir).members
+
+
 def _outcome(spark, sf_dir, mode="components"):
     return clusters.near_duplicates(_texts(spark, sf_dir), mode=mode)
 
