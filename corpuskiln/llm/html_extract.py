@@ -5,7 +5,9 @@ farther they are; an element's points are discounted by its link density. The
 best container, those siblings that score alike, and the paragraphs, lists and loose text beside it that are
 not links are kept, and their blocks are the text; nothing in them is left out for its links. Elements that are never part of an article (menus, headers, footers,
 side columns, notices, adverts, forms, scripts, styles, comments of readers) are
-cut off before the scoring, by tag, role or words of class and id.
+cut off before the scoring, by tag, role or names in class and id. A name counts if all its words
+say so (``cookie-notice``, ``sidebar-left``, not ``with-sidebar`` or ``related-work``). What a name
+or a form would cut off stays if the article itself is in it, or if nothing would be left.
 
 Character references are decoded once; white space in a block becomes one space;
 blocks are joined by one space in page order. Nothing is dropped by size.
@@ -13,14 +15,14 @@ blocks are joined by one space in page order. Nothing is dropped by size.
 Defined cases: a null or empty page, and one without text, gives the empty string.
 Unclosed or misplaced tags are repaired as browsers do for paragraphs, list items
 and table cells; a cut-off page keeps what is there. Depth is not bounded by
-recursion. Rows are independent, so repeated rows repeat; other columns are not read.
+recursion, and the time is linear in the page, however many elements are left open. Rows are independent, so repeated rows repeat; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,7 +33,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
-    "s samp small span strike strong sub sup time tt u var wbr".split()
+    "s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mroot mrow ms msqrt mstyle msub msubsup msup mtext semantics".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 PROSE = PARAGRAPHS | INLINE | frozenset("ul ol dl table".split())
@@ -54,11 +57,12 @@ IMPLIED = {
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 P_SCOPE = frozenset("table td th caption button object html body article section div li".split())
+BLOCK_ENDS = CLOSES_P - INLINE
 
-# What is no part of an article, by tag, role, and word of class or id.
+# What is no part of an article, by tag, role, and words of a name in class or id.
 DROP_TAGS = frozenset(
-    "nav footer aside form script style noscript template iframe object embed applet svg canvas math audio video "
-    "button select input textarea label fieldset dialog menu head title xmp noembed noframes".split()
+    "nav footer aside script style noscript template iframe object embed applet svg canvas audio video "
+    "button select input textarea fieldset dialog menu head title xmp noembed noframes".split()
 )
 DROP_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
@@ -70,10 +74,20 @@ DROP_WORDS = frozenset(
     "popup promo promos promoted promotion recommended related replies respond share sharing sidebar signup "
     "social sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets".split()
 )
+# Words that say where or in what shape, and nothing about the content.
+FRAME_WORDS = frozenset(
+    "area bar block bottom box button buttons center col column container content desktop fixed form global holder icon icons "
+    "inner item items left link links list main mobile module outer page panel placeholder posts primary region right row secondary "
+    "section site slot sticky stories tab tabs text thread title top unit wrap wrapper".split()
+)
+HEADER_WORDS = frozenset(("header", "masthead", "banner"))
 KEEP_WHOLE = frozenset(("html", "body", "main", "article"))
+FORM_SHARE = 0.5
 
-COMMENT_OR_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+COMMENT_OR_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+# one attribute; an unquoted value ends at white space or >, and so does one whose quote is never closed
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+TAG_END = re.compile(r"[\s/=]*(?:>|\Z)")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -83,99 +97,158 @@ LINK_DENSITY = 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "n_text", "n_link")
+    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "depth", "block", "points", "n_text", "n_link")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, suspect: bool = False):
+        self.tag, self.parent, self.dropped, self.suspect = tag, parent, dropped, suspect
         self.children: list[Node | str] = []
+        self.depth = parent.depth + 1 if parent else 0
+        # depth of the nearest block, which end tags of inline elements do not reach across
+        self.block = self.depth if tag in BLOCK_ENDS or not parent else parent.block
         self.points, self.n_text, self.n_link = 0.0, 0, 0
 
 
-def is_dropped(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in DROP_TAGS:
-        return True
-    if tag == "header":  # of the page; an article's own header holds its title
-        at = parent
-        while at and at.tag != "article":
-            at = at.parent
-        return at is None
-    if not attributes.strip() or tag in KEEP_WHOLE:
-        return False
-    words: set[str] = set()
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
+def names_boilerplate(name: str, in_article: bool) -> bool:
+    """Whether a name in class or id stands for something beside the article: all its words do, but for those of its frame."""
+    words = {w.lower() for w in WORD.findall(name)}
+    telling = words & DROP_WORDS
+    if in_article:  # an article's own header holds its title
+        telling -= HEADER_WORDS
+    return bool(telling) and words <= telling | FRAME_WORDS
+
+
+def judged(tag: str, attributes: list[tuple[str, str]], in_article: bool) -> tuple[bool, bool]:
+    """(dropped, suspect) of an element: never part of an article, or not if the article is elsewhere."""
+    if tag in DROP_TAGS or (tag == "header" and not in_article):
+        return True, False
+    suspect = tag == "form"
+    for name, value in attributes:
+        name = name.lower()
         if name in ("class", "id"):
-            words.update(w.lower() for w in WORD.findall(value))
-        elif (
+            suspect = suspect or any(names_boilerplate(x, in_article) for x in value.split())
+        elif tag not in KEEP_WHOLE and (
             name == "hidden"
             or (name == "role" and value.lower() in DROP_ROLES)
             or (name == "aria-hidden" and value.lower() == "true")
             or (name == "style" and HIDDEN.search(value))
         ):
-            return True
-    return not words.isdisjoint(DROP_WORDS)
+            return True, False
+    return False, suspect
+
+
+def read_attributes(page: str, where: int) -> tuple[list[tuple[str, str]], int]:
+    """The attributes of a tag and where it ends."""
+    found = []
+    while True:
+        end = TAG_END.match(page, where)
+        if end:
+            return found, end.end()
+        one = ATTRIBUTE.match(page, where)
+        if not one:  # a lone sign that begins no name
+            where += 1
+            continue
+        found.append((one[1], one[2] or one[3] or one[4] or ""))
+        where = one.end()
+
+
+class Tree:
+    """The elements of a page as they open and close; knows the open ones of each tag, so that no step walks up the tree."""
+
+    def __init__(self):
+        self.root = self.at = Node("#root", None, False)
+        self.open: dict[str, list[Node]] = {}
+
+    def enter(self, node: Node) -> None:
+        self.at = node
+        self.open.setdefault(node.tag, []).append(node)
+
+    def leave(self, node: Node) -> None:
+        """Close ``node`` and all that is open inside it."""
+        while self.at is not node.parent:
+            self.open[self.at.tag].pop()
+            self.at = self.at.parent
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        return max((stack[-1].depth for t in tags if (stack := self.open.get(t))), default=0)
+
+    def close(self, tag: str) -> None:
+        """The effect of an end tag; a stray one changes nothing, and one of an inline element closes no block around it."""
+        stack = self.open.get(tag)
+        if stack and not (tag in INLINE and stack[-1].depth < self.at.block):
+            self.leave(stack[-1])
+
+    def close_implied(self, tag: str) -> None:
+        """The end tags that a start tag implies."""
+        if tag in CLOSES_P:
+            stack = self.open.get("p")
+            if stack and stack[-1].depth > self.deepest(P_SCOPE):
+                self.leave(stack[-1])
+        elif tag in IMPLIED:
+            group, scope = IMPLIED[tag]
+            border = self.deepest(scope)
+            while (inner := self.deepest(group)) > border:
+                self.leave(next(self.open[t][-1] for t in group if self.open.get(t) and self.open[t][-1].depth == inner))
 
 
 def parse(page: str) -> Node:
     """The tree of elements; text of dropped elements and comments is left out."""
-    root = at = Node("#root", None, False)
+    tree = Tree()
     where, size = 0, len(page)
     while where < size:
         found = COMMENT_OR_TAG.search(page, where)
         end = found.start() if found else size
-        if end > where and not at.dropped:
-            at.children.append(html.unescape(page[where:end]))
+        if end > where and not tree.at.dropped:
+            tree.at.children.append(html.unescape(page[where:end]))
         if not found:
             break
         where = found.end()
-        tag = found[2]
-        if not tag:
+        if not found[2]:
             continue
-        tag = tag.lower()
+        tag = found[2].lower()
+        attributes, where = read_attributes(page, where)
         if found[1]:
-            at = close(at, tag)
+            tree.close(tag)
             continue
-        at = open_implied(at, tag)
-        node = Node(tag, at, at.dropped or is_dropped(tag, found[3], at))
+        tree.close_implied(tag)
+        at = tree.at
+        dropped, suspect = (True, False) if at.dropped else judged(tag, attributes, bool(tree.open.get("article")))
+        node = Node(tag, at, dropped, suspect)
         at.children.append(node)
         if tag in RAW:
             stop = re.compile(f"</{tag}[\\s/>]", re.I).search(page, where)
             where = stop.start() if stop else size
-            at = node
-        elif tag not in VOID and not (found[3].endswith("/") and tag in ("path", "circle", "rect")):
-            at = node
-    return root
-
-
-def close(at: Node, tag: str) -> Node:
-    """The parent of the open element that an end tag closes; a stray end tag changes nothing."""
-    node = at
-    while node.parent:
-        if node.tag == tag:
-            return node.parent
-        if tag in INLINE and node.tag not in INLINE and node.tag in CLOSES_P:
-            return at  # an inline end tag does not close the block around it
-        node = node.parent
-    return at
-
-
-def open_implied(at: Node, tag: str) -> Node:
-    """Where a start tag attaches, after the end tags that it implies."""
-    if tag in CLOSES_P:
-        node = at
-        while node.parent and node.tag not in P_SCOPE:
-            if node.tag == "p":
-                return node.parent
-            node = node.parent
-    elif tag in IMPLIED:
-        group, scope = IMPLIED[tag]
-        node, result = at, at
-        while node.parent and node.tag not in scope:
-            if node.tag in group:
-                result = node.parent
-            node = node.parent
-        return result
-    return at
+            tree.enter(node)
+        elif tag not in VOID and not (tag in ("path", "circle", "rect") and page[where - 2 : where - 1] == "/"):
+            tree.enter(node)
+    settle(tree.root)
+    return tree.root
+
+
+def settle(root: Node) -> None:
+    """Drop suspects, but not those around the article itself, and none if no text is left otherwise."""
+    order = in_order(root)
+    prose: dict[int, int] = {}
+    main: dict[int, bool] = {}
+    left: dict[int, bool] = {}
+    for node in reversed(order):
+        kids = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        prose[id(node)] = 0 if node.tag == "a" else own + sum(prose[id(c)] for c in kids)
+        main[id(node)] = not (node.suspect and node.tag in KEEP_WHOLE) and (
+            node.tag in ("article", "main") or any(main[id(c)] for c in kids)
+        )
+    whole = prose[id(root)]
+    for node in order:
+        if node.suspect:
+            around = node.tag in KEEP_WHOLE or main[id(node)]
+            node.suspect = not (around or (node.tag == "form" and prose[id(node)] >= FORM_SHARE * whole > 0))
+    for node in reversed(order):
+        kids = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        text = any(isinstance(c, str) and c.strip() for c in node.children)
+        left[id(node)] = not node.suspect and (text or any(left[id(c)] for c in kids))
+    if left[id(root)]:
+        for node in order:
+            node.dropped = node.dropped or node.suspect
 
 
 def in_order(root: Node) -> list[Node]:
