@@ -47,6 +47,9 @@ MAX_PACKAGE_BYTES = 256 << 20
 MAX_PACKAGE_RECORDS = 50_000
 RANGE_BYTES = 2 << 20
 PIECE_BYTES = 16 << 10
+TASK_BYTES = 64 << 20
+LOCATE_TASKS = 10_000
+HADOOP_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 KEY = ("sha1", "md5", "n_bytes")
 
 # Fixed values of the ZIP format.
@@ -117,12 +120,25 @@ def gzipped(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its file system, as Spark resolves it, so that packages lie where tables of that name would."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path and its name there; the names that Hadoop has for object stores are known too."""
+    scheme, sign, rest = path.partition("://")
+    return arrow_fs.FileSystem.from_uri(f"{HADOOP_SCHEMES.get(scheme, scheme)}{sign}{rest}")
+
+
 class _Package:
     """A package being written to a stream: records go straight through, index lines wait for the end."""
 
     def __init__(self, folder: str):
         self.path = f"{folder}/{uuid.uuid4().hex}.zip"
-        files, path = arrow_fs.FileSystem.from_uri(self.path)
+        files, path = file_system(self.path)
         files.create_dir(path.rpartition("/")[0], recursive=True)
         self.stream = files.open_output_stream(path)
         self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_STORED, allowZip64=True)
@@ -146,7 +162,7 @@ class _Package:
 def write_packages(typed: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the records of ``typed`` pages into packages under ``folder``; the stored list (path, n_records, n_bytes)."""
     folder = folder or scratch_path(typed.sparkSession, "packages")
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(typed.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         package = None
@@ -253,7 +269,7 @@ def locate_records(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataF
     """
 
     def ranges(path: str) -> Iterator[tuple[str, int, int, int | None]]:
-        files, name = arrow_fs.FileSystem.from_uri(path)
+        files, name = file_system(path)
         with files.open_input_file(name) as file:
             members = {m.name: m for m in central_directory(file, file.size())}
             for archive in (m for m in members.values() if m.name.endswith((".warc", ".warc.gz"))):
@@ -277,7 +293,8 @@ def locate_records(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataF
                 frame = pd.DataFrame(ranges(path), columns=["path", "start", "length", "n_records"])
                 yield frame.astype({"n_records": "Int64"})
 
-    listed = packages.select("path").repartition(F.col("path"))
+    # a stated number of tasks, since rows of a path each are too small for the planner to keep apart
+    listed = packages.select("path").repartition(max(1, min(packages.count(), LOCATE_TASKS)))
     return listed.mapInPandas(run, "path string, start bigint, length bigint, n_records bigint")
 
 
@@ -342,10 +359,10 @@ def decoded(headers: dict[str, str], block: bytes) -> tuple:
     return _page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, refers_to, length, digest, shown
 
 
-def read_records(located: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_records(located: DataFrame, with_payload: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of the records in byte ranges.
 
-    Ranges are dealt over all tasks, whatever package they belong to. ``with_payload=False`` leaves the payload out.
+    Ranges are dealt over all cores, and over more tasks from ``task_bytes`` of archive a task, whatever package they belong to. ``with_payload=False`` leaves the payload out.
     """
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     names = names if with_payload else names[:-1]
@@ -357,7 +374,7 @@ def read_records(located: DataFrame, with_payload: bool = True) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, start, length, n in batch[["path", "start", "length", "n_records"]].itertuples(index=False):
-                files, name = arrow_fs.FileSystem.from_uri(path)
+                files, name = file_system(path)
                 with files.open_input_file(name) as file:
                     rows, size, seen = [], 0, 0
                     for headers, block in records(chunks(file, start, length)):
@@ -372,7 +389,10 @@ def read_records(located: DataFrame, with_payload: bool = True) -> DataFrame:
                         yield _frame(rows, names)
 
     kinds = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
-    dealt = located.repartition(F.col("path"), F.col("start"))
+    located = write_scratch(located, "ranges")
+    total = located.agg(F.sum("length")).first()[0] or 0
+    tasks = max(located.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    dealt = located.repartition(tasks)  # dealt in turn, and a stated number is kept by the planner
     return dealt.mapInPandas(run, kinds + (", payload binary" if with_payload else ""))
 
 

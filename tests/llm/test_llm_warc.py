@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 from pyarrow import fs as arrow_fs
+from pyspark.sql import functions as F
 
 from corpuskiln.llm import zip_warc as Z
 from corpuskiln.scratch import scratch_path
@@ -55,6 +56,21 @@ def test_round_trip(spark):
     assert payload[102] == b"z" * 3_000_000 and payload[101] == b""
 
 
+def test_several_tasks_read(spark):
+    packages = Z.write_packages(Z.typed_pages(table(spark, ROWS).repartition(3)))
+    located = Z.locate_records(packages, range_bytes=500)
+    found = Z.read_records(located, with_payload=False)
+    tasks = found.groupBy(F.spark_partition_id()).count().count()
+    assert tasks >= 4  # of 8 cores
+    more = Z.read_records(located, with_payload=False, task_bytes=100)
+    assert more.rdd.getNumPartitions() > 8 and fields(more.collect()) == brute(CLEAN)
+
+
+def test_folders_lie_where_tables_would(spark):
+    assert Z.qualified(spark, "/tmp/a") == "file:///tmp/a" == Z.qualified(spark, "file:/tmp/a")
+    assert Z.file_system("file:///tmp/a")[1] == "/tmp/a"
+
+
 def test_smaller_payloads_are_all_responses(spark):
     found = Z.read_records(Z.locate_records(Z.write_packages(Z.typed_pages(table(spark, ROWS), min_bytes=10))), False)
     assert fields(found.collect()) == brute(CLEAN, 10)
