@@ -285,5 +285,8 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig =
     Rows of one id, or without an id, are judged and removed each by its own text.
     """
     gone = judge(docs, labels, config).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (text_digest(docs["text"]) == F.col("__digest"))
-    return docs.join(gone.distinct(), same, "left_anti")
+    # the row as one column, so that no name of its own can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    keyed = docs.select(row, F.col("doc_id").alias("__own_id"), text_digest(F.col("text")).alias("__own_digest"))
+    same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_digest") == F.col("__digest"))
+    return keyed.join(gone.distinct(), same, "left_anti").select("__row.*")

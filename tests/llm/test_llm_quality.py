@@ -121,3 +121,14 @@ def test_forest_paths_equal_a_walk():
         assert abs(scores[k] - 2 ** (-total / config.trees / forest.norm)) < 1e-12
     far = np.full((1, len(RATIOS)), 9.0)
     assert forest.score(far)[0] > np.quantile(scores, 0.9)
+
+
+def test_stage_takes_columns_with_the_names_it_uses(spark):
+    rows = [(i, words(i, 80)) for i in range(6)] + [(7, "short")]
+    names = {c: F.lit(c) for c in ("__id", "__digest", "__row", "__own_id", "digest", "kept", "score", "scores")}
+    docs = documents(spark, rows).withColumns(names)
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    kept = drop_low_quality(docs, labels)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert {r["doc_id"] for r in found} == set(range(6)) and all(r[c] == c for r in found for c in names)
