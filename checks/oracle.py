@@ -409,6 +409,8 @@ ORACLE: dict[str, str] = {
         WHERE NOT (has_no_keywords AND {draw('doc_id', 'has_no_keywords', 1)} <= CAST(0.7 AS DOUBLE))""",
     "filter_report": f"""WITH {REASONS}
         SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS n_rows FROM judged GROUP BY 1""",
+    "filter_report_observed": f"""WITH {REASONS}
+        SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS n_rows FROM judged GROUP BY 1""",
     "filter_summary": f"""WITH {REASONS}
         SELECT count(*) AS rows_loaded,
                CAST(count(*) FILTER (drop_reason = 'duplicate') AS DOUBLE) / count(*) AS duplicate_fraction,
@@ -453,6 +455,11 @@ ORACLE: dict[str, str] = {
                count(DISTINCT extreme_id) AS unique_files,
                (SELECT count(*) FROM documents) - (SELECT count(*) FROM removed) AS rows_kept
         FROM outcome""",
+    "near_dedup_observed": f"""WITH RECURSIVE {OUTCOME}, {REMOVED}
+        SELECT (SELECT count(*) FROM documents) AS original_rows, count(DISTINCT id) AS files_in_clusters,
+               count(DISTINCT extreme_id) AS unique_files,
+               (SELECT count(*) FROM documents) - (SELECT count(*) FROM removed) AS rows_kept
+        FROM outcome""",
     "org_summary": f"""WITH {ROUTED}
         SELECT org, count(*) AS n_rows, sum(size) / CAST(1048576 AS DOUBLE) AS size_mb FROM routed GROUP BY org""",
     "perplexity": """

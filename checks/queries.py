@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from checks import derived as D
@@ -233,6 +233,14 @@ def filter_report(spark, sf_dir):
     return filters.filter_report(filters.drop_reasons(_texts(spark, sf_dir), config=D.PROSE))
 
 
+@query
+def filter_report_observed(spark, sf_dir):
+    counted = Observation("reasons")
+    reasons = filters.drop_reasons(_texts(spark, sf_dir), config=D.PROSE)
+    write_scratch(filters.observe_reasons(reasons, counted), "reasons")
+    return spark.createDataFrame([*filters.observed_report(counted).items()], "drop_reason string, n_rows bigint")
+
+
 @query
 def filter_summary(spark, sf_dir):
     return filters.filter_summary(filters.drop_reasons(_texts(spark, sf_dir), config=D.PROSE))
@@ -333,6 +341,15 @@ def annotate_clusters(spark, sf_dir):
     return _annotated(spark, sf_dir)
 
 
+@query
+def near_dedup_observed(spark, sf_dir):
+    counted = Observation("copies")
+    kept = clusters.observe_copies(_texts(spark, sf_dir), _outcome(spark, sf_dir), counted)
+    write_scratch(kept, "kept")
+    counts = counted.get
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} bigint" for name in counts))
+
+
 @query
 def near_dedup_stats(spark, sf_dir):
     return clusters.near_dedup_stats(_texts(spark, sf_dir), _outcome(spark, sf_dir))

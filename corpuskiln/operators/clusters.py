@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -284,6 +284,23 @@ def nested_clusters(annotated: DataFrame, chunk: int = NearDupConfig().chunk) ->
     return spread.groupBy("cluster_id", part).agg(F.array_sort(F.collect_list(member)).alias("members"))
 
 
+def observe_copies(df: DataFrame, outcome: DataFrame, observation: Observation | str, id_col: str = "doc_id") -> DataFrame:
+    """Rows without copies, as ``without_copies``, counting all rows, files in clusters and extremes in the pass that writes them.
+
+    The outcome is reduced to one row a file and joined once; nothing is scanned again for the counts.
+    """
+    is_extreme = F.max(F.col("id") == F.col("extreme_id")).alias("_extreme")
+    per_file = outcome.groupBy(F.col("id").alias(id_col)).agg(is_extreme)
+    marked = df.join(per_file, id_col, "left").observe(
+        observation,
+        F.count("*").alias("original_rows"),
+        F.count("_extreme").alias("files_in_clusters"),
+        F.count_if("_extreme").alias("unique_files"),
+        F.count_if(F.coalesce("_extreme", F.lit(True))).alias("rows_kept"),
+    )
+    return marked.filter(F.coalesce("_extreme", F.lit(True))).drop("_extreme")
+
+
 def near_dedup_stats(df: DataFrame, outcome: DataFrame) -> DataFrame:
     """One row of five counts: rows, clusters, files in clusters, extremes, rows kept."""
     per_file = outcome.groupBy("id").agg(F.max(F.col("id") == F.col("extreme_id")).alias("_extreme"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpuskiln.config import CleaningConfig
@@ -10,6 +10,21 @@ from corpuskiln.functions.hashing import uniform_draw
 from corpuskiln.operators.dedup import later_copies
 from corpuskiln.operators.features import file_features
 
+# what ``drop_reasons`` can say, in the order of its rules
+DROP_REASONS = (
+    "empty",
+    "autogenerated",
+    "line_max",
+    "line_mean",
+    "alpha_frac",
+    "ratio",
+    "config_or_test",
+    "has_no_keywords",
+    "few_assignments",
+    "duplicate",
+)
+KEPT = "kept"
+
 
 def thinned(flag: Column, key: Column, salt: str, proba: float, seed: int) -> Column:
     """True when a flagged row loses its draw; each ``salt`` is an independent draw."""
@@ -98,6 +113,28 @@ def filter_report(reasons: DataFrame) -> DataFrame:
     )
 
 
+def observe_reasons(reasons: DataFrame, observation: Observation | str) -> DataFrame:
+    """``reasons``, counting its rows by reason in whatever pass reads them; a stream takes a name instead of an observation."""
+    reason = F.coalesce("drop_reason", F.lit(KEPT))
+    return reasons.observe(observation, *[F.count_if(reason == r).alias(r) for r in (KEPT, *DROP_REASONS)])
+
+
+def observed_report(observation: Observation) -> dict[str, int]:
+    """Rows per drop reason as ``filter_report`` counts them, once the observed rows have been written."""
+    return {reason: n for reason, n in observation.get.items() if n}
+
+
+def observed_summary(observation: Observation) -> dict[str, float | int | None]:
+    """The row of ``filter_summary`` from the same counts."""
+    counts = observation.get
+    rows = sum(counts.values())
+    return {
+        "rows_loaded": rows,
+        "duplicate_fraction": counts["duplicate"] / rows if rows else None,
+        "rows_filtered": counts[KEPT],
+    }
+
+
 def filter_summary(reasons: DataFrame) -> DataFrame:
     """One row: rows loaded, share of duplicates, rows kept."""
     rows = F.count("*")

@@ -1,10 +1,14 @@
 """Routing, exact duplicates and the heuristic filter."""
 
+import time
+
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from corpuskiln.config import CleaningConfig, NearDupConfig
-from corpuskiln.operators import collection, dedup, filters
+from corpuskiln.operators import clusters, collection, dedup, filters
 from corpuskiln.operators.skew import join_hot_keys
 from corpuskiln.plans.cleaning import clean_corpus
 from corpuskiln.plans.collection import store_by_org
@@ -110,6 +114,71 @@ def test_report_counts_every_row(spark):
     }
 
 
+def test_counts_are_taken_in_the_pass_that_writes(spark, tmp_path, stored_plans):
+    df = spark.createDataFrame([(i, CODE if i % 2 else CODE + str(i)) for i in range(10)], "doc_id long, content string")
+    reasons = filters.drop_reasons(df, config=CleaningConfig(filter_proba=0.0))
+    stored_plans.clear()
+    counted = Observation("reasons")
+    filters.observe_reasons(reasons, counted).write.parquet(str(tmp_path / "reasons"))
+    assert filters.observed_report(counted) == {r.drop_reason: r.n_rows for r in filters.filter_report(reasons).collect()}
+    assert filters.observed_summary(counted) == filters.filter_summary(reasons).first().asDict()
+    assert len(stored_plans) == 1 and "CollectMetrics" in stored_plans[0]
+
+
+def test_every_reason_is_counted(spark):
+    rows = [(i, r) for i, r in enumerate([None, None, *filters.DROP_REASONS])]
+    reasons = spark.createDataFrame(rows, "doc_id long, drop_reason string")
+    counted = Observation()
+    assert filters.observe_reasons(reasons, counted).count() == len(rows)
+    assert filters.observed_report(counted) == {"kept": 2, **dict.fromkeys(filters.DROP_REASONS, 1)}
+    none = Observation()
+    filters.observe_reasons(reasons.limit(0), none).collect()
+    assert filters.observed_report(none) == {}
+    assert filters.observed_summary(none) == {"rows_loaded": 0, "duplicate_fraction": None, "rows_filtered": 0}
+
+
+def test_reasons_are_counted_in_a_stream(spark, tmp_path):
+    seen = {}
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event): ...
+
+        def onQueryIdle(self, event): ...
+
+        def onQueryProgress(self, event):
+            row = event.progress.observedMetrics.get("reasons")
+            for reason, n in (row.asDict() if row else {}).items():
+                seen[reason] = seen.get(reason, 0) + n
+
+        def onQueryTerminated(self, event):
+            seen["done"] = 1
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        spark.createDataFrame([(1, None), (2, "ratio"), (3, "ratio")], "doc_id long, drop_reason string").write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("doc_id long, drop_reason string").parquet(str(tmp_path / "in"))
+        query = filters.observe_reasons(stream, "reasons").writeStream.format("noop").trigger(availableNow=True)
+        query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+        for _ in range(100):
+            if "done" in seen:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert (seen["kept"], seen["ratio"], seen["empty"]) == (1, 2, 0)
+
+
+def test_copies_are_counted_where_they_are_removed(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(6)], "doc_id long, content string")
+    outcome = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 3), (4, 3, 4), (4, 4, 4)], "cluster_id long, id long, extreme_id long")
+    counted = Observation()
+    kept = clusters.observe_copies(df, outcome, counted)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {0, 1, 3, 4, 5}
+    stats = clusters.near_dedup_stats(df, outcome).first().asDict()
+    assert counted.get == {k: v for k, v in stats.items() if k != "n_clusters"}
+
+
 def test_cleaning_plan_with_near_duplicates(spark):
     base = CODE + "\n".join(f"    word_{i} = {i}" for i in range(200))
     rows = [(1, base), (2, base + "\nlast = 1"), (3, base + " \n"), (4, CODE.replace("f(", "other("))]
