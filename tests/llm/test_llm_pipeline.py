@@ -33,4 +33,4 @@ def test_queries_equal_their_sql(spark):
 
 def test_only_numbered_queries_and_the_pipeline():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
