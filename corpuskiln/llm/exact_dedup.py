@@ -1,12 +1,13 @@
 """Exact duplicates by a tree-merge of sorted digest runs, with DataFrame functions only.
 
 Every document becomes a narrow row: id and digests of its whole text. The rows
-are dealt over leaves; each leaf sorts its rows by digest and merges equal ones
-into one entry (the sort aggregate below), which is its run. In each round the
-runs of ``FAN_IN`` neighbouring nodes meet at one parent, which merges them and
-keeps one identifier a digest. A digest that fills a third of the corpus thus
-reaches the next level as one entry a node, never as its rows, and the nodes of a
-level are spread over all tasks by digest.
+are dealt over nodes; each node merges the sorted runs that all scan tasks send it
+(the sort aggregate below) into one run, with one entry a digest. Rounds follow a binomial tree:
+in round r the nodes whose bit r is set, and no lower one, send their run to the node without
+that bit, which merges it with its own and keeps one identifier a digest. So half of the
+nodes leave in each round, and node 0 holds the result. A digest that fills a third of the
+corpus travels as one entry a node, never as its rows, and the run of a node is dealt
+over all tasks by digest.
 
 Verified: an entry is keyed on SHA-256, MD5 and the length in bytes together, at
 every level, so two texts merge only if all three agree. No text moves.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from corpuskiln.scratch import write_scratch
 
 LEAVES = 64
-FAN_IN = 8
+# nodes that merge into one of them in a round; 2 gives binomial rounds
+FAN_IN = 2
 KEY = ("sha256", "md5", "n_bytes")
 
 
@@ -53,12 +55,13 @@ def merge_runs(rows: DataFrame, largest: bool = True, leaves: int = LEAVES, fan_
         F.struct("doc_id", "row_id").alias("keep"),
         F.lit(1).cast("bigint").alias("n"),
     )
-    nodes, merged = leaves, False
-    while nodes > 1 or not merged:
-        nodes, merged = -(-nodes // fan_in), True
-        parent = [F.floor(F.col("node") / fan_in).alias("node")] if nodes > 1 else []
-        runs = runs.groupBy(*parent, *KEY).agg(best("keep").alias("keep"), F.sum("n").alias("n"))
-    return runs.withColumnRenamed("n", "group_size")
+    reach = 1
+    while True:
+        receiver = F.col("node") - F.pmod("node", F.lit(reach))
+        runs = runs.groupBy(receiver.alias("node"), *KEY).agg(best("keep").alias("keep"), F.sum("n").alias("n"))
+        if reach >= leaves:
+            return runs.drop("node").withColumnRenamed("n", "group_size")
+        reach *= fan_in
 
 
 def exact_duplicates(
