@@ -429,6 +429,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY i) AS signature FROM slots GROUP BY doc_id""",
     "lsh_candidates": f"WITH {PAIRS} SELECT id_a, id_b FROM pairs",
     "duplicate_clusters": f"WITH RECURSIVE {COMPONENTS} SELECT cluster_id, id FROM members",
+    "duplicate_clusters_stars": f"WITH RECURSIVE {COMPONENTS} SELECT cluster_id, id FROM members",
     "duplicate_clusters_greedy": f"WITH RECURSIVE {GREEDY} SELECT cluster_id, id FROM members",
     "jaccard_similarity": f"""WITH {PAIRS}
         SELECT id_a, id_b, {JACCARD.format(a='x.tokens', b='y.tokens')} AS jaccard
@@ -487,6 +488,18 @@ ORACLE: dict[str, str] = {
           ORDER BY CAST(doc_id AS DOUBLE) + {draw('doc_id', 'buffer', 42)} * CAST(1000 AS DOUBLE), doc_id) - 1
           AS shuffled_position
         FROM documents""",
+    "buffer_shuffle_reservoir": f"""WITH
+        placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents),
+        slots AS (
+          SELECT *, CASE WHEN position < 100 THEN position
+            ELSE CAST(floor({draw('(position - 100)', 'slot', 42)} * CAST(100 AS DOUBLE)) AS BIGINT) END AS slot
+          FROM placed),
+        followed AS (SELECT *, lead(position) OVER (PARTITION BY slot ORDER BY position) AS following FROM slots)
+        SELECT doc_id, position, following - 100 AS shuffled_position FROM followed WHERE following IS NOT NULL
+        UNION ALL
+        SELECT doc_id, position, max(position) OVER () + 1 - count(*) OVER ()
+          + row_number() OVER (ORDER BY {order_hash('position', 42)}) - 1
+        FROM followed WHERE following IS NULL""",
     "pack_sequences": f"WITH {packed(TEXT_TOKENS, 1024)} SELECT seq_id, tokens FROM packed",
     "pretokenized_pack": f"WITH {packed(ID_TOKENS, 256, 'lang')} SELECT lang, seq_id, tokens FROM packed",
     "pack_sequences_buffered": f"""WITH RECURSIVE {buffered(

@@ -283,6 +283,11 @@ def duplicate_clusters(spark, sf_dir):
     return clusters.duplicate_clusters(_texts(spark, sf_dir))
 
 
+@query
+def duplicate_clusters_stars(spark, sf_dir):
+    return clusters.duplicate_clusters(_texts(spark, sf_dir), mode="stars")
+
+
 @query
 def duplicate_clusters_greedy(spark, sf_dir):
     return clusters.duplicate_clusters(_texts(spark, sf_dir), mode="greedy")
@@ -413,6 +418,13 @@ def buffer_shuffle(spark, sf_dir):
     return ordering.buffer_shuffle(_texts(spark, sf_dir).select("doc_id"), "doc_id", "doc_id", 42)
 
 
+@query
+def buffer_shuffle_reservoir(spark, sf_dir):
+    ids = _texts(spark, sf_dir).select("doc_id")
+    placed = ordering.number_rows(ids, [F.col("doc_id")], ordering.id_chunk(F.col("doc_id")), "position")
+    return ordering.reservoir_shuffle(placed, "position", 42, buffer=100)
+
+
 def _joined(sequences, *keep):
     return sequences.select(*keep, "seq_id", F.array_join("tokens", "|").alias("tokens"))
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpuskiln.config import NearDupConfig
 from corpuskiln.functions import text as T
+from corpuskiln.operators.components import star_components
 from corpuskiln.operators.minhash import star_pairs, stored_buckets
 from corpuskiln.operators.ordering import id_chunk, running_minimum
 from corpuskiln.operators.skew import join_hot_keys
@@ -117,8 +118,14 @@ def duplicate_clusters(
     config: NearDupConfig = NearDupConfig(),
     mode: str = "components",
 ) -> DataFrame:
-    """(cluster_id, id): connected components, or the clusters of the greedy rule."""
+    """(cluster_id, id): connected components, or the clusters of the greedy rule.
+
+    ``components`` contracts the graph, ``stars`` finds the same clusters by alternating stars, with every vertex of
+    many links split.
+    """
     shared = stored_buckets(df, id_col, text_col, config)
+    if mode == "stars":
+        return star_components(star_pairs(shared, id_col, config), config.hot_rows)
     if mode == "components":
         return connected_components(star_pairs(shared, id_col, config), config)
     if mode == "greedy":

@@ -23,6 +23,8 @@ CHUNK_IDS = 65_536
 # ranges of ranges: 2^16 keys, 2^32 keys, 2^48 keys
 CHUNK_LEVELS = 2
 HASH_PREFIX = 4
+# rows of one buffer slot in a range of positions, on average
+SLOT_ROWS = 1_024
 
 
 def id_chunk(key: Column, size: int = CHUNK_IDS) -> Column:
@@ -127,6 +129,51 @@ def buffer_shuffle(
     return number_rows(keyed, order, id_chunk(F.col("_place"), chunk), out).drop("_place")
 
 
+def reservoir_shuffle(
+    df: DataFrame,
+    position_col: str,
+    seed: int,
+    buffer: int = config.SHUFFLE_BUFFER,
+    out: str = "shuffled_position",
+    slot_rows: int = SLOT_ROWS,
+) -> DataFrame:
+    """Place of each row after a buffer of ``buffer`` rows, as a reader with such a buffer hands them out.
+
+    The first rows fill the slots; each later row takes a drawn slot, and the row that held it
+    goes out. At the end the rows still held go out in a seeded order. So a row leaves when the next one draws its
+    slot, and its place is found among the rows of that slot alone. Slots are cut into
+    ranges of positions; what a range still holds goes out by the first draw of its slot in a later range. The draw depends on
+    the position and the seed only, so the places do not depend on partitions, and no row is sorted
+    but with those of its slot and range.
+
+    Positions are gapless from 0. The seeded order at the end holds at most ``buffer`` rows.
+    """
+    place = F.col(position_col).cast("bigint")
+    drawn = F.floor(uniform_draw(place - buffer, "slot", seed) * F.lit(float(buffer))).cast("bigint")
+    placed = df.withColumns(
+        {"_place": place, "_slot": F.when(place < buffer, place).otherwise(drawn), "_range": id_chunk(place, buffer * slot_rows)}
+    )
+    firsts = placed.groupBy("_slot", "_range").agg(F.min("_place").alias("_first"))
+    later = Window.partitionBy("_slot").orderBy("_range")
+    carried = firsts.select("_slot", "_range", F.lead("_first").over(later).alias("_carried"))
+    inside = Window.partitionBy("_slot", "_range").orderBy("_place")
+    followed = (
+        placed.withColumn("_next", F.lead("_place").over(inside))
+        .join(carried, ["_slot", "_range"])
+        .withColumn("_next", F.coalesce("_next", "_carried"))
+        .drop("_slot", "_range", "_carried")
+    )
+    followed = write_scratch(followed, "slots")
+    # the last row is always among those still held, so they know the number of rows
+    held = Window.orderBy(order_hash(F.col("_place"), seed), "_place")
+    all_held = Window.partitionBy()
+    last = followed.filter(F.col("_next").isNull()).withColumn(
+        out, F.max("_place").over(all_held) + 1 - F.count("*").over(all_held) + F.row_number().over(held) - 1
+    )
+    out_early = followed.filter(F.col("_next").isNotNull()).withColumn(out, F.col("_next") - buffer)
+    return out_early.unionByName(last).drop("_place", "_next")
+
+
 def split_boundary(df: DataFrame, id_col: str, fraction: float, seed: int, prefix: int = HASH_PREFIX) -> DataFrame:
     """One row with the largest order hash that still belongs to the test part.
 

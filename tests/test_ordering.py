@@ -106,3 +106,32 @@ def test_pack_text_and_batches(spark):
     assert [r.tokens for r in got.orderBy("seq_id").collect()] == want
     batches = packing.sequence_batches(got, 2).orderBy("batch_id").collect()
     assert [[s.tokens for s in b.sequences] for b in batches] == [want[i : i + 2] for i in range(0, len(want), 2)]
+
+
+def buffered(n, buffer, seed):
+    """What a reader with a bounded buffer hands out, one row after the other."""
+    held, handed = [], []
+    for place in range(n):
+        if place < buffer:
+            held.append(place)
+            continue
+        drawn = int(hashlib.md5(f"{place - buffer}:slot:{seed}".encode()).hexdigest()[:8], 16)
+        slot = int(drawn / 2**32 * buffer)
+        handed.append(held[slot])
+        held[slot] = place
+    return handed + sorted(held, key=lambda place: order_key(place, seed))
+
+
+@pytest.mark.parametrize("n, buffer, slot_rows, parts", [(3000, 50, 2, 7), (3000, 50, 1024, 1), (997, 1, 4, 3), (20, 50, 4, 3), (50, 50, 1, 2), (0, 5, 4, 1)])
+def test_reservoir_equals_a_sequential_buffer(spark, n, buffer, slot_rows, parts):
+    df = spark.range(n).select(F.col("id").alias("position"), (F.col("id") * 3).alias("_next_id")).repartition(parts)
+    rows = ordering.reservoir_shuffle(df, "position", 9, buffer=buffer, slot_rows=slot_rows).collect()
+    assert all(r._next_id == 3 * r.position for r in rows)
+    assert [r.position for r in sorted(rows, key=lambda r: r.shuffled_position)] == buffered(n, buffer, 9)
+    assert sorted(r.shuffled_position for r in rows) == list(range(n))
+
+
+def test_reservoir_sorts_rows_within_their_slot_only(spark, stored_plans):
+    ordering.reservoir_shuffle(spark.range(5000).withColumnRenamed("id", "position"), "position", 9, buffer=10)
+    (plan,) = stored_plans
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
