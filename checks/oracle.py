@@ -588,6 +588,9 @@ ORACLE: dict[str, str] = {
     "stream_exact_dedup": f"""
         SELECT md5(regexp_replace(text, '[{SPACE}]+', '', 'g')) AS hash, CAST(1 AS BIGINT) AS n_first
         FROM documents GROUP BY 1""",
+    "stream_exact_dedup_known": f"""
+        SELECT md5(regexp_replace(text, '[{SPACE}]+', '', 'g')) AS hash, CAST(1 AS BIGINT) AS n_first
+        FROM documents GROUP BY 1 HAVING NOT bool_or(coalesce(lang = 'en', false))""",
     "stream_ngram_train": f"""
         SELECT words[i] AS context, words[i + 1] AS word, count(*) AS n
         FROM (SELECT words, unnest(range(1, len(words))) AS i FROM (SELECT {words('text')} AS words FROM documents))

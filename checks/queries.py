@@ -18,7 +18,7 @@ from corpuskiln.plans import collection as collecting
 from corpuskiln.plans import memorization, training
 from corpuskiln.scratch import scratch_path, write_scratch
 from corpuskiln.sources import readers, writers
-from corpuskiln.streaming import streams
+from corpuskiln.streaming import known_hashes, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -686,6 +686,21 @@ def stream_exact_dedup(spark, sf_dir):
     return own.groupBy("hash").agg(F.count("doc_id").alias("n_first"))
 
 
+@query
+def stream_exact_dedup_known(spark, sf_dir):
+    """The English texts are in a batch table already; the stream brings all documents, its hashes are kept for a year."""
+    documents, out = D.documents(spark, sf_dir), scratch_path(spark, "stream-unseen")
+    known = documents.filter("lang = 'en'").select(T.content_hash(F.col("text")).alias("hash"))
+    year = 365 * 24 * 3600 * 1000
+    known_hashes.stream_exact_dedup_known(
+        _stream(spark, sf_dir), out, scratch_path(spark, "stream-state"), known, year, "text"
+    ).awaitTermination()
+    first = spark.read.schema("doc_id bigint, hash string").parquet(out)
+    # which copy comes first depends on the files; it has to be one of the hash's own documents
+    hashed = documents.select("doc_id", T.content_hash(F.col("text")).alias("_own"))
+    return first.join(hashed, "doc_id").filter("hash = _own").groupBy("hash").agg(F.count("doc_id").alias("n_first"))
+
+
 @query
 def stream_ngram_train(spark, sf_dir):
     out = scratch_path(spark, "stream-ngrams")
