@@ -1,25 +1,23 @@
 """Quality rules with an isolation forest over the statistics that the rules use.
 
 Every text gives the counts of the fixed rules and, from the same pass, ratios that
-do not depend on its length. Trees of random splits are grown over small samples
-of the ratios; a text that few splits set apart has short paths and is an anomaly.
-The score is the mean path length over the trees. Rows with a quality label say where
-anomaly begins. There is a forest for each family of statistics and one for all of them, and
-each has a threshold of its own: the one that parts good from bad best among those
-that reject at most its equal share of ``max_good_loss`` of the good rows. Where the labelled bad
-rows do not stand out in a family, it is the lowest such threshold. A row that reaches the threshold
-of any family is rejected, so every statistic has its say and all families
-together reject at most ``max_good_loss`` of the good rows.
-
-Sizes: the forest is fitted on at most ``fit_rows`` rows, those of the smallest hash
+do not depend on its length, taken as logarithms, so that a tenth and a half differ as clearly as one and five.
+Trees of random splits are grown over small samples of rows that are labelled good; a split
+is drawn over the part of the box of *all* rows that its node covers, so a value that no good row has is
+soon alone. A text that few splits set apart has short paths and is an anomaly.
+The score is the mean path length over the trees, one forest over all ratios. Rows with a quality label say where
+anomaly begins: at the score that parts good from bad best among those that reject at most
+``max_good_loss`` of the good rows. Where no score parts them, the forest rejects nothing.
+
+Sizes: the forest is fitted on at most ``fit_rows`` labelled rows, those of the smallest hash
 of their id and counts (a documented bound, the same rows whatever the partitions); calibration
 counts all labelled rows in ``SCORE_BINS`` bins before anything reaches the driver.
-The statistics, scores and verdicts cover all rows and whole texts.
+The statistics, the box, scores and verdicts cover all rows and whole texts.
 
 Defined cases: a null text has no words. A text without words has ratios of 0 and
 fails the base rule. Rows with equal doc_id are judged each by its own text; labels
 that repeat or contradict each count. Without labels of both kinds nothing
-but the base rule rejects. An empty table gives an empty result. Other columns are not read.
+but the base rule rejects, and scores are 0. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,13 +40,8 @@ WINDOW = 3
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("symbols_per_word", "dup_line_share", "repeat_share", "word_length", "upper_share", "marks_per_word")
-FAMILIES = {
-    "all": RATIOS,
-    "symbols": ("symbols_per_word",),
-    "repetition": ("dup_line_share", "repeat_share"),
-    "shape": ("word_length", "upper_share"),
-    "marks": ("marks_per_word",),
-}
+# added before the logarithm: differences far below these do not count
+OFFSETS = (0.01, 0.01, 0.01, 0.5, 0.005, 0.01)
 SCORE_BINS = 2_000
 
 
@@ -150,10 +143,11 @@ def mean_path(n: np.ndarray | float) -> np.ndarray:
 class IsolationForest:
     """Trees as arrays, one row a tree: the feature of a split (-1 in a leaf), its value, and the path length of a leaf.
 
-    Node i has children 2i + 1 and 2i + 2; depth is bounded by log2 of the sample.
+    Node i has children 2i + 1 and 2i + 2; depth is bounded by log2 of the sample. Splits are drawn over the range
+    of the rows of a node, or, with a ``box`` (least and largest values), over the part of the box that the node covers.
     """
 
-    def __init__(self, rows: np.ndarray, config: QualityConfig):
+    def __init__(self, rows: np.ndarray, config: QualityConfig, box: tuple[np.ndarray, np.ndarray] | None = None):
         rng = np.random.default_rng(config.seed)
         sample = min(config.sample, len(rows))
         self.depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
@@ -163,21 +157,28 @@ class IsolationForest:
         self.path = np.zeros((config.trees, size))
         self.norm = max(1e-9, float(mean_path(sample)))
         for tree in range(config.trees):
-            self._grow(tree, rows[rng.choice(len(rows), sample, replace=False)], rng)
+            self._grow(tree, rows[rng.choice(len(rows), sample, replace=False)], rng, box)
 
-    def _grow(self, tree: int, rows: np.ndarray, rng: np.random.Generator) -> None:
-        stack = [(0, 0, rows)]
+    def _grow(self, tree: int, rows: np.ndarray, rng: np.random.Generator, box: tuple[np.ndarray, np.ndarray] | None) -> None:
+        stack = [(0, 0, rows, box)]
         while stack:
-            node, depth, part = stack.pop()
-            spread = np.flatnonzero(part.max(0) > part.min(0)) if len(part) > 1 else ()
-            if depth == self.depth or not len(spread):
+            node, depth, part, inside = stack.pop()
+            if len(part) > 1 and depth < self.depth:
+                low, high = inside or (part.min(0), part.max(0))
+                wide = np.flatnonzero(high > low)
+            else:
+                wide = ()
+            if not len(wide):
                 self.path[tree, node] = depth + float(mean_path(len(part)))
                 continue
-            f = rng.choice(spread)
-            cut = rng.uniform(part[:, f].min(), part[:, f].max())
+            f = rng.choice(wide)
+            cut = rng.uniform(low[f], high[f])
             self.feature[tree, node], self.value[tree, node] = f, cut
-            left = part[:, f] <= cut
-            stack += [(2 * node + 1, depth + 1, part[left]), (2 * node + 2, depth + 1, part[~left])]
+            left, below, above = part[:, f] <= cut, None, None
+            if inside:
+                below, above = (low, high.copy()), (low.copy(), high)
+                below[1][f] = above[0][f] = cut
+            stack += [(2 * node + 1, depth + 1, part[left], below), (2 * node + 2, depth + 1, part[~left], above)]
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / mean path of the sample): near 1 for anomalies, below 0.5 for the ordinary."""
@@ -192,71 +193,79 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
 
-def fit_forests(stats: DataFrame, config: QualityConfig = QualityConfig()) -> dict[str, IsolationForest]:
-    """A forest a family over at most ``fit_rows`` rows that pass the base rule; none if there are no rows."""
+def scaled(ratios: np.ndarray) -> np.ndarray:
+    return np.log(ratios + np.array(OFFSETS))
+
+
+def fit_forest(stats: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> IsolationForest | None:
+    """The forest over at most ``fit_rows`` rows that pass the base rule and are labelled good; None without any.
+
+    Its box is that of all rows which pass the base rule.
+    """
     passed = stats.filter("NOT base_failed")
-    n = passed.count()
+    good = passed.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    ends = [F.min(c).alias(f"low_{c}") for c in RATIOS] + [F.max(c).alias(f"high_{c}") for c in RATIOS]
+    box = passed.agg(*ends).first()
+    n = good.count()
     if not n:
-        return {}
+        return None
     # a hash below this limit marks about twice the rows needed, so few rows are sorted
     draw = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", F.lit(config.seed)), F.lit(1 << 40))
     limit = min(1 << 40, (1 << 40) * 2 * config.fit_rows // n + 1)
     rows = (
-        passed.select(draw.alias("draw"), "doc_id", *RATIOS)
+        good.select(draw.alias("draw"), "doc_id", *RATIOS)
         .filter(F.col("draw") < limit)
         .orderBy("draw", "doc_id", *RATIOS)
         .limit(config.fit_rows)
         .select(*RATIOS)
         .toPandas()
     )
-    return {k: IsolationForest(rows[[*v]].to_numpy(float), config) for k, v in FAMILIES.items()} if len(rows) else {}
+    if not len(rows):
+        return None
+    low, high = (scaled(np.array([box[f"{end}_{c}"] for c in RATIOS], float)) for end in ("low", "high"))
+    return IsolationForest(scaled(rows.to_numpy(float)), config, (low, high))
 
 
-def scored(stats: DataFrame, forests: dict[str, IsolationForest]) -> DataFrame:
-    """``stats`` with a score a family; the size of the forests is fixed by their parameters."""
-    shared = stats.sparkSession.sparkContext.broadcast(forests)
+def scored(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
+    """``stats`` with the score; the size of the forest is fixed by its parameters."""
+    if forest is None:
+        return stats.withColumn("score", F.lit(0.0))
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
 
-    @F.pandas_udf(", ".join(f"{k} double" for k in FAMILIES))
-    def score(columns: pd.DataFrame) -> pd.DataFrame:
-        out = {}
-        for name, ratios in FAMILIES.items():
-            forest = shared.value.get(name)
-            out[name] = forest.score(columns[[*ratios]].to_numpy(float)) if forest else np.zeros(len(columns))
-        return pd.DataFrame(out)
+    @F.pandas_udf("double")
+    def score(columns: pd.DataFrame) -> pd.Series:
+        return pd.Series(shared.value.score(scaled(columns[[*RATIOS]].to_numpy(float))))
 
-    return stats.withColumn("scores", score(F.struct(*RATIOS)))
+    return stats.withColumn("score", score(F.struct(*RATIOS)))
 
 
-def calibrate(rows: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> dict[str, float]:
-    """The score of each family from which rows are rejected; ``labels`` has (doc_id, quality 0/1).
+def calibrate(rows: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> float:
+    """The score from which rows are rejected; ``labels`` has (doc_id, quality 0/1).
 
-    Labelled rows are counted by family and bin of the score, good and bad apart.
-    A threshold lies in the middle of the scores that part the labelled rows equally well.
+    Labelled rows are counted by bin of the score, good and bad apart.
+    The threshold lies in the middle of the scores that part the labelled rows equally well; it is above
+    every score where none parts them.
     """
     marked = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    by_family = F.inline(F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"scores.{k}").alias("score")) for k in FAMILIES]))
     binned = (
         rows.filter("NOT base_failed")
         .join(marked, "doc_id")
-        .select("quality", by_family)
-        .groupBy("family", F.floor(F.col("score") * SCORE_BINS).cast("int").alias("bin"))
+        .groupBy(F.floor(F.col("score") * SCORE_BINS).cast("int").alias("bin"))
         .agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
         .toPandas()
     )
-    thresholds = dict.fromkeys(FAMILIES, 2.0)
-    for family in FAMILIES:
-        own = binned[binned["family"] == family]
-        good, bad = np.zeros(SCORE_BINS + 2), np.zeros(SCORE_BINS + 2)
-        good[own["bin"]], bad[own["bin"]] = own["good"], own["bad"]
-        if not good.sum() or not bad.sum():
-            continue
-        # rows rejected if the threshold is the lower border of each bin
-        lost, caught = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-        allowed = lost <= config.max_good_loss / len(FAMILIES) * good.sum()
-        gain = np.where(allowed, caught / bad.sum() - lost / good.sum(), -1.0)
-        at = np.flatnonzero(gain == gain.max() if gain.max() > 0 else allowed)
-        thresholds[family] = (at[0] + at[-1] if gain.max() > 0 else 2 * at[0]) / 2 / SCORE_BINS
-    return thresholds
+    good, bad = np.zeros(SCORE_BINS + 2), np.zeros(SCORE_BINS + 2)
+    good[binned["bin"]], bad[binned["bin"]] = binned["good"], binned["bad"]
+    if not good.sum() or not bad.sum():
+        return 2.0
+    # rows rejected if the threshold is the lower border of each bin
+    lost, caught = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
+    allowed = lost <= config.max_good_loss * good.sum()
+    gain = np.where(allowed, caught / bad.sum() - lost / good.sum(), -1.0)
+    if gain.max() <= 0:
+        return 2.0
+    at = np.flatnonzero(gain == gain.max())
+    return (at[0] + at[-1]) / 2 / SCORE_BINS
 
 
 def judge(
@@ -268,15 +277,14 @@ def judge(
 ) -> DataFrame:
     """doc_id, the digest, the counts, base_failed, kept, score, ratios of every row of ``docs``.
 
-    ``score`` is the largest of the family scores over their thresholds; rows are rejected from 1 on.
+    Rows are rejected from the calibrated score on.
     The statistics are stored once; the forest, the calibration and the verdicts read them.
     """
     stats = write_scratch(text_statistics(docs, id_col, text_col), "quality")
-    rows = write_scratch(scored(stats, fit_forests(stats, config)), "scores")
-    thresholds = calibrate(rows, labels, config)
-    score = F.greatest(*[F.col(f"scores.{k}") / F.lit(v) for k, v in thresholds.items()])
-    kept = ~F.col("base_failed") & (score < 1)
-    return rows.select("doc_id", "digest", *COUNTS, "base_failed", kept.alias("kept"), score.alias("score"), *RATIOS)
+    rows = write_scratch(scored(stats, fit_forest(stats, labels, config)), "scores")
+    threshold = calibrate(rows, labels, config)
+    kept = ~F.col("base_failed") & (F.col("score") < F.lit(float(threshold)))
+    return rows.select("doc_id", "digest", *COUNTS, "base_failed", kept.alias("kept"), "score", *RATIOS)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:

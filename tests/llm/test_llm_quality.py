@@ -133,3 +133,33 @@ def test_stage_takes_columns_with_the_names_it_uses(spark):
     assert kept.columns == docs.columns
     found = kept.collect()
     assert {r["doc_id"] for r in found} == set(range(6)) and all(r[c] == c for r in found for c in names)
+
+
+def test_forest_with_a_box_sets_unseen_values_apart():
+    """Rows that all agree in a column: only splits over the box can part another value from them."""
+    rnd = np.random.default_rng(5)
+    rows = np.column_stack([np.zeros(400), rnd.normal(size=(400, len(RATIOS) - 1))])
+    odd = np.zeros((1, len(RATIOS)))
+    odd[0, 0] = 3.0
+    box = np.minimum(rows.min(0), odd[0]), np.maximum(rows.max(0), odd[0])
+    config = QualityConfig()
+    plain, boxed = IsolationForest(rows, config), IsolationForest(rows, config, box)
+    assert boxed.score(odd)[0] > np.quantile(boxed.score(rows), 0.999)
+    assert plain.score(odd)[0] < np.quantile(plain.score(rows), 0.5)
+
+
+def test_labels_that_nothing_parts_reject_nothing(spark):
+    rows, _, _ = labelled(spark)
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    found = judge(documents(spark, rows), labels, QualityConfig(max_good_loss=0.0)).collect()
+    gone = [r["doc_id"] for r in found if not r["kept"] and not r["base_failed"]]
+    assert not [i for i in gone if i % 2]  # none of the good ones
+
+
+def test_held_out_labels_are_found(spark):
+    """Half of the labels set forest and threshold; the documents of the other half are judged as well."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    found = judge(docs, labels.filter("doc_id % 2 = 0")).filter("NOT base_failed").join(labels, "doc_id").filter("doc_id % 2 = 1")
+    rates = {r["quality"]: r["kept"] for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert rates[0] <= 0.05 and rates[1] >= 0.97
