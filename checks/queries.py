@@ -664,7 +664,8 @@ def weighted_vector_mean(spark, sf_dir):
 
 def _stream(spark, sf_dir):
     schema = D.documents(spark, sf_dir).schema
-    return streams.read_stream(spark, sf_dir, schema, "documents.parquet")
+    # as a pattern, the path may name one file or a folder of files
+    return streams.read_stream(spark, f"{sf_dir}/documents.parque[t]", schema)
 
 
 @query
