@@ -1,4 +1,4 @@
-"""Exact duplicates in a stream whose memory ends: state per hash, timers that drop it, and a start from a batch table."""
+"""Exact duplicates in a stream whose memory ends: hashes in state with a time to live, and a start from a batch table."""
 
 from __future__ import annotations
 
@@ -12,54 +12,39 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from corpuskiln.functions.text import content_hash
 from corpuskiln.streaming.streams import use_disk_state
 
+# hashes share a state group, so Python is called once a group and batch, not once a hash
+GROUPS = 4096
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 class FirstOfHash(StatefulProcessor):
     """Lets the first row of a hash pass, and remembers the hash for ``expiry_ms`` from then on (for good if None).
 
-    A copy does not prolong the memory. The end is stored as well as set as a timer: timers fire after the rows of a
-    batch, so a copy that comes in the very batch in which its hash ends is judged by the stored time.
+    A copy does not prolong the memory. The time is that of the batch. Each hash of a group is an entry of its own in
+    the store, looked up by its key; a group is never read whole.
     """
 
     def __init__(self, columns: Sequence[str], expiry_ms: int | None):
         self.columns, self.expiry_ms = list(columns), expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.ends = handle.getValueState("ends", "ends_ms bigint")
+        self.seen = handle.getMapState("seen", "hash string", "known boolean", self.expiry_ms)
 
-    def _remember(self, timers) -> None:
-        if self.expiry_ms is None:
-            self.ends.update((-1,))
-            return
-        end = timers.getCurrentProcessingTimeInMs() + self.expiry_ms
-        self.ends.update((end,))
-        self.handle.registerTimer(end)
+    def _is_new(self, digest: str) -> bool:
+        if self.seen.containsKey((digest,)):
+            return False
+        self.seen.updateValue((digest,), (True,))
+        return True
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        if not self.ends.exists():
-            self._remember(timerValues)
+        for digest in initialState["hash"]:
+            self.seen.updateValue((digest,), (True,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = next((batch.iloc[:1] for batch in rows if len(batch)), None)
-        for _ in rows:  # the other copies of this batch
-            pass
-        if first is None:
-            return
-        if self.ends.exists():
-            end = self.ends.get()[0]
-            if end < 0 or timerValues.getCurrentProcessingTimeInMs() < end:
-                return
-            self.handle.deleteTimer(end)
-        self._remember(timerValues)
-        yield first[self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # a hash that came back has a later end of its own
-        if self.ends.exists() and self.ends.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.ends.clear()
-        return iter(())
+        for batch in rows:
+            single = batch.drop_duplicates("hash")
+            yield single.loc[[self._is_new(digest) for digest in single["hash"]], self.columns]
 
 
 def unseen_rows(
@@ -68,13 +53,15 @@ def unseen_rows(
     keep: Sequence[str],
     known: DataFrame | None = None,
     expiry_ms: int | None = None,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """(keep..., hash) of the first row of every content hash that is not known.
 
     ``known`` has a column ``hash``, repeats allowed; it becomes the state of the first batch and is not read again by a
     query that is restarted from its checkpoint. Its hashes end like all others, counted from that batch.
-    State: one entry of 8 bytes and at most one timer a hash, in RocksDB; with an expiry no more than the
+    State: one entry a hash, in RocksDB, which Spark drops after its time; with an expiry no more than the
     hashes that arrive in that time, and those of ``known``. Null texts share the hash of an empty one.
+    The hashes are dealt evenly over ``groups``, which bounds the tasks at work; it is fixed for a checkpoint.
     Texts never enter the state shuffle. Copies of one Arrow batch are dropped before it, so a hash of a third of all
     rows sends one row a batch of its scan.
     """
@@ -84,9 +71,11 @@ def unseen_rows(
         for batch in batches:
             yield batch.drop_duplicates("hash")
 
-    single = hashed.mapInPandas(first_in_batch, hashed.schema)
-    start = None if known is None else known.select("hash").filter("hash IS NOT NULL").distinct().groupBy("hash")
-    return single.groupBy("hash").transformWithStateInPandas(
+    def grouped(df):
+        return df.withColumn("_group", F.pmod(F.xxhash64("hash"), F.lit(groups)).cast("int")).groupBy("_group")
+
+    start = None if known is None else grouped(known.select("hash").filter("hash IS NOT NULL").distinct())
+    return grouped(hashed.mapInPandas(first_in_batch, hashed.schema)).transformWithStateInPandas(
         FirstOfHash(hashed.columns, expiry_ms),
         hashed.schema,
         "Append",
@@ -106,8 +95,8 @@ def stream_exact_dedup_known(
 ) -> StreamingQuery:
     """Append the rows of ``unseen_rows`` to ``out``; all that has arrived is handled, then the query ends.
 
-    Timers alone would ask for one more batch for ever, so this query runs batches for rows only; ended
-    hashes leave the state with the next of them.
+    State that ends would ask for one more batch for ever, so this query runs batches for rows only; ended
+    hashes leave the state with the next of them. A batch stores its changes of the state, not the state.
     """
     spark = rows.sparkSession
     use_disk_state(spark)
@@ -118,9 +107,12 @@ def stream_exact_dedup_known(
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
     )
-    before = spark.conf.get(EMPTY_BATCHES)
-    spark.conf.set(EMPTY_BATCHES, "false")
+    settings = {EMPTY_BATCHES: "false", CHANGELOG: "true"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:  # a query keeps the settings of its start
         return writer.start()
     finally:
-        spark.conf.set(EMPTY_BATCHES, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
