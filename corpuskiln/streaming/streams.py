@@ -15,6 +15,7 @@ from corpuskiln.operators.ngrams import ngram_update
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 COMPACT_EVERY = 20
 MODEL = "context string, word string, n bigint, first_step int, last_step int"
 
@@ -64,9 +65,14 @@ def first_of_stream(rows: DataFrame, text_col: str, keep: Sequence[str]) -> Data
 
 
 def use_disk_state(spark: SparkSession) -> None:
-    """Keep stream state in RocksDB; the default provider holds all of it in executor memory."""
+    """Keep stream state in RocksDB; the default provider holds all of it in executor memory.
+
+    A batch stores its changes of the state, unless the session says otherwise, not the files of the whole state.
+    """
     if not spark.conf.get(STATE_PROVIDER, "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    if spark.conf.get(CHANGELOG, None) is None:
+        spark.conf.set(CHANGELOG, "true")
 
 
 def stream_exact_dedup(
