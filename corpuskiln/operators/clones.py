@@ -292,6 +292,14 @@ def clone_report(clones: DataFrame, blocks_per_set: int = BLOCKS_PER_SET) -> Dat
     )
 
 
+def report_places(report: DataFrame) -> DataFrame:
+    """(fingerprint, line_count, source_file, start_line, end_line): every place of a report once.
+
+    All parts of a clone list its first place, so a place may stand in several sets.
+    """
+    return report.select("fingerprint", "line_count", F.inline("block")).distinct()
+
+
 def clone_report_reduce(report: DataFrame, order_col: str) -> DataFrame:
     """(fingerprint, line_count): the first set of each fingerprint with blocks of two files.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpuskiln.operators import clones
 from corpuskiln.plans.memorization import memorization_report
+from corpuskiln.scratch import scratch_path
+from corpuskiln.sources import readers, writers
 
 
 def files(seed, n_files=14, shared=3):
@@ -132,6 +134,17 @@ def test_report_parts_keep_every_place(spark):
     assert clones.cross_file_sets(clones.clone_sets(found)).count() == 1
 
 
+def test_stored_report_of_many_parts_lists_a_place_once(spark):
+    text = "\n".join(f"row {i}" for i in range(6))
+    rows = [(i, text) for i in range(30)] + [(99, "\n".join(["one " + str(i) for i in range(6)] * 2))]
+    found = clones.line_clones(spark.createDataFrame(rows, "doc_id long, content string")).cache()
+    path = scratch_path(spark, "report")
+    writers.sink_clone_report(clones.clone_report(found, blocks_per_set=4), path)
+    got = clones.report_places(readers.scan_clone_report(spark, path)).collect()
+    wanted = found.select("fingerprint", "line_count", F.col("file_id").cast("string"), "start_line", "end_line").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted))
+
+
 def test_fingerprint_does_not_change_with_other_files(spark):
     """The md5 of the clone's own lines, whatever else repeats parts of it."""
     block = [f"shared {k}" for k in range(20)]
