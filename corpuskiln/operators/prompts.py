@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import ast
+import re
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuskiln.config import GenerationConfig
 from corpuskiln.functions import text as T
+from corpuskiln.functions.batches import slices
 from corpuskiln.operators.ordering import CHUNK_IDS, id_chunk, number_rows, running_total
 from corpuskiln.scratch import write_scratch
 
@@ -17,6 +22,9 @@ from corpuskiln.scratch import write_scratch
 TokenCount = Callable[[Column], Column]
 
 FUNCTION_TYPE = "array<struct<position:int,function_name:string,signature_with_docstring:string>>"
+FUNCTIONS = pa.list_(
+    pa.struct([("position", pa.int32()), ("function_name", pa.string()), ("signature_with_docstring", pa.string())])
+)
 
 
 def functions_of(source: Column) -> Column:
@@ -27,42 +35,38 @@ def functions_of(source: Column) -> Column:
     docstring. A source that does not parse has no functions.
     """
 
-    @F.pandas_udf(FUNCTION_TYPE)
-    def parse(sources):
-        import ast
-        import re
-        import warnings
-
-        import pandas as pd
-
-        def describe(source):
-            if source is None:
-                return []
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    tree = ast.parse(source)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                return []
-            rows = re.split("\r\n|\r|\n", source)
-            found = []
-            for node in ast.walk(tree):
-                if not isinstance(node, ast.FunctionDef):
-                    continue
-                docstring = ast.get_docstring(node, clean=False)
-                text = None
-                if docstring is not None and docstring.strip():
-                    text = "\n".join(rows[node.lineno - 1 : node.body[0].value.end_lineno])
-                found.append(
-                    {
-                        "position": len(found) + 1,
-                        "function_name": node.name,
-                        "signature_with_docstring": text,
-                    }
-                )
-            return found
-
-        return pd.Series([describe(source) for source in sources])
+    def describe(source):
+        if source is None:
+            return []
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return []
+        rows = re.split("\r\n|\r|\n", source)
+        found = []
+        for node in ast.walk(tree):
+            if not isinstance(node, ast.FunctionDef):
+                continue
+            docstring = ast.get_docstring(node, clean=False)
+            text = None
+            if docstring is not None and docstring.strip():
+                text = "\n".join(rows[node.lineno - 1 : node.body[0].value.end_lineno])
+            found.append(
+                {
+                    "position": len(found) + 1,
+                    "function_name": node.name,
+                    "signature_with_docstring": text,
+                }
+            )
+        return found
+
+    @F.arrow_udf(FUNCTION_TYPE)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for sources in batches:
+            for rows in slices(sources):
+                yield pa.array([describe(source) for source in rows.to_pylist()], FUNCTIONS)
 
     # keeps later filters and counts from parsing every file again
     return parse.asNondeterministic()(source)
