@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.config import NearDupConfig
 from corpuskiln.functions import text as T
+from corpuskiln.functions.batches import slices
 from corpuskiln.operators.skew import join_hot_keys
 from corpuskiln.scratch import write_scratch
 
@@ -49,56 +53,44 @@ def band_layout(threshold: float, num_perm: int) -> tuple[int, int]:
 def signature_of(text: Column, num_perm: int, min_tokens: int) -> Column:
     """Signature of the words of a text, as ``num_perm`` BIGINT slots; NULL below ``min_tokens`` words.
 
-    Runs on Arrow batches: words are cut by one vectorized call, each distinct
-    word of a batch is hashed once, and a slot is a segmented minimum over the
+    Runs on slices of Arrow batches: words are cut by one vectorized call, each distinct
+    word of a slice is hashed once, and a slot is a segmented minimum over the
     distinct words of all rows.
     """
     multipliers, offsets = permutation_coefficients(num_perm)
     word_break = T.WORD_BREAK
 
+    def sign_rows(rows):
+        pieces = pc.split_pattern_regex(rows, word_break)
+        words = pc.list_flatten(pieces)
+        owners = pc.list_parent_indices(pieces)
+        filled = pc.greater(pc.binary_length(words), 0)
+        owners = pc.filter(owners, filled).to_numpy(zero_copy_only=False)
+        coded = pc.filter(words, filled).dictionary_encode()
+        hashed = np.array(
+            [int(hashlib.md5(word.encode()).hexdigest()[:7], 16) for word in coded.dictionary.to_pylist()],
+            dtype=np.int64,
+        )
+        counts = np.bincount(owners, minlength=len(rows))
+        signed = counts >= min_tokens
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        width = max(len(hashed), 1)
+        distinct = np.unique(owners[signed[owners]] * width + codes[signed[owners]])
+        where, owner = distinct % width, distinct // width
+        slots = np.zeros((int(signed.sum()), len(multipliers)), dtype=np.int64)
+        if len(distinct):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            for i, (a, b) in enumerate(zip(multipliers, offsets)):
+                permuted = ((hashed * a + b) % 2147483647).astype(np.int32)
+                slots[:, i] = np.minimum.reduceat(permuted[where], starts)
+        bounds = np.concatenate(([0], np.cumsum(signed * len(multipliers)))).astype(np.int32)
+        return pa.ListArray.from_arrays(bounds, slots.ravel(), mask=pa.array(~signed))
+
     @F.arrow_udf("array<bigint>")
-    def sign(texts):
-        import hashlib
-
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        def sign_rows(rows):
-            pieces = pc.split_pattern_regex(rows, word_break)
-            words = pc.list_flatten(pieces)
-            owners = pc.list_parent_indices(pieces)
-            filled = pc.greater(pc.binary_length(words), 0)
-            owners = pc.filter(owners, filled).to_numpy(zero_copy_only=False)
-            coded = pc.filter(words, filled).dictionary_encode()
-            hashed = np.array(
-                [int(hashlib.md5(word.encode()).hexdigest()[:7], 16) for word in coded.dictionary.to_pylist()],
-                dtype=np.int64,
-            )
-            counts = np.bincount(owners, minlength=len(rows))
-            signed = counts >= min_tokens
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            width = max(len(hashed), 1)
-            distinct = np.unique(owners[signed[owners]] * width + codes[signed[owners]])
-            where, owner = distinct % width, distinct // width
-            slots = np.zeros((int(signed.sum()), len(multipliers)), dtype=np.int64)
-            if len(distinct):
-                starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                for i, (a, b) in enumerate(zip(multipliers, offsets)):
-                    permuted = ((hashed * a + b) % 2147483647).astype(np.int32)
-                    slots[:, i] = np.minimum.reduceat(permuted[where], starts)
-            bounds = np.concatenate(([0], np.cumsum(signed * len(multipliers)))).astype(np.int32)
-            return pa.ListArray.from_arrays(bounds, slots.ravel(), mask=pa.array(~signed))
-
-        # files can be long: a step takes about 4 million characters
-        steps, start, taken = [], 0, 0
-        for at, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-            taken += size
-            if taken >= 4_000_000:
-                steps.append(sign_rows(texts.slice(start, at + 1 - start)))
-                start, taken = at + 1, 0
-        steps.append(sign_rows(texts.slice(start)))
-        return pa.concat_arrays(steps)
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for rows in slices(texts):
+                yield sign_rows(rows)
 
     # a filter on the signature must not be pushed below it: it would sign every text twice
     return sign.asNondeterministic()(text)
