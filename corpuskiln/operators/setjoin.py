@@ -3,7 +3,8 @@
 Copies become one set first. Tokens stand in one global order, rare ones first. Two sets that
 are similar enough share a token among the first few of both, so only those prefixes are indexed and
 joined. A common token at known positions bounds the overlap that is still possible, and the
-sizes bound the similarity; pairs that fail either never leave the join. What survives
+sizes bound the similarity; sets only meet those of their class of sizes and the next, and 256 parity bits of
+either bound their difference; pairs that fail any of these never leave the join. What survives
 is compared in full. No signature is drawn, so no pair is found or lost by chance.
 
 A token that many prefixes hold is spread over parts of about ``hot_rows`` sets. Similar sets are the result, so a group
@@ -12,6 +13,7 @@ of n *different* sets that are all similar has all its pairs in it; use clusters
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,9 @@ from corpuskiln.operators.skew import join_hot_keys
 from corpuskiln.scratch import write_scratch
 
 HOT_SETS = 50_000
+# 64-bit words of parities that an entry of the index carries
+PARITY_WORDS = 4
+BITS = [f"bits{word}" for word in range(PARITY_WORDS)]
 # rounding of threshold times size must not raise a bound
 SLACK = 1e-9
 
@@ -52,27 +57,72 @@ def ordered_sets(sets: DataFrame, hot_rows: int = HOT_SETS) -> DataFrame:
     return gathered.select("id", F.col("_ranked.token").alias("tokens"))
 
 
+def _parities() -> list[Column]:
+    """256 bits: each says whether an odd number of the set's tokens hash to it. Sets that differ in k tokens differ in at most k bits."""
+    return [
+        F.expr(
+            f"aggregate(filter(_hashes, h -> (h & {PARITY_WORDS - 1}) = {word}), 0L,"
+            " (bits, h) -> bits ^ shiftleft(1L, cast((h >> 8) & 63 as int)))"
+        ).alias(f"bits{word}")
+        for word in range(PARITY_WORDS)
+    ]
+
+
 def prefixes(ordered: DataFrame, threshold: float) -> DataFrame:
-    """(token, id, size, pos): the index. A set of s tokens has s - ceil(threshold s) + 1 entries."""
+    """(token, id, size, pos, bits): the index. A set of s tokens has s - ceil(threshold s) + 1 entries."""
     size = F.size("tokens")
+    hashed = ordered.withColumn("_hashes", F.transform("tokens", lambda token: F.xxhash64(token)))
     shown = F.slice("tokens", F.lit(1), size - _at_least(size * F.lit(threshold)) + 1)
-    return ordered.select("id", size.alias("size"), F.posexplode(shown).alias("pos", "token"))
+    sized = hashed.select("id", "tokens", size.alias("size"), *_parities())
+    return sized.select("id", "size", *BITS, F.posexplode(shown).alias("pos", "token"))
+
+
+def size_class(size: Column, threshold: float) -> Column:
+    """Similar sets are of the same class, or the larger one is of the next."""
+    # a little wider than the ratio of sizes allows, so rounding puts no pair two classes apart
+    width = max(-math.log(threshold), 1e-3) * (1 + 1e-9)
+    return F.floor(F.ln(size.cast("double")) / F.lit(width)).cast("int")
 
 
 def candidates(index: DataFrame, threshold: float, hot_rows: int = HOT_SETS) -> DataFrame:
-    """(small, large): pairs that pass the length and the position filter at a common token, each pair once."""
+    """(small, large): pairs that pass the length, the position and the parity filter at a common token, each pair once."""
     counts = write_scratch(index.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "prefix-counts")
     # a token in one prefix only meets nothing
-    shared = write_scratch(join_hot_keys(index, counts.select("token"), ["token"], "id", hot_rows, counts), "prefix-index")
-    other = shared.select("token", F.col("id").alias("large"), F.col("size").alias("size_large"), F.col("pos").alias("pos_large"))
-    met = join_hot_keys(shared.withColumnRenamed("id", "small"), other, ["token"], "small", hot_rows, counts)
+    shared = join_hot_keys(index, counts.select("token"), ["token"], "id", hot_rows, counts)
+    shared = write_scratch(shared.withColumn("class", size_class(F.col("size"), threshold)), "prefix-index")
+    other = shared.select(
+        "token",
+        F.explode(F.array("class", F.col("class") - 1)).alias("class"),
+        F.col("id").alias("large"),
+        F.col("size").alias("size_large"),
+        F.col("pos").alias("pos_large"),
+        *[F.col(bits).alias(f"{bits}_large") for bits in BITS],
+    )
+    per_class = shared.groupBy("token", "class").agg(F.count("*").alias("n"))
+    met = join_hot_keys(shared.withColumnRenamed("id", "small"), other, ["token", "class"], "small", hot_rows, per_class)
     in_order = (F.col("size") < F.col("size_large")) | ((F.col("size") == F.col("size_large")) & (F.col("small") < F.col("large")))
     needed = _at_least((F.col("size") + F.col("size_large")) * F.lit(threshold / (1 + threshold)))
     left = 1 + F.least(F.col("size") - F.col("pos") - 1, F.col("size_large") - F.col("pos_large") - 1)
+    apart = sum((F.bit_count(F.col(bits).bitwiseXOR(F.col(f"{bits}_large"))) for bits in BITS), F.lit(0))
     possible = in_order & (F.col("size") >= _at_least(F.col("size_large") * F.lit(threshold))) & (left >= needed)
+    possible = possible & (apart <= F.col("size") + F.col("size_large") - 2 * needed)
     return met.filter(possible).select("small", "large").distinct()
 
 
+def _keyed_sets(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
+    """(id, tokens, _set): sorted tokens and the digest that equal sets share."""
+    tokens = F.array_sort(F.coalesce(F.col(tokens_col), F.array().cast("array<string>")))
+    return df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).withColumn("_set", F.sha2(F.to_json("tokens"), 256))
+
+
+def set_members(df: DataFrame, id_col: str, tokens_col: str, hot_rows: int = HOT_SETS) -> DataFrame:
+    """(id, representative) of all rows: equal sets share the smallest id. No set is compared, and each is made once."""
+    keyed = write_scratch(_keyed_sets(df, id_col, tokens_col).select(F.unhex("_set").alias("_set"), "id"), "set-keys")
+    per_set = keyed.groupBy("_set").agg(F.min("id").alias("representative"), F.count("*").alias("n"))
+    counts = per_set.select("_set", "n")
+    return join_hot_keys(keyed, per_set.drop("n"), ["_set"], "id", hot_rows, counts).select("id", "representative")
+
+
 def similar_sets(
     df: DataFrame, id_col: str, tokens_col: str, threshold: float = 0.85, hot_rows: int = HOT_SETS
 ) -> SetPairs:
@@ -80,14 +130,11 @@ def similar_sets(
 
     Equal sets, empty ones too, share the smallest id as representative; an empty or null set is in no pair.
     """
-    tokens = F.array_sort(F.coalesce(F.col(tokens_col), F.array().cast("array<string>")))
-    rows = df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).withColumn("_set", F.sha2(F.to_json("tokens"), 256))
+    members = set_members(df, id_col, tokens_col, hot_rows)
+    rows = _keyed_sets(df, id_col, tokens_col)
     # the token list travels once a different set and task, not once a copy
-    different = rows.groupBy("_set").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    different = rows.groupBy("_set").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
     different = write_scratch(different, "different-sets")
-    members = join_hot_keys(
-        rows.select("_set", "id"), different.select("_set", F.col("id").alias("representative")), ["_set"], "id", hot_rows, different.select("_set", "n")
-    ).select("id", "representative")
     ordered = write_scratch(ordered_sets(different.select("id", "tokens"), hot_rows), "ordered-sets")
     found = write_scratch(candidates(prefixes(ordered, threshold), threshold, hot_rows), "candidates")
     left = ordered.select(F.col("id").alias("small"), F.col("tokens").alias("_left"))

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from corpuskiln.operators.setjoin import candidates, ordered_sets, prefixes, similar_sets
+from corpuskiln.operators.setjoin import candidates, ordered_sets, prefixes, set_members, similar_sets
 from corpuskiln.scratch import write_scratch
 
 
@@ -76,6 +76,21 @@ def test_few_pairs_are_compared(spark):
     assert candidates(index, 0.85).count() == 0
 
 
+def test_sets_that_share_a_rare_token_only_are_not_compared(spark):
+    """They pass the prefix, the length and the position filter; their parities tell them apart."""
+    rows = [{"rare"} | {f"own{i}_{k}" for k in range(30)} for i in range(60)]
+    common = [(i, ["rare", *sorted(t - {"rare"})]) for i, t in enumerate(rows)]
+    index = prefixes(spark.createDataFrame(common, "id long, tokens array<string>"), 0.85)
+    assert candidates(index, 0.85).count() == 0
+
+
+def test_members_alone_compare_no_sets(spark, stored_plans):
+    rows = corpus(2)
+    members = set_members(table(spark, rows), "doc_id", "words")
+    assert len(stored_plans) == 1
+    assert {r["id"]: r["representative"] for r in members.collect()} == brute(rows, 0.85)[1]
+
+
 def test_empty_sets_and_no_rows(spark):
     found = similar_sets(table(spark, [set(), set(), {"a"}]), "doc_id", "words")
     assert found.pairs.count() == 0
