@@ -105,12 +105,9 @@ def ngram_incremental(df: DataFrame, text_col: str, org_col: str, order: Sequenc
     for step, org in enumerate(order, start=1):
         steps.setdefault(org, []).append(step)
     of_org = F.create_map(*[F.lit(x) for org, own in steps.items() for x in (org, own)])
-    counts = (
-        ngram_rows(df.filter(F.col(org_col).isin(*steps)), text_col, n, [org_col])
-        .groupBy(org_col, "context", "word")
-        .agg(F.count("*").alias("n"))
-    )
-    stepped = counts.select("context", "word", "n", F.explode(of_org[F.col(org_col)]).alias("_step"))
+    rows = ngram_rows(df.filter(F.col(org_col).isin(*steps)), text_col, n, [org_col])
+    # one aggregation: a task holds one table of n-grams, not one for the organisations and one for all
+    stepped = rows.select("context", "word", F.explode(of_org[F.col(org_col)]).alias("_step"))
     return stepped.groupBy("context", "word").agg(
-        F.sum("n").alias("n"), F.min("_step").alias("first_step"), F.max("_step").alias("last_step")
+        F.count("*").alias("n"), F.min("_step").alias("first_step"), F.max("_step").alias("last_step")
     )

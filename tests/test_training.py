@@ -140,3 +140,9 @@ def test_streamed_counts_equal_batch(spark, arriving):
     streams.stream_ngram_train(rows, "content", out, state, compact_every=2).awaitTermination()
     twice = {(r.context, r.word): r.n for r in streams.latest_model(spark, out).collect()}
     assert twice == {key: 2 * n for key, n in counts.items()}
+
+
+def test_incremental_counts_group_once(corpus):
+    state = ngrams.ngram_incremental(corpus, "content", "org", ["a", "b", "a"])
+    plan = state._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
