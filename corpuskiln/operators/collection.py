@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +53,17 @@ def collect_sources(
 
 
 def owner_map(spark: SparkSession, owners: dict[str, tuple[str, ...]] = ORG_OWNERS) -> DataFrame:
-    """(owner, org) rows; an owner listed twice would repeat rows, so that is an error."""
+    """(owner, org) rows; an owner listed twice would repeat rows, so that is an error.
+
+    An Arrow table is a relation of known size, so a join with it moves no text; a list of rows has none.
+    """
     rows = [(owner, org) for org, names in owners.items() for owner in names]
     if len({owner for owner, _ in rows}) != len(rows):
         raise ValueError("an owner may belong to one organisation only")
-    return spark.createDataFrame(rows, "owner string, org string")
+    names, orgs = zip(*rows) if rows else ((), ())
+    return spark.createDataFrame(
+        pa.table({"owner": pa.array(names, pa.string()), "org": pa.array(orgs, pa.string())})
+    )
 
 
 def org_route(

@@ -10,6 +10,23 @@ from pyspark.sql import functions as F
 from corpuskiln.functions import text as T
 from corpuskiln.scratch import write_scratch
 
+# bytes of text whose n-grams one task counts before the shuffle
+SLICE_BYTES = 16 * 1024 * 1024
+
+
+def sliced(df: DataFrame, text_col: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The same rows, dealt into parts of about ``slice_bytes`` of text, if they have more.
+
+    Before the shuffle a task holds a table of all n-grams of its part, several times the size of the text, so
+    the part must not grow with the input. All columns deal the rows (but maps, which have no hash), so copies of a
+    text are spread by their ids.
+    """
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    if size <= slice_bytes:
+        return df
+    parts = max(-(-size // slice_bytes), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, *[name for name, kind in df.dtypes if "map<" not in kind])
+
 
 def ngram_rows(df: DataFrame, text_col: str, n: int, keep: Sequence[str] = ()) -> DataFrame:
     """One row per n-gram occurrence: its context words and its last word.
@@ -30,7 +47,7 @@ def ngram_rows(df: DataFrame, text_col: str, n: int, keep: Sequence[str] = ()) -
 
 def ngram_train(df: DataFrame, text_col: str, n: int = 2) -> DataFrame:
     """(context, word, n): counts over all rows."""
-    return ngram_rows(df, text_col, n).groupBy("context", "word").agg(F.count("*").alias("n"))
+    return ngram_rows(sliced(df, text_col), text_col, n).groupBy("context", "word").agg(F.count("*").alias("n"))
 
 
 def ngram_perplexity(model: DataFrame, valid: DataFrame, text_col: str, n: int = 2) -> DataFrame:
@@ -43,7 +60,7 @@ def ngram_perplexity(model: DataFrame, valid: DataFrame, text_col: str, n: int =
     part reads them.
     """
     model = write_scratch(model, "model")
-    counted = ngram_rows(valid, text_col, n).groupBy("context", "word").agg(F.count("*").alias("_seen"))
+    counted = ngram_rows(sliced(valid, text_col), text_col, n).groupBy("context", "word").agg(F.count("*").alias("_seen"))
     seen = write_scratch(counted, "seen")
     vocabulary = model.select("word").distinct().agg((F.count("*") + 1).alias("v")).scalar()
     pairs = (
@@ -68,7 +85,8 @@ def ngram_federated(df: DataFrame, text_col: str, org_col: str, n: int = 2) -> D
     An organisation without the n-gram adds a zero. The totals, one row per
     organisation, are stored, so the join knows their size.
     """
-    counts = ngram_rows(df, text_col, n, [org_col]).groupBy(org_col, "context", "word").agg(F.count("*").alias("n"))
+    rows = ngram_rows(sliced(df, text_col), text_col, n, [org_col])
+    counts = rows.groupBy(org_col, "context", "word").agg(F.count("*").alias("n"))
     tokens = F.sum(F.greatest(F.size(T.word_tokens(F.col(text_col))) - n + 1, F.lit(0)))
     per_org = write_scratch(
         df.groupBy(org_col).agg(F.count("*").alias("_examples"), tokens.alias("_grams")), "examples"
@@ -105,7 +123,7 @@ def ngram_incremental(df: DataFrame, text_col: str, org_col: str, order: Sequenc
     for step, org in enumerate(order, start=1):
         steps.setdefault(org, []).append(step)
     of_org = F.create_map(*[F.lit(x) for org, own in steps.items() for x in (org, own)])
-    rows = ngram_rows(df.filter(F.col(org_col).isin(*steps)), text_col, n, [org_col])
+    rows = ngram_rows(sliced(df.filter(F.col(org_col).isin(*steps)), text_col), text_col, n, [org_col])
     # one aggregation: a task holds one table of n-grams, not one for the organisations and one for all
     stepped = rows.select("context", "word", F.explode(of_org[F.col(org_col)]).alias("_step"))
     return stepped.groupBy("context", "word").agg(

@@ -146,3 +146,23 @@ def test_incremental_counts_group_once(corpus):
     state = ngrams.ngram_incremental(corpus, "content", "org", ["a", "b", "a"])
     plan = state._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_ngrams_are_counted_in_slices_of_text(spark, corpus, monkeypatch):
+    copies = spark.range(64).select("id", F.lit("a b c d e").alias("content")).coalesce(1)
+    dealt = ngrams.sliced(copies, "content", 16)
+    assert dealt.rdd.getNumPartitions() == 36 and sorted(dealt.collect()) == sorted(copies.collect())
+    assert sum(map(bool, dealt.rdd.glom().map(len).collect())) > 10
+    assert ngrams.sliced(copies, "content").rdd.getNumPartitions() == 1
+    assert ngrams.sliced(copies.filter("id < 0"), "content", 16).isEmpty()
+    whole = as_dict(ngrams.ngram_federated(corpus, "content", "org"))
+    monkeypatch.setattr(ngrams.sliced, "__defaults__", (16,))
+    assert as_dict(ngrams.ngram_train(corpus, "content")) == dict(grams(ROWS, 2))
+    assert as_dict(ngrams.ngram_federated(corpus, "content", "org")) == pytest.approx(whole)
+
+
+def test_routing_by_a_list_moves_no_text(corpus):
+    rows = corpus.withColumn("repo_name", F.concat("org", F.lit("/x")))
+    plan = org_route(rows, {"first": ("a", "b"), "second": ("c",)})._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert org_route(rows, {}).isEmpty()
