@@ -1,10 +1,12 @@
 """Near duplicates against plain sequential code, also with tiny skew limits."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +212,25 @@ def test_rounds_grow_slowly_with_the_members_of_a_cluster(spark, stored_plans):
     assert {r.extreme_id for r in found} == set(range(600))
     rounds = sum("extreme_id" in p and "_extremes" in p for p in stored_plans)
     assert rounds <= 6
+
+
+def test_hash_functions_and_signatures_of_long_texts():
+    hashed = np.array([0, 1, 2**28 - 1, 5, 7])
+    a, b = np.array([1, 2**28, 2**28, 2**31 - 2]), np.array([0, 2**28 - 1, 2**28 - 1, 1])
+    assert (minhash._permuted(hashed, a, b) == (hashed[:, None] * a + b) % (2**31 - 1)).all()
+    # a multiple of the prime is 0, not the prime
+    assert minhash._permuted(np.array([1]), np.array([2**31 - 3]), np.array([2])).tolist() == [[0]]
+
+
+def test_signature_takes_the_least_of_all_blocks_of_words(spark):
+    words = [f"w{i}" for i in range(2 * minhash.BLOCK + 7)]
+    rows = [(0, " ".join(words)), (1, "w1 w1"), (2, None), (3, "-"), (4, " ".join(words[::-1] + words[:9]))]
+    config = NearDupConfig(num_perm=minhash.LANES + 3, min_tokens=2)
+    got = {r.doc_id: r.signature for r in minhash.minhash_signature(spark.createDataFrame(rows, "doc_id long, content string"), config=config).collect()}
+    digests = {w: int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in words}
+    a, b = minhash.permutation_coefficients(config.num_perm)
+
+    def signed(some):
+        return [min((digests[w] * x + y) % (2**31 - 1) for w in some) for x, y in zip(a, b)]
+
+    assert got == {0: signed(words), 1: signed(["w1"]), 4: signed(words)}
