@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpuskiln import config
 from corpuskiln.operators.collection import union_corpora
@@ -15,17 +16,23 @@ BATCH_SIZE = 2
 
 
 def shuffled_sequences(
-    corpora: list[DataFrame], id_col: str, text_col: str, seed: int, packing: config.PackingConfig
+    corpora: list[DataFrame],
+    id_col: str,
+    text_col: str,
+    seed: int,
+    packing: config.PackingConfig,
+    batch_size: int | None = None,
+    order: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(seq_id, tokens): the rows of all corpora in a seeded order, packed in that order. Ids are unique over all corpora.
 
-    Only ids are shuffled for the order; packing joins the texts to their positions. Both are stored, since
+    ``batch_size`` and ``order`` are those of ``pack_sequences``. Only ids are shuffled for the order; packing joins the texts to their positions. Both are stored, since
     packing reads them twice.
     """
     rows = union_corpora(*[c.select(id_col, text_col) for c in corpora])
-    order = write_scratch(seeded_shuffle(rows.select(id_col), id_col, seed), "order")
-    placed = write_scratch(rows.join(order, id_col).select("position", text_col), "placed")
-    return pack_sequences(placed, text_col, "position", packing)
+    positions = write_scratch(seeded_shuffle(rows.select(id_col), id_col, seed), "order")
+    placed = write_scratch(rows.join(positions, id_col).select("position", text_col), "placed")
+    return pack_sequences(placed, text_col, "position", packing, batch_size=batch_size, order=order)
 
 
 def training_batches(
@@ -38,10 +45,12 @@ def training_batches(
     batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """(batch_id, sequences): union, seeded shuffle, packing, buffer shuffle of the sequences, batches."""
-    sequences = write_scratch(shuffled_sequences(corpora, id_col, text_col, seed, packing), "sequences")
-    moved = buffer_shuffle(sequences.select("seq_id"), "seq_id", "seq_id", seed, buffer)
-    ordered = sequences.join(moved, "seq_id").select(F.col("shuffled_position").alias("seq_id"), "tokens")
-    return sequence_batches(ordered, batch_size)
+
+    def moved(ids: DataFrame) -> DataFrame:
+        return buffer_shuffle(ids, "seq_id", "seq_id", seed, buffer)
+
+    sequences = shuffled_sequences(corpora, id_col, text_col, seed, packing, batch_size, moved)
+    return sequence_batches(sequences, batch_size)
 
 
 def evaluation_batches(
@@ -53,4 +62,4 @@ def evaluation_batches(
     batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """(batch_id, sequences): union, seeded shuffle, packing, batches in order."""
-    return sequence_batches(shuffled_sequences(corpora, id_col, text_col, seed, packing), batch_size)
+    return sequence_batches(shuffled_sequences(corpora, id_col, text_col, seed, packing, batch_size), batch_size)

@@ -108,6 +108,35 @@ def test_pack_text_and_batches(spark):
     assert [[s.tokens for s in b.sequences] for b in batches] == [want[i : i + 2] for i in range(0, len(want), 2)]
 
 
+def test_batches_move_tokens_once(spark):
+    texts = [" ".join(f"w{i}_{k}" for k in range(i % 7)) for i in range(40)] + [None]
+    df = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "pos long, content string").repartition(5)
+    config = PackingConfig(seq_length=4, separator="<s>")
+    plain = packing.pack_sequences(df, "content", "pos", config)
+    tokens = {r.seq_id: r.tokens for r in plain.collect()}
+    n = len(tokens)
+
+    def backwards(ids):
+        assert sorted(r.seq_id for r in ids.collect()) == list(range(n))
+        return ids.withColumn("shuffled_position", F.lit(n - 1) - F.col("seq_id"))
+
+    def batched(sequences):
+        got = packing.sequence_batches(sequences, 3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # the pieces of all sequences are dealt by batch, once
+        assert plan.count("Exchange hashpartitioning(batch_id") + plan.count("Exchange hashpartitioning(seq_id") == 1
+        return {r.batch_id: [(x.seq_id, x.tokens) for x in r.sequences] for r in got.collect()}
+
+    def want(numbered):
+        return {b: [(i, numbered[i]) for i in range(3 * b, min(3 * b + 3, n))] for b in range(-(-n // 3))}
+
+    assert batched(packing.pack_sequences(df, "content", "pos", config, batch_size=3)) == want(tokens)
+    turned = packing.pack_sequences(df, "content", "pos", config, batch_size=3, order=backwards)
+    assert batched(turned) == want({n - 1 - i: t for i, t in tokens.items()})
+    with pytest.raises(ValueError):
+        packing.pack_sequences(df, "content", "pos", config, shard_col="content", order=backwards)
+
+
 def buffered(n, buffer, seed):
     """What a reader with a bounded buffer hands out, one row after the other."""
     held, handed = [], []
