@@ -427,7 +427,8 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, array_to_string(list_sort(tokens), ' ') AS tokens FROM sets""",
     "minhash_signature": f"""WITH {SIGNATURES}
         SELECT doc_id, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY i) AS signature FROM slots GROUP BY doc_id""",
-    "lsh_candidates": f"WITH {PAIRS} SELECT id_a, id_b FROM pairs",
+    "lsh_candidates": f"""WITH {SHARED}
+        SELECT DISTINCT x.doc_id AS id_a, y.doc_id AS id_b FROM shared x JOIN shared y USING (bucket) WHERE x.doc_id < y.doc_id""",
     "duplicate_clusters": f"WITH RECURSIVE {COMPONENTS} SELECT cluster_id, id FROM members",
     "duplicate_clusters_stars": f"WITH RECURSIVE {COMPONENTS} SELECT cluster_id, id FROM members",
     "duplicate_clusters_greedy": f"WITH RECURSIVE {GREEDY} SELECT cluster_id, id FROM members",

@@ -23,6 +23,8 @@ MERSENNE_31 = 2_147_483_647
 # hash functions whose values a worker holds at once, words it hashes or compares at once
 LANES = 64
 BLOCK = 1024
+# files of a group, or groups of a bucket, that meet those of another block in one row
+PAIR_BLOCK = 1024
 
 
 def permutation_coefficients(num_perm: int) -> tuple[list[int], list[int]]:
@@ -186,14 +188,101 @@ def stored_buckets(
     return write_scratch(shared_buckets(buckets, id_col, config), "shared-buckets")
 
 
-def bucket_links(shared: DataFrame, id_col: str) -> DataFrame:
+def star_links(shared: DataFrame, id_col: str) -> DataFrame:
     """Pairs (id_a < id_b): the smallest file of a bucket and each other file in it."""
     pairs = shared.filter(F.col(id_col) > F.col("root"))
     return pairs.select(F.col("root").alias("id_a"), F.col(id_col).alias("id_b")).distinct()
 
 
+def _linked_groups(groups: DataFrame, block: int) -> DataFrame:
+    """(first, second): groups that share a bucket, each pair found at its first common bucket only.
+
+    The groups of a bucket are dealt into parts of about ``block``, and each two parts of a bucket meet under a key of their own.
+    """
+    placed = groups.select("group", "buckets", F.posexplode("buckets").alias("_at", "bucket"))
+    parts = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = parts.select("bucket", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("_parts"))
+    dealt = placed.join(parts, "bucket").select(
+        "bucket",
+        "group",
+        F.slice("buckets", F.lit(1), F.col("_at")).alias("_earlier"),
+        "_parts",
+        F.pmod(F.xxhash64("group"), F.col("_parts")).cast("int").alias("_part"),
+    )
+    dealt = write_scratch(dealt, "bucket-parts")
+    low = dealt.select(
+        "bucket",
+        F.col("group").alias("first"),
+        F.col("_earlier").alias("_before_first"),
+        F.col("_part").alias("_low"),
+        F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_high"),
+    )
+    high = dealt.select(
+        "bucket",
+        F.col("group").alias("second"),
+        F.col("_earlier").alias("_before_second"),
+        F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_low"),
+        F.col("_part").alias("_high"),
+    )
+    once = (F.col("_low") < F.col("_high")) | (F.col("first") < F.col("second"))
+    new = ~F.arrays_overlap("_before_first", "_before_second")
+    return low.join(high, ["bucket", "_low", "_high"]).filter(once & new).select("first", "second")
+
+
+def bucket_links(
+    shared: DataFrame, id_col: str, config: NearDupConfig = NearDupConfig(), block: int = PAIR_BLOCK
+) -> DataFrame:
+    """Pairs (id_a < id_b) of all files that share a bucket, each pair once.
+
+    The rows grow with the square of a bucket, so pairs are made last and are not shuffled: files with the same buckets
+    form a group, groups that share a bucket are found once, and what is dealt over the tasks are pairs of blocks of at
+    most about ``block`` files, which a task unfolds row by row.
+    """
+    files = shared.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
+    keyed = files.agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    digest = F.unhex(F.md5(F.array_join(F.transform("buckets", lambda bucket: F.hex(bucket)), ",")))
+    keyed = write_scratch(keyed.withColumn("_set", digest), "file-buckets")
+    groups = write_scratch(
+        keyed.groupBy("_set").agg(F.min("id").alias("group"), F.count("*").alias("n"), F.first("buckets").alias("buckets")),
+        "bucket-groups",
+    )
+    named = join_hot_keys(
+        keyed.select("_set", "id"),
+        groups.select("_set", "group", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("_parts")),
+        ["_set"],
+        "id",
+        config.hot_rows,
+        groups.select("_set", "n"),
+    )
+    blocks = named.groupBy("group", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_block"))
+    blocks = write_scratch(blocks.agg(F.collect_list("id").alias("_ids")), "group-blocks")
+    copies = groups.filter("n > 1").select(F.col("group").alias("first"), F.col("group").alias("second"))
+    met = _linked_groups(groups, block).unionByName(copies)
+    left = blocks.select(F.col("group").alias("first"), F.col("_block").alias("_a"), F.col("_ids").alias("_left"))
+    right = blocks.select(F.col("group").alias("second"), F.col("_block").alias("_b"), F.col("_ids").alias("_right"))
+    inside = F.col("first") == F.col("second")
+    cells = met.join(left, "first").join(right, "second").filter(~inside | (F.col("_a") <= F.col("_b")))
+    cells = cells.repartition("first", "_a", "second", "_b")
+    same = (inside & (F.col("_a") == F.col("_b"))).alias("_same")
+    pairs = cells.select(same, F.explode("_left").alias("_x"), "_right").select("_same", "_x", F.explode("_right").alias("_y"))
+    pairs = pairs.filter(~F.col("_same") | (F.col("_x") < F.col("_y")))
+    return pairs.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
+
+
 def lsh_candidates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "content", config: NearDupConfig = NearDupConfig()
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "content",
+    config: NearDupConfig = NearDupConfig(),
+    mode: str = "pairs",
 ) -> DataFrame:
-    """Candidate pairs of a corpus in star form: n - 1 pairs connect the n files of a bucket."""
-    return bucket_links(stored_buckets(df, id_col, text_col, config), id_col)
+    """Candidate pairs of a corpus: all pairs of files that share a bucket.
+
+    ``stars`` gives n - 1 of them for the n files of a bucket, from its smallest file to each other one.
+    """
+    shared = stored_buckets(df, id_col, text_col, config)
+    if mode == "pairs":
+        return bucket_links(shared, id_col, config)
+    if mode == "stars":
+        return star_links(shared, id_col)
+    raise ValueError(f"unknown mode {mode!r}")

@@ -234,3 +234,20 @@ def test_signature_takes_the_least_of_all_blocks_of_words(spark):
         return [min((digests[w] * x + y) % (2**31 - 1) for w in some) for x, y in zip(a, b)]
 
     assert got == {0: signed(words), 1: signed(["w1"]), 4: signed(words)}
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_candidates_are_all_pairs_of_bucket_mates(docs, mates, block):
+    shared = minhash.stored_buckets(docs, config=TINY)
+    found = [tuple(p) for p in minhash.bucket_links(shared, "doc_id", TINY, block).select("id_a", "id_b").collect()]
+    want = {(a, b) for b, earlier in mates.items() for a in earlier}
+    assert set(found) == want and len(found) == len(want)
+    stars = {tuple(p) for p in minhash.lsh_candidates(docs, mode="stars").select("id_a", "id_b").collect()}
+    assert stars < want
+
+
+def test_candidates_of_repeated_and_null_ids(spark):
+    word = [" ".join(f"{x}{k}" for k in range(12)) for x in "abc"]
+    rows = [(1, word[0]), (1, word[0]), (2, word[0]), (None, word[0]), (2, word[1]), (3, word[1]), (1, word[2]), (3, word[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    assert sorted(tuple(p) for p in minhash.lsh_candidates(docs).select("id_a", "id_b").collect()) == [(1, 2), (1, 3), (2, 3)]
