@@ -40,3 +40,10 @@ def maybe_in(rows: DataFrame, key: str, keys: DataFrame, blocks: int = BLOCKS) -
     marked = rows.withColumns({"_block": _block(F.col(key), blocks), "_wanted": _mask(F.col(key))})
     found = marked.join(F.broadcast(keys), "_block")  # bounded by its number of blocks
     return found.filter(F.col("_bits").bitwiseAND(F.col("_wanted")) == F.col("_wanted")).drop("_block", "_wanted", "_bits")
+
+
+def seen_in(rows: DataFrame, key: str, keys: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """As ``maybe_in``, as a semi-join, which the planner moves below columns made of other columns: they are made for rows that pass only."""
+    block, mask = _block(F.col(key), blocks), _mask(F.col(key))
+    hit = (block == F.col("_block")) & (F.col("_bits").bitwiseAND(mask) == mask)
+    return rows.join(F.broadcast(keys), hit, "left_semi")

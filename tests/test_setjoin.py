@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from corpuskiln.operators.setjoin import candidates, ordered_sets, prefixes, set_members, similar_sets
+from corpuskiln.operators.setjoin import _keyed_sets, candidates, ordered_sets, prefixes, segment_candidates, segmented, set_members, similar_sets
 from corpuskiln.scratch import write_scratch
 
 
@@ -97,3 +97,33 @@ def test_empty_sets_and_no_rows(spark):
     assert {(r["id"], r["representative"]) for r in found.members.collect()} == {(0, 0), (1, 0), (2, 2)}
     none = similar_sets(table(spark, []), "doc_id", "words")
     assert none.pairs.count() == none.members.count() == 0
+
+
+def sets_of(spark, rows):
+    return write_scratch(segmented(_keyed_sets(table(spark, rows), "doc_id", "words"), 0.85), "set-keys")
+
+
+def test_sets_with_a_common_rare_token_and_common_words_seldom_meet(spark):
+    """Their prefixes share tokens; a segment is several tokens, and more than one has to be the same."""
+    rnd = random.Random(5)
+    rows = [{f"the{k}" for k in range(30)} | {f"w{rnd.randrange(400)}" for _ in range(60)} | {f"pair{i // 2}"} for i in range(200)]
+    assert brute(rows, 0.85)[0] == {}
+    assert segment_candidates(sets_of(spark, rows), 0.85).count() <= 3
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_copies_that_meet_in_many_segments_are_one_candidate_of_few_groups(spark, block):
+    base = {f"t{k}" for k in range(200)}
+    rows = [base | {f"own{i}"} for i in range(20)]
+    found = segment_candidates(sets_of(spark, rows), 0.85, block).collect()
+    assert sorted(tuple(sorted((r.small, r.large))) for r in found) == list(combinations(range(20), 2))
+    groups = {r.group for r in found}
+    assert len(groups) <= 2 * (len(rows) // block + 1) ** 2
+
+
+def test_an_id_with_two_texts_is_compared_by_each(spark):
+    a, b = {f"a{k}" for k in range(40)}, {f"b{k}" for k in range(60)}
+    rows = [(5, a), (5, b), (5, a), (9, a | {"x"}), (9, b | {"x"}), (None, a | {"y"}), (2, b | {"z"})]
+    df = spark.createDataFrame([(i, sorted(t)) for i, t in rows], "doc_id long, words array<string>")
+    got = sorted((r.id_a, r.id_b, round(r.jaccard, 3)) for r in similar_sets(df, "doc_id", "words").pairs.collect())
+    assert got == [(2, 5, 0.984), (2, 9, 0.968), (5, 9, 0.976), (5, 9, 0.984)]
