@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpuskiln.config import NearDupConfig
 from corpuskiln.functions import text as T
+from corpuskiln.operators.bloom import bloom_filter, seen_in
 from corpuskiln.operators.components import star_components
 from corpuskiln.operators.minhash import star_pairs, stored_buckets
 from corpuskiln.operators.ordering import id_chunk, running_minimum
@@ -68,6 +69,20 @@ def connected_components(pairs: DataFrame, config: NearDupConfig = NearDupConfig
     return named.select("cluster_id", "id")
 
 
+def different_buckets(mates: DataFrame) -> DataFrame:
+    """The rows (bucket, id, root) of one bucket of those that hold the same files, stored; 128 bits of their ids must agree."""
+    mates = mates.distinct()
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(side))).alias(side) for side in ("_left", "_right")]
+    files = mates.groupBy("bucket").agg(F.min("root").alias("root"), F.count("*").alias("n"), *marks)
+    kept = files.groupBy("root", "n", "_left", "_right").agg(F.min("bucket").alias("bucket"))
+    return write_scratch(mates.join(kept.select("bucket"), "bucket", "left_semi"), "different-buckets")
+
+
+def _known_bases(chosen: DataFrame) -> DataFrame:
+    """(base, _time): the first file that chose a base, stored."""
+    return write_scratch(chosen.groupBy("base").agg(F.min("id").alias("_time")), "known-bases")
+
+
 def greedy_clusters(shared: DataFrame, id_col: str, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """(cluster_id, id) rows of the greedy rule, files arriving in id order.
 
@@ -78,18 +93,19 @@ def greedy_clusters(shared: DataFrame, id_col: str, config: NearDupConfig = Near
     A choice depends on earlier choices only, so repeating the rule for all files
     at once until nothing changes gives the sequential result. Inside a
     bucket, "the first base known before this file" is a running minimum, so no
-    pairs of mates are formed.
+    pairs of mates are formed. Buckets of the same files are one bucket, and after the first round only files are
+    judged again that have a mate which became a base, ceased to be one, or did so at another file.
     """
-    mates = shared.select("bucket", F.col(id_col).alias("id"), "root")
+    mates = different_buckets(shared.select("bucket", F.col(id_col).alias("id"), "root"))
     later = mates.filter(F.col("id") > F.col("root"))
     first_mate = write_scratch(later.groupBy("id").agg(F.min("root").alias("first_mate")), "first-mate")
-    chosen = first_mate.select("id", F.col("first_mate").alias("base"))
-    asks = later.select("bucket", F.col("id").alias("_time"), F.lit(0).alias("_kind"), "id", F.lit(None).cast("bigint").alias("base"))
+    chosen, asked, known = None, later, _known_bases(first_mate.select("id", F.col("first_mate").alias("base")))
     while True:
-        known = chosen.groupBy("base").agg(F.min("id").alias("_time"))
-        facts = mates.join(known, F.col("id") == F.col("base")).select(
+        told = mates if chosen is None else mates.join(asked.select("bucket").distinct(), "bucket", "left_semi")
+        facts = told.join(known, F.col("id") == F.col("base")).select(
             "bucket", "_time", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("id"), "base"
         )
+        asks = asked.select("bucket", F.col("id").alias("_time"), F.lit(0).alias("_kind"), "id", F.lit(None).cast("bigint").alias("base"))
         timeline = running_minimum(
             asks.unionByName(facts),
             F.col("base"),
@@ -99,14 +115,19 @@ def greedy_clusters(shared: DataFrame, id_col: str, config: NearDupConfig = Near
             by=["bucket"],
         )
         answers = timeline.filter(F.col("_kind") == 0).groupBy("id").agg(F.min("_base").alias("_base"))
-        again = write_scratch(
-            first_mate.join(answers, "id").select("id", F.coalesce("_base", "first_mate").alias("base")), "greedy"
-        )
-        before = chosen.select("id", F.col("base").alias("_before"))
-        settled = again.join(before, "id").filter(F.col("base") != F.col("_before")).isEmpty()
-        chosen = again
-        if settled:
+        again = first_mate.join(answers, "id").select("id", F.coalesce("_base", "first_mate").alias("base"))
+        if chosen is not None:
+            again = write_scratch(again, "judged-again")
+            again = again.unionByName(chosen.join(again, "id", "left_anti"))
+        chosen = write_scratch(again, "greedy")
+        before, known = known.withColumnRenamed("_time", "_before"), _known_bases(chosen)
+        moved = before.join(known, "base", "full").filter(~F.col("_time").eqNullSafe(F.col("_before"))).select("base")
+        moved = write_scratch(moved, "moved-bases")
+        if moved.isEmpty():
             break
+        touched = mates.join(moved, F.col("id") == F.col("base")).select("bucket").distinct()
+        files = later.join(touched, "bucket", "left_semi").select("id").distinct()
+        asked = write_scratch(later.join(files, "id", "left_semi"), "asked")
     bases = chosen.select(F.col("base").alias("cluster_id"), F.col("base").alias("id")).distinct()
     return bases.unionByName(chosen.select(F.col("base").alias("cluster_id"), "id"))
 
@@ -184,7 +205,9 @@ def cluster_extremes(
     it. The tokens travel as 64-bit hashes, and only undecided sets enter a round.
     """
     words = T.token_set(F.col(text_col))
-    texts = df.select(F.col(id_col).alias("id"), text_col)
+    # texts of other files are not shuffled
+    wanted = write_scratch(bloom_filter(members, "id"), "wanted-texts")
+    texts = seen_in(df.select(F.col(id_col).alias("id"), text_col), "id", wanted)
     sets = write_scratch(
         members.join(texts, "id")
         .select("cluster_id", "id", words.alias("_words"))

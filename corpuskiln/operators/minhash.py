@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -76,14 +77,24 @@ def _permuted(hashed: np.ndarray, multipliers: np.ndarray, offsets: np.ndarray)
 def signature_of(text: Column, num_perm: int, min_tokens: int) -> Column:
     """Signature of the words of a text, as ``num_perm`` BIGINT slots; NULL below ``min_tokens`` words.
 
-    Runs on slices of Arrow batches: words are cut by one vectorized call, each distinct
+    Runs on slices of Arrow batches: words are cut by two vectorized calls, each distinct
     word of a slice is hashed once, and a slot is the minimum over the distinct words of a row.
     """
-    word_break = T.WORD_BREAK
+    # bytes of other alphabets are 128 or more, and break words
+    word_bytes = [code if code < 128 and not re.fullmatch(T.WORD_BREAK, chr(code)) else ord(" ") for code in range(256)]
+    word_bytes = np.array(word_bytes, dtype=np.uint8)
     multipliers, offsets = (np.array(x, dtype=np.int64) for x in permutation_coefficients(num_perm))
 
+    def split_words(rows):
+        rows = rows.cast(pa.string())
+        ends = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1]
+        data = rows.buffers()[2]
+        data = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, dtype=np.uint8)
+        plain = pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends - ends[0]), pa.py_buffer(word_bytes[data]))
+        return pc.ascii_split_whitespace(plain)
+
     def sign_rows(rows):
-        pieces = pc.split_pattern_regex(rows, word_break)
+        pieces = split_words(rows)
         words = pc.list_flatten(pieces)
         owners = pc.list_parent_indices(pieces)
         filled = pc.greater(pc.binary_length(words), 0)

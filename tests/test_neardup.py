@@ -251,3 +251,56 @@ def test_candidates_of_repeated_and_null_ids(spark):
     rows = [(1, word[0]), (1, word[0]), (2, word[0]), (None, word[0]), (2, word[1]), (3, word[1]), (1, word[2]), (3, word[2])]
     docs = spark.createDataFrame(rows, "doc_id long, content string")
     assert sorted(tuple(p) for p in minhash.lsh_candidates(docs).select("id_a", "id_b").collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_words_end_at_bytes_of_other_alphabets(spark):
+    texts = ["straße naïve_2 x", None, "", "日本ab日本cd ef\tgh\x1fij\u00a0kl", "- ,", "ab cd ef gh ij kl"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").coalesce(1)
+    config = NearDupConfig(num_perm=4, min_tokens=1)
+    got = {r.doc_id: r.signature for r in minhash.minhash_signature(docs, config=config).collect()}
+    a, b = minhash.permutation_coefficients(4)
+
+    def signed(words):
+        hashed = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in words]
+        return [min((h * x + y) % (2**31 - 1) for h in hashed) for x, y in zip(a, b)]
+
+    six = signed(["ab", "cd", "ef", "gh", "ij", "kl"])
+    assert got == {0: signed(["stra", "e", "na", "ve_2", "x"]), 3: six, 5: six}
+
+
+def test_buckets_of_the_same_files_are_one(spark):
+    rows = [(f"{b}".encode(), i, min(ids)) for b, ids in enumerate([(1, 2, 3), (1, 2, 3), (1, 2), (2, 3), (1, 2, 3)]) for i in ids]
+    mates = spark.createDataFrame([*rows, rows[0]], "bucket binary, id long, root long")
+    kept = {(bytes(r.bucket), r.id) for r in clusters.different_buckets(mates).collect()}
+    assert kept == {(b"0", 1), (b"0", 2), (b"0", 3), (b"2", 1), (b"2", 2), (b"3", 2), (b"3", 3)}
+
+
+def test_texts_outside_of_clusters_are_not_shuffled(spark, stored_plans):
+    rows = [(i, f"own{i} " * 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    members = spark.createDataFrame([(0, i) for i in range(5)], "cluster_id long, id long")
+    assert clusters.cluster_extremes(docs, members).count() == 5
+    plan = next(p for p in stored_plans if "_words" in p).partition("== Physical Plan ==")[2]
+    assert "LeftSemi" in plan
+
+
+def test_later_rounds_judge_few_files_again(spark, monkeypatch):
+    """Many pairs settle in the first round; only files around a base that moved are asked once more."""
+    stored = []
+
+    def recorded(df, name):
+        stored.append((name, write_scratch(df, name)))
+        return stored[-1][1]
+
+    monkeypatch.setattr(clusters, "write_scratch", recorded)
+    pairs = [(3, 9), (4, 9), (4, 6), *[(i, i + 1) for i in range(10, 400, 2)]]
+    rows = [(f"{n}".encode(), i, min(p)) for n, p in enumerate(pairs) for i in p]
+    shared = spark.createDataFrame(rows, "bucket binary, doc_id long, root long")
+    mates = defaultdict(set)
+    for a, b in pairs:
+        mates[a] |= set()
+        mates[b].add(a)
+    members = clusters.greedy_clusters(shared, "doc_id")
+    assert {tuple(r) for r in members.select("cluster_id", "id").collect()} == greedy(mates)
+    again = [table.count() for name, table in stored if name == "asked"]
+    assert again and max(again) <= 5
